@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.llm import decontaminate, pieces, quality_rules, token_files
+from flowlake.llm import decontaminate, fingerprint_index, pieces, quality_rules, suffix_dedup, token_files
 from flowlake.llm.common import scratch, table
 
 
@@ -26,12 +26,22 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")))
 
 
+def op4_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint_index.incremental_dedup(table(spark, sf_dir, "documents"), scratch(spark, "fingerprint-index"), batches=2, length=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch(spark, "token-files")
     manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), root, tokenizer_path("word_bpe_49k.json"), end_id=1)
     return token_files.digests(token_files.read_token_files(spark, root, manifest))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), length=100)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -39,7 +49,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_pieces": op2_pieces,
+    "op4_fingerprint_index": op4_fingerprint_index,
     "op7_token_files": op7_token_files,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
 
