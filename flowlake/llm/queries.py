@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.llm import decontaminate, fingerprint_index, ngram_join, pieces, quality_rules, suffix_dedup, token_files
+from flowlake.llm import decontaminate, fingerprint_index, ngram_join, pieces, quality_rules, suffix_dedup, token_files, toxicity
 from flowlake.llm.common import scratch, table
 
 
@@ -31,6 +31,13 @@ def op4_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"), n=5, percent=80)
 
@@ -54,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_pieces": op2_pieces,
     "op4_fingerprint_index": op4_fingerprint_index,
+    "op5_toxicity": op5_toxicity,
     "op6_ngram_join": op6_ngram_join,
     "op7_token_files": op7_token_files,
     "op8_suffix_dedup": op8_suffix_dedup,
