@@ -8,6 +8,7 @@ input column has such a name already, the operators that keep columns replace it
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -22,9 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    """Only doc_id (long) and text (string, empty for null)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def texts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Only doc_id (long), text (string, empty for null) and the columns named in carry."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *carry)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,6 +56,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

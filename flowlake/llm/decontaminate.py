@@ -117,22 +117,26 @@ def word_rarity(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, in
     return {bytes(r["word"]): r["n"] for r in rows.collect()} if vocabulary else {}
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 2_000_000) -> DataFrame:
-    """doc_id, text, n_words, spans (word ranges [start, end) that are hit, disjoint), n_hit, items (ids, sorted as strings).
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 2_000_000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, n_words, spans (word ranges [start, end) that are hit, disjoint), n_hit, items (ids, sorted as strings), and the columns named in carry.
 
     benchmark: (item_id, text).  A document's words are numbered from 0.
     """
-    docs = texts(docs)
+    kind = SCHEMA + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    docs = texts(docs, carry)
     out = None
     for block in blocks(item_windows(benchmark, window), block_words):
         rarity = word_rarity(docs, frozenset(w for words, _ in block for w in words))
         index = docs.sparkSession.sparkContext.broadcast(WindowIndex(block, rarity))
-        part = docs.mapInArrow(searcher(index), "doc_id long, text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
-        out = part if out is None else merge_blocks(out, part)
+        part = docs.mapInArrow(searcher(index, carry), kind)
+        out = part if out is None else merge_blocks(out, part, carry, kind)
     return out.withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)"))
 
 
-def searcher(index):
+SCHEMA = "doc_id long, text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+
+
+def searcher(index, carry):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, spans, items = [], [], []
@@ -143,30 +147,24 @@ def searcher(index):
                 spans.append([{"start": a, "end": b} for a, b in covered(hits)])
                 items.append(sorted(ids))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string())), *[batch.column(c) for c in carry]], ["doc_id", "text", "n_words", "spans", "items", *carry])
 
     return search
 
 
-def merge_blocks(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Hits of two blocks of items; repeated rows of a document are found alike by both, so they merge without loss."""
+def merge_blocks(a: DataFrame, b: DataFrame, carry: tuple[str, ...], kind: str) -> DataFrame:
+    """Hits of two blocks of items; equal rows of a document are found alike by both, so they merge without loss."""
+    own = ("doc_id", "text", "n_words", *carry)
 
     def union(batches):
         for batch in batches:
-            rows = batch.to_pylist()
-            spans = [[{"start": x, "end": y} for x, y in covered([(s["start"], s["end"]) for part in r["parts"] for s in part])] for r in rows]
-            items = [sorted({i for part in r["ids"] for i in part}) for r in rows]
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            cols = {n: batch.column(n) for n in ("doc_id", "text", "n_words")}
-            yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], [*cols, "spans", "items"])
-
-    both = a.select("*", F.lit(0).alias("block")).unionByName(b.select("*", F.lit(1).alias("block")))
-    grouped = both.groupBy("doc_id", "text", "n_words").agg(F.collect_set("spans").alias("parts"), F.collect_set("items").alias("ids"), F.sum(F.lit(1) - F.col("block")).alias("copies"))
-    merged = grouped.select("doc_id", "text", "n_words", "parts", "ids", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    return merged.drop("copy").mapInArrow(union, "doc_id long, text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
-
-
-def removed(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The documents, in full, in which no window of any item occurs; every column is kept."""
-    hit = decontaminate(docs, benchmark, window).where(F.col("n_hit") > 0).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti")
+            parts, ids = batch.column("parts").to_pylist(), batch.column("ids").to_pylist()
+            spans = [[{"start": x, "end": y} for x, y in covered([(s["start"], s["end"]) for part in p for s in part])] for p in parts]
+            items = [sorted({i for part in p for i in part}) for p in ids]
+            cols = {n: batch.column(n) for n in own[:3]} | {"spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "items": pa.array(items, pa.list_(pa.string()))} | {n: batch.column(n) for n in carry}
+            yield pa.RecordBatch.from_pydict(cols)
+
+    both = a.select("*", F.lit(0).alias("_block")).unionByName(b.select("*", F.lit(1).alias("_block")))
+    grouped = both.groupBy(*own).agg(F.collect_set("spans").alias("parts"), F.collect_set("items").alias("ids"), F.sum(F.lit(1) - F.col("_block")).alias("copies"))
+    merged = grouped.select(*own, "parts", "ids", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return merged.drop("copy").mapInArrow(union, kind)

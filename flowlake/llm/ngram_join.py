@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlake.llm import windows
-from flowlake.llm.common import texts, written
+from flowlake.llm.common import release, texts, written
 from flowlake.llm.components import components
 from flowlake.llm.windows import U
 
@@ -323,6 +323,8 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, chunk_bytes: int
     back = counts.groupBy("bucket").applyInArrow(summed, "chunk long, bucket long, fps binary, sizes binary")
     told = reps.select("chunk", "rep", *[F.lit(None).cast(t).alias(c) for c, t in (("bucket", "long"), ("fps", "binary"), ("sizes", "binary"))]).unionByName(back.withColumn("rep", F.lit(None).cast("long")))
     searched = written(keyed.cogroup(told.groupBy("chunk")).applyInArrow(lambda a, b: probing(a, b, n, buckets, percent), "doc long, n long, probes array<long>, grams binary"), "gram-searched")
+    del counts, back, told, keyed, rows
+    release(docs.sparkSession)
     entries = searched.select("doc", "n", F.posexplode("probes").alias("k", "gram"), F.size("probes").alias("p"))
     #: The place in the whole order: what comes first are grams of no other class.
     entries = entries.select("gram", "doc", "n", (F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1 - F.col("p") + F.col("k")).cast("long").alias("at"))

@@ -146,7 +146,7 @@ def references(rows: DataFrame) -> DataFrame:
     return own.join(F.broadcast(total)).select("lang", F.when(F.col("lang") == "", F.col("all_classes")).otherwise(F.col("ref_classes")).alias("ref_classes"), "ref_common")
 
 
-def quality_rules(docs: DataFrame, max_class_distance: float = 0.35, max_word_distance: float = 0.6, min_chars: int = 200, min_common: int = 40) -> DataFrame:
+def quality_rules(docs: DataFrame, max_class_distance: float = 0.22, max_word_distance: float = 0.6, min_chars: int = 200, min_common: int = 40) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance, kept.
 
     docs: doc_id, text, lang.  References have one row for each of the languages of

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.llm import decontaminate, fingerprint_index, ngram_join, pieces, quality_rules, suffix_dedup, token_files, toxicity
+from flowlake.llm import decontaminate, fingerprint_index, licenses, ngram_join, pieces, quality_rules, resampling, suffix_dedup, token_files, toxicity
 from flowlake.llm.common import scratch, table
 
 
@@ -26,6 +26,11 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")))
 
 
+def op3_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return resampling.resample(table(spark, sf_dir, "documents"), good)
+
+
 def op4_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprint_index.incremental_dedup(table(spark, sf_dir, "documents"), scratch(spark, "fingerprint-index"), batches=2, length=20)
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -57,15 +62,23 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    names = F.array_sort(F.array_distinct(F.col("matches.license")))
+    return found.select("doc_id", "n_words", F.size("matches").cast("long").alias("n_matches"), F.concat_ws(",", names).alias("licenses"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_pieces": op2_pieces,
+    "op3_resampling": op3_resampling,
     "op4_fingerprint_index": op4_fingerprint_index,
     "op5_toxicity": op5_toxicity,
     "op6_ngram_join": op6_ngram_join,
     "op7_token_files": op7_token_files,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality_rules": op9_quality_rules,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {}

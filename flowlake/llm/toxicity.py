@@ -256,7 +256,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = 4000, arcs: int =
 
 
 def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score (0 to 1), clauses of evidence as features, and the columns named in carry."""
+    """doc_id, score (0 to 1), and the columns named in carry."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
