@@ -49,43 +49,86 @@ SEPARATOR = "\x01"
 SAMPLE_BYTES = 16_384
 #: Longer pieces are encoded when they occur and not held.
 HELD_CHARS = 48
-#: White space that str.split() knows and the tokenizer's \s may treat otherwise, the separator, or specials.
-UNSAFE = re.compile("[\x01\x1c-\x1f\x85   -​    　﻿]|[ \t-\r][̀-ͯ᪰-᫿᷀-᷿⃐-⃿゙゚︠-︯]|<\\|")
+#: Texts of characters up to U+00FF are cut and lowered by Python; these have another meaning there, or are the separator or a special's begin.
+UNSAFE_LATIN = "\x01\x1c\x1d\x1e\x1f\x85\xa0"
+#: In other texts also white space that str.split() and the tokenizer treat unlike, and marks that compose with a space before them.
+UNSAFE = re.compile("[\x01\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|[ \t-\r][\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u3099-\u309c\ufe20-\ufe2f]|<\\|")
+#: Punctuation before a comma or point: the run is one pre-token and stays uncut.
+RUN = re.compile(r"[^\w\s][.,]|_[.,]")
+#: The parts of a tokenizer file under which texts may be cut at white space.
+SHAPE = {"normalizer": ["NFC", "Replace", "Lowercase"], "pre_tokenizer": ["Split", "ByteLevel"]}
 
 
 class Encoder:
-    def __init__(self, path: str, held: int = 700_000):
-        from tokenizers import Tokenizer
+    """Encodes texts by their pieces where the tokenizer's parts allow that, else whole."""
+
+    def __init__(self, path: str, held: int = 500_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.wide = self.library.get_vocab_size() > 1 << 16
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
-        mark = self.library.encode(SEPARATOR, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
         self.size, self.ids = held, {}
+        parts = json.loads(self.library.to_str())
+        shape = {"normalizer": [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", [])], "pre_tokenizer": [x["type"] for x in (parts["pre_tokenizer"] or {}).get("pretokenizers", [])]}
+        suffix = parts["model"].get("end_of_word_suffix")
+        mark = self.library.encode(SEPARATOR, add_special_tokens=False).ids
+        self.cuts = shape == SHAPE and bool(suffix) and len(mark) == 1
+        if self.cuts:
+            self.mark = mark[0]
+            #: Whole words need no pattern and no normalizer; the ids that end a word divide them.
+            self.words = Tokenizer(self.library.model)
+            self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.ends = np.zeros(self.library.get_vocab_size(), bool)
+            self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith(suffix)]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        if not pieces:
-            return []
+    def pieces(self, text: str) -> list[str] | None:
+        """Parts of the text whose ids, joined, are the text's; None if it is to be encoded whole."""
+        if not self.cuts or "<|" in text:
+            return None
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None if UNSAFE.search(text) else text.split()
+        if any(c in text for c in UNSAFE_LATIN):
+            return None
+        text = text.lower()
+        return text.split() if RUN.search(text) else (text + " ").replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ").split()
+
+    def _divided(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        w = self.dtype.itemsize
+        return [raw[a:b] for a, b in zip((starts * w).tolist(), (ends * w).tolist(), strict=True)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        return self._divided(ids.tobytes(), np.concatenate([[0], ends[:-1]]), ends)
+
+    def _others(self, pieces: list[str]) -> list[bytes]:
         ids = np.array(self.library.encode_batch_fast([f" {SEPARATOR} ".join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
         cuts = np.flatnonzero(ids == self.mark)
         if len(cuts) != len(pieces) - 1:
             return [self.whole(p) for p in pieces]
-        raw, w = ids.tobytes(), self.dtype.itemsize
-        starts = [0, *((cuts + 1) * w).tolist()]
-        ends = [*(cuts * w).tolist(), len(raw)]
-        return [raw[a:b] for a, b in zip(starts, ends, strict=True)]
+        return self._divided(ids.tobytes(), np.concatenate([[0], cuts + 1]), np.append(cuts, len(ids)))
+
+    def _learn(self, pieces: set[str]) -> None:
+        words, others = [], []
+        for p in pieces:
+            (words if p.isalpha() and p == p.lower() and (p.isascii() or max(p) <= "\xff") else others).append(p)
+        for kind, encode in ((words, self._words), (others, self._others)):
+            if kind:
+                self.ids.update(zip(kind, encode(kind), strict=True))
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        split = [None if self.mark is None or UNSAFE.search(t) else t.split() for t in batch]
-        new = {p for pieces in split if pieces for p in pieces}.difference(self.ids)
+        split = [self.pieces(t) for t in batch]
+        every = set().union(*filter(None, split))
+        new = every.difference(self.ids)
         if len(self.ids) + len(new) > self.size:
-            self.ids, new = {}, {p for pieces in split if pieces for p in pieces}
-        new = list(new)
-        self.ids.update(zip(new, self._pieces(new), strict=True))
+            self.ids, new = {}, every
+        self._learn(new)
         out = [self.whole(t) if pieces is None else b"".join(map(self.ids.__getitem__, pieces)) for t, pieces in zip(batch, split, strict=True)]
         for p in new:
             if len(p) > HELD_CHARS:
@@ -112,8 +155,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample_docs:
     """Empty if the sample is too small to train on."""
     import zstandard
 
-    short = docs.where(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = short.select("text", F.xxhash64("doc_id").alias("h")).orderBy("h", "text").limit(sample_docs).select("text").collect()
+    short = docs.where(F.octet_length("text") <= SAMPLE_BYTES).withColumn("h", F.xxhash64("doc_id"))
+    least = short.select("h").orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    rows = short.where(F.col("h") <= least).select("text").limit(sample_docs).collect() if least is not None else []
     enc = encoder(tokenizer)
     samples = [x + np.array([end_id], enc.dtype).tobytes() for x in enc.encode([r[0] for r in rows])]
     try:
@@ -133,6 +177,8 @@ class _Shard:
         self.out = self.fs.open_output_stream(f"{self.root}/{self.part}", compression=None)
         self.out.write(MAGIC)
         d = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        if d:
+            d.precompute_compress(level=level)
         self.press = zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=True)
         self.width, self.sha = width, hashlib.sha256(dictionary).hexdigest()
         self.ids, self.nulls, self.offsets, self.counts = [], [], [len(MAGIC)], []
