@@ -367,10 +367,14 @@ def dealt(docs: DataFrame, chunks: int, offset: int = 0, carry: tuple[str, ...]
 
 
 def shape(docs: DataFrame, chunk_bytes: int, token_bytes: int) -> tuple[int, int]:
-    """Chunks and buckets for these documents: both grow with the text, and there are several of each for every shuffle partition."""
+    """Chunks and buckets for these documents: both grow with the text, and there are some for every shuffle partition.
+
+    A chunk may send a row to each bucket, so there are no more buckets than memory asks for:
+    4 million fingerprints each.
+    """
     _, size = measure(texts(docs))
     n = partitions(docs.sparkSession)
-    return max(4 * n, math.ceil(size / chunk_bytes)), max(4 * n, math.ceil(size / token_bytes / (1 << 22)))
+    return max(4 * n, math.ceil(size / chunk_bytes)), max(n, math.ceil(size / token_bytes / (1 << 22)))
 
 
 def repeats(docs: DataFrame, matched: DataFrame, spec: Spec, buckets: int, live: DataFrame | None = None) -> DataFrame:
