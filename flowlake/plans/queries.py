@@ -265,3 +265,41 @@ def numeric_ip(spark, sf_dir):
 @query(f" SELECT frame_no, CAST(ts_ns // 1000000000 AS VARCHAR) || '.' || lpad(CAST(ts_ns % 1000000000 AS VARCHAR), 9, '0') AS seconds, strftime(make_timestamp(ts_ns // 1000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN ts_ns % 1000000000 = 0 THEN '' ELSE '.' || rtrim(lpad(CAST(ts_ns % 1000000000 AS VARCHAR), 9, '0'), '0') END || 'Z' AS iso FROM pk")
 def timestamp_text(spark, sf_dir):
     return packets(spark, sf_dir).select("frame_no", seconds_text(F.col("ts_ns")).alias("seconds"), iso_text(F.col("ts_ns")).alias("iso"))
+
+
+# Whole tools.
+
+
+@query()
+def flow_full_features(spark, sf_dir):
+    from flowlake.operators import flows
+
+    rows = flows.from_ipv4_rows(packets(spark, sf_dir).withColumn("src_port", F.lit(1).cast("bigint")).withColumn("dst_port", F.lit(1).cast("bigint")))
+    return flows.flow_features(rows, 6 * HOUR, HOUR)
+
+
+@query(f""" SELECT frame_no, CASE WHEN proto = 6 THEN 'Eth,Ipv4,Tcp' || CASE WHEN {CAP} > 0 THEN ',Raw' ELSE '' END ELSE 'Eth,Ipv4,Udp' END AS layers,
+    CAST(2048 AS BIGINT) AS eth_type, {_IP.format('src_ip')} AS src_ip, proto AS ip_proto, src_port, CASE WHEN proto = 6 THEN tcp_flags END AS tcp_flags, CAST({CAP} + header_len + 20 AS BIGINT) AS l3_len
+  FROM pk WHERE proto = 6""")
+def dissect_metadata(spark, sf_dir):
+    from flowlake.functions.net import address_text
+    from flowlake.operators import dissect
+
+    rows = dissect.dissect(crafted(spark, sf_dir).where("proto = 6").select("path", "frame_no", "ts_ns", "orig_len", "data", "link_type"))
+    names = rows.select("frame_no", F.array_join(F.col("layers.protocol"), ",").alias("layers"))
+    meta = dissect.metadata(rows).select("frame_no", "eth_type", address_text(F.col("src_addr")).alias("src_ip"), "ip_proto", "src_port", "tcp_flags", "l3_len")
+    return names.join(meta, "frame_no")
+
+
+@query(f""" SELECT frame_no, ts_ns // 1000 * 1000 AS ts_ns, orig_len, CAST({CAP} + header_len + 34 AS BIGINT) AS cap_len, src_ip, dst_ip FROM pk""")
+def pcap_roundtrip(spark, sf_dir):
+    """Packets to pcap bytes, one capture for each hour, and back."""
+    from flowlake.sources import capture
+
+    hour = F.floor(F.col("ts_ns") / HOUR).cast("string")
+    rows = crafted(spark, sf_dir).withColumn("path", hour)
+    back = capture.read_packets(capture.pcap_bytes(rows))
+    #: Frames are numbered within captures; the numbers of a capture's first frames are known.
+    first = rows.groupBy("path").agg(F.min("frame_no").alias("first"))
+    ip = F.substring("data", 15, 20)
+    return back.join(first, "path").select((F.col("first") + F.col("frame_no") - 1).alias("frame_no"), "ts_ns", "orig_len", F.length("data").cast("bigint").alias("cap_len"), fields.read(ip, "Ipv4.src").alias("src_ip"), fields.read(ip, "Ipv4.dst").alias("dst_ip"))
