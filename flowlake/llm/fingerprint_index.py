@@ -6,7 +6,7 @@ A batch is merge-joined with the sorted runs of all earlier batches bucket by bu
 what matches is verified on the words of both sides (by the digits of `windows`, so a
 fingerprint alone decides nothing), and `compact` merges runs into one.
 
-    index = FingerprintIndex(spark, path, Spec("words", 20, 6), buckets=64)
+    index = FingerprintIndex(spark, path, Spec("words", 20, 8), buckets=64)
     first = index.ingest(docs_1)
     second = index.ingest(docs_2, history=docs_1)
 
@@ -106,22 +106,24 @@ class FingerprintIndex:
         self.state["chunks"].append(windows.shape(batch, chunk_bytes, 1)[0])
         rows = self._placed(number, batch)
         spec, buckets = self.spec, self.buckets
-        prints = rows.groupBy("chunk").applyInArrow(lambda t: windows.fingerprints(t, spec, buckets), "bucket long, chunk long, fps binary")
+        anchors = rows.mapInArrow(windows.anchors_by_chunk(spec), "chunk long, anchors binary")
+        prints = anchors.groupBy("chunk").applyInArrow(lambda t: windows.gathered(t, buckets), windows.PRINTS)
         self._write(prints.groupBy("bucket").applyInArrow(sorted_run, RUN), 0, [number])
         self.state["batches"] += 1
         self._save()
-        matched = self.runs().groupBy("bucket").applyInArrow(joiner(number << BATCH_BITS), "chunk long, bucket long, fps binary")
-        placed = [self._placed(i, d) for i, d in enumerate(history)]
+        first = number << BATCH_BITS
+        matched = self.runs().groupBy("bucket").applyInArrow(joiner(first), windows.MATCHED)
         every = rows
-        for p in placed:
-            every = every.unionByName(p)
-        found = windows.repeats(every, matched, spec, buckets)
-        live = F.col("chunk") >= number << BATCH_BITS
+        for i, d in enumerate(history):
+            every = every.unionByName(self._placed(i, d))
+        found = windows.repeats(every, matched, spec, buckets, first)
 
         def finish(a: pa.Table, b: pa.Table) -> pa.Table:
+            if not a.num_rows or a.column("chunk")[0].as_py() < first:
+                return without(windows.Chunk(a.slice(0, 0), spec), np.empty(0, bool))
             return without(*windows.covered(a, b, spec))
 
-        return rows.groupBy("chunk").cogroup(found.where(live).groupBy("chunk")).applyInArrow(finish, KIND)
+        return every.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(finish, KIND)
 
     def compact(self, least: int = 2) -> None:
         """Merges the runs of the lowest level that has `least` of them into one of the next level."""
@@ -178,7 +180,7 @@ def split_by_id(docs: DataFrame, batches: int) -> list[DataFrame]:
     return out
 
 
-def incremental_dedup(docs: DataFrame, path: str, batches: int = 2, length: int = 20, gram: int = 5) -> DataFrame:
+def incremental_dedup(docs: DataFrame, path: str, batches: int = 2, length: int = 20, gram: int = 8) -> DataFrame:
     """Indexes the documents in batches of ascending doc_id; the results of all batches."""
     spark = docs.sparkSession
     buckets = windows.shape(docs, 4 << 20, 5 * ((length - gram) // 2 + 1))[1]

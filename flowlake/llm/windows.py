@@ -15,6 +15,8 @@ digit 2  The stretch of neighbouring windows with one anchor.  Stretches equal a
          (two 64-bit hashes) are equal window by window: all but the earliest are repeats.
 digit 3  Where stretches that differ share digit 1, their windows, again by two hashes.
 
+         Fingerprints come first here too, as most of these windows are alone.
+
 What is sent of a chunk holds each value once, with its earliest place, so a passage that
 a third of all documents share reaches the task that sorts it once per chunk, and nothing
 is ever paired with anything.  Texts are dealt to chunks once; the passes use that one
@@ -33,6 +35,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -260,16 +263,56 @@ def bucket_key(anchor: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray
 # The passes.  Each takes the documents of one chunk or the fingerprints of one bucket.
 
 
-def fingerprints(rows: pa.Table, spec: Spec, buckets: int) -> pa.Table:
-    """Digit 1 of a chunk: bucket, chunk, fps (sorted distinct 32-bit fingerprints)."""
-    chunk = Chunk(rows, spec)
-    bucket, fp = bucket_key(np.unique(chunk.stretches(False)[2]), buckets)
+def prints_of(hashes: np.ndarray, chunk: int, buckets: int) -> pa.Table:
+    """bucket, chunk, fps (sorted distinct 32-bit fingerprints) of the hashes."""
+    bucket, fp = bucket_key(np.unique(hashes), buckets)
     order = np.lexsort((fp, bucket))
     bucket, fp = bucket[order], fp[order]
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, np.int64)
     parts = [np.unique(x).astype("<u4").tobytes() for x in np.split(fp, cut[1:])] if len(cut) else []
-    own = rows.column("chunk")[0].as_py()
-    return pa.table({"bucket": pa.array(bucket[cut].astype(np.int64)), "chunk": pa.array([own] * len(cut), pa.int64()), "fps": pa.array(parts, pa.binary())})
+    return pa.table({"bucket": pa.array(bucket[cut].astype(np.int64)), "chunk": pa.array([chunk] * len(cut), pa.int64()), "fps": pa.array(parts, pa.binary())})
+
+
+def fingerprints(rows: pa.Table, spec: Spec, buckets: int) -> pa.Table:
+    """Digit 1 of a chunk."""
+    return prints_of(Chunk(rows, spec).stretches(False)[2], rows.column("chunk")[0].as_py(), buckets)
+
+
+def anchors_by_chunk(spec: Spec, lot: int = 1024):
+    """Digit 1 without dealing texts out: chunk, anchors (distinct 64-bit hashes) of lots of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, lot):
+                rows = pa.Table.from_batches([whole.slice(at, lot)])
+                chunk = Chunk(rows, spec)
+                first, _, anchor = chunk.stretches(False)
+                own = rows.column("chunk").to_numpy()[chunk.order][chunk.doc_of(first)] if len(first) else np.empty(0, np.int64)
+                order = np.lexsort((anchor, own))
+                own, anchor = own[order], anchor[order]
+                new = np.ones(len(own), bool)
+                new[1:] = (own[1:] != own[:-1]) | (anchor[1:] != anchor[:-1])
+                own, anchor = own[new], anchor[new]
+                cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, np.int64)
+                parts = [x.astype("<u8").tobytes() for x in np.split(anchor, cut[1:])] if len(cut) else []
+                yield pa.RecordBatch.from_arrays([pa.array(own[cut].astype(np.int64)), pa.array(parts, pa.binary())], ["chunk", "anchors"])
+
+    return run
+
+
+def gathered(rows: pa.Table, buckets: int) -> pa.Table:
+    """Digit 1 of a chunk from what lots of its documents have."""
+    return prints_of(np.concatenate([np.frombuffer(x, "<u8") for x in rows.column("anchors").to_pylist()]), rows.column("chunk")[0].as_py(), buckets)
+
+
+def match(rows: pa.Table) -> pa.Table:
+    """Of one bucket, with every chunk live."""
+    parts = [np.frombuffer(x, "<u4") for x in rows.column("fps").to_pylist()]
+    fps = np.concatenate(parts)
+    return matches(np.repeat(rows.column("chunk").to_numpy(), [len(x) for x in parts]), fps, np.ones(len(fps), bool), rows.column("bucket")[0].as_py())
+
+
+PRINTS, MATCHED = "bucket long, chunk long, fps binary", "chunk long, bucket long, fps binary"
 
 
 def matches(chunks: np.ndarray, fps: np.ndarray, live: np.ndarray, bucket: int) -> pa.Table:
@@ -289,70 +332,113 @@ def matches(chunks: np.ndarray, fps: np.ndarray, live: np.ndarray, bucket: int)
     return pa.table({"chunk": pa.array(own[cut].astype(np.int64)), "bucket": pa.array([bucket] * len(cut), pa.int64()), "fps": pa.array(parts, pa.binary())})
 
 
-STRETCH = "h long, r1 long, r2 long, doc long, pos long, n long, chunk long"
+STRETCH = "h long, r1 long, r2 long, doc long, pos long, n long, chunk long, state int"
+#: Of a stretch: one of its anchor's here; the first of several; one of several; stretches equal to others before them here.
+ONE, SEVERAL, DIFFERENT, AGAIN = range(4)
 
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(U).view(np.int64))
 
 
-def candidates(rows: pa.Table, matched: pa.Table, spec: Spec, buckets: int) -> pa.Table:
-    """Digit 2 of a chunk: each distinct stretch that may hold repeats of another chunk or of another stretch here, once, at its earliest place."""
+def listed(buckets: list[int], fps: list[bytes]) -> np.ndarray:
+    """Bucket and fingerprint as one integer each."""
+    known = [(U(b) << U(32)) | np.frombuffer(x, "<u4").astype(U) for b, x in zip(buckets, fps, strict=True) if x is not None]
+    return np.concatenate(known) if known else np.empty(0, U)
+
+
+def held(hashes: np.ndarray, known: np.ndarray, buckets: int) -> np.ndarray:
+    bucket, fp = bucket_key(hashes, buckets)
+    return np.isin((bucket << U(32)) | fp.astype(U), known)
+
+
+def joined_runs(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches that follow each other without a gap as one."""
+    cut = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1] + n[:-1]])) if len(first) else np.empty(0, np.int64)
+    return first[cut], np.add.reduceat(n, cut) if len(cut) else n
+
+
+def candidates(rows: pa.Table, matched: pa.Table, spec: Spec, buckets: int, live_from: int) -> pa.Table:
+    """Digit 2 of a chunk.
+
+    An anchor that other chunks hold is sent once, with its stretch, or the earliest where it
+    has several here.  Several stretches of an anchor are also sent one by one, keyed by
+    themselves, to have their windows compared; stretches equal to earlier ones here are told
+    as they are, keyed by their place.
+    """
     kind = ("h", "r1", "r2", "doc", "pos", "n", "chunk")
-    if not rows.num_rows:
-        return pa.table({k: pa.array([], pa.int64()) for k in kind})
+    if not rows.num_rows or not matched.num_rows and rows.column("chunk")[0].as_py() < live_from:
+        return pa.table({k: pa.array([], pa.int64()) for k in kind} | {"state": pa.array([], pa.int32())})
     chunk = Chunk(rows, spec)
     first, n, anchor, r1, r2 = sorted_stretches(chunk, True)
-    once = ~later(r1, r2, anchor)
-    first, n, anchor, r1, r2 = (x[once] for x in (first, n, anchor, r1, r2))
-    bucket, fp = bucket_key(anchor, buckets)
-    known = [(U(b) << U(32)) | np.frombuffer(x, "<u4").astype(U) for b, x in zip(matched.column("bucket").to_pylist(), matched.column("fps").to_pylist(), strict=True)]
-    wanted = np.isin((bucket << U(32)) | fp.astype(U), np.concatenate(known)) if known else np.zeros(len(first), bool)
+    again = later(r1, r2, anchor)
+    told, size = joined_runs(first[again], n[again])
+    first, n, anchor, r1, r2 = (x[~again] for x in (first, n, anchor, r1, r2))
     _, at, count = np.unique(anchor, return_inverse=True, return_counts=True)
-    wanted |= count[at] > 1
-    first, n, anchor, r1, r2 = (x[wanted] for x in (first, n, anchor, r1, r2))
-    doc, pos = chunk.places(first)
+    several = count[at] > 1
+    known = listed(matched.column("bucket").to_pylist(), matched.column("fps").to_pylist()) if matched.num_rows else np.empty(0, U)
+    sent = ~later(anchor) & held(anchor, known, buckets)
     own = rows.column("chunk")[0].as_py()
-    return pa.table({"h": signed(anchor), "r1": signed(r1), "r2": signed(r2), "doc": pa.array(doc), "pos": pa.array(pos), "n": pa.array(n.astype(np.int64)), "chunk": pa.array(np.full(len(doc), own, np.int64))})
+    place = mixed(told.astype(U) ^ mixed(np.full(len(told), own + 1).astype(U)))
+    parts = (
+        (anchor[sent], r1[sent], r2[sent], first[sent], n[sent], np.where(several[sent], SEVERAL, ONE)),
+        (r1[several], r1[several], r2[several], first[several], n[several], np.full(int(several.sum()), DIFFERENT)),
+        (place, place, place, told, size, np.full(len(told), AGAIN)),
+    )
+    h, r1, r2, first, n, state = (np.concatenate(x) for x in zip(*parts, strict=True))
+    doc, pos = chunk.places(first)
+    return pa.table({"h": signed(h), "r1": signed(r1), "r2": signed(r2), "doc": pa.array(doc), "pos": pa.array(pos), "n": pa.array(n.astype(np.int64)), "chunk": pa.array(np.full(len(doc), own, np.int64)), "state": pa.array(state.astype(np.int32))})
+
+
+def located(chunk: Chunk, found: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """First token in the chunk and windows of what `found` tells about it."""
+    if not found.num_rows:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    found = found.filter(pa.compute.equal(found.column("kind"), kind))
+    ids, pos, n = (found.column(c).to_numpy() for c in ("doc", "pos", "n"))
+    return chunk.locate(ids, pos), n
+
+
+def open_windows(chunk: Chunk, found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of the stretches that differ from others with their anchor, here or elsewhere: first token in the chunk, both hashes."""
+    first, n = located(chunk, found, OPEN)
+    first, at = np.unique(first, return_index=True)
+    return chunk.windows(first, n[at])
+
+
+def window_fingerprints(rows: pa.Table, found: pa.Table, spec: Spec, buckets: int) -> pa.Table:
+    """Digit 3 of a chunk, first by fingerprints."""
+    if not rows.num_rows or not found.num_rows:
+        return prints_of(np.empty(0, U), 0, buckets)
+    return prints_of(open_windows(Chunk(rows, spec), found)[1], rows.column("chunk")[0].as_py(), buckets)
 
 
-def open_windows(rows: pa.Table, stretches: pa.Table, spec: Spec) -> pa.Table:
-    """Digit 3 of a chunk: each distinct window of the given stretches once, at its earliest place."""
+def repeated_windows(rows: pa.Table, found: pa.Table, spec: Spec, buckets: int) -> pa.Table:
+    """Digit 3 of a chunk: of the windows whose fingerprint other chunks hold, each distinct one at its earliest place."""
     kind = ("w1", "w2", "doc", "pos", "chunk")
-    if not rows.num_rows or not stretches.num_rows:
+    known = listed(found.column("bucket").to_pylist(), found.column("fps").to_pylist()) if found.num_rows else np.empty(0, U)
+    if not rows.num_rows or not len(known):
         return pa.table({k: pa.array([], pa.int64()) for k in kind})
     chunk = Chunk(rows, spec)
-    token, w1, w2 = chunk.windows(*located(chunk, stretches))
+    token, w1, w2 = open_windows(chunk, found)
+    take = held(w1, known, buckets)
+    token, w1, w2 = token[take], w1[take], w2[take]
     once = ~later(w1, w2)
     doc, pos = chunk.places(token[once])
     own = rows.column("chunk")[0].as_py()
     return pa.table({"w1": signed(w1[once]), "w2": signed(w2[once]), "doc": pa.array(doc), "pos": pa.array(pos), "chunk": pa.array(np.full(len(doc), own, np.int64))})
 
 
-def located(chunk: Chunk, stretches: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    ids, pos, n = (stretches.column(c).to_numpy() for c in ("doc", "pos", "n"))
-    return chunk.locate(ids, pos), n
-
-
 REPEAT, OPEN = 0, 1
 
 
 def covered(rows: pa.Table, found: pa.Table, spec: Spec) -> tuple[Chunk, np.ndarray]:
     """The chunk, and for each of its tokens whether a repeated window covers it."""
     chunk = Chunk(rows, spec)
-    first, n, anchor, r1, r2 = sorted_stretches(chunk, True)
-    again = later(r1, r2, anchor)
-    begin, size = [first[again]], [n[again]]
-    kind = found.column("kind").to_numpy() if found.num_rows else np.empty(0)
-    if found.num_rows:
-        at, m = located(chunk, found)
-        begin.append(at[kind == REPEAT])
-        size.append(m[kind == REPEAT])
-        if (kind == OPEN).any():
-            token, w1, w2 = chunk.windows(at[kind == OPEN], m[kind == OPEN])
-            again = later(w1, w2)
-            begin.append(token[again])
-            size.append(np.ones(int(again.sum()), np.int64))
+    at, m = located(chunk, found, REPEAT)
+    token, w1, w2 = open_windows(chunk, found)
+    token = token[later(w1, w2)]
+    begin, size = [at, token], [m, np.ones(len(token), np.int64)]
     begin, size = np.concatenate(begin), np.concatenate(size)
     total = int(chunk.offsets[-1]) if len(chunk.offsets) else 0
     change = np.bincount(begin, minlength=total + 1).astype(np.int64) - np.bincount(begin + size - 1 + spec.length, minlength=total + 1)
@@ -377,20 +463,26 @@ def shape(docs: DataFrame, chunk_bytes: int, token_bytes: int) -> tuple[int, int
     return max(4 * n, math.ceil(size / chunk_bytes)), max(n, math.ceil(size / token_bytes / (1 << 22)))
 
 
-def repeats(docs: DataFrame, matched: DataFrame, spec: Spec, buckets: int, live: DataFrame | None = None) -> DataFrame:
+def repeats(docs: DataFrame, matched: DataFrame, spec: Spec, buckets: int, live_from: int = 0) -> DataFrame:
     """Digits 2 and 3: chunk, kind, doc, pos, n, by which `covered` knows the repeats of each chunk.
 
-    docs: from dealt(); matched: chunk, bucket, fps.
+    docs: from dealt(); matched: chunk, bucket, fps; chunks below live_from are history,
+    whose repeats among themselves don't matter.  A chunk has one row for an anchor, so
+    the rows of an anchor are at most as many as chunks.
     """
     keyed = docs.groupBy("chunk")
-    stretch = keyed.cogroup(matched.groupBy("chunk")).applyInArrow(lambda a, b: candidates(a, b, spec, buckets), STRETCH)
-    order = Window.partitionBy("h", "r1", "r2").orderBy("doc", "pos", "chunk")
-    ranked = stretch.withColumn("rank", F.row_number().over(order))
-    again = ranked.where("rank > 1")
-    first = ranked.where("rank = 1")
-    shared = stretch.groupBy("h").agg(F.min(F.struct("r1", "r2")).alias("a"), F.max(F.struct("r1", "r2")).alias("b")).where("a <> b").select("h")
-    opened = first.join(shared, "h", "left_semi").select("chunk", "doc", "pos", "n")
-    window = keyed.cogroup(opened.groupBy("chunk")).applyInArrow(lambda a, b: open_windows(a, b, spec), "w1 long, w2 long, doc long, pos long, chunk long")
+    stretch = keyed.cogroup(matched.groupBy("chunk")).applyInArrow(lambda a, b: candidates(a, b, spec, buckets, live_from), STRETCH)
+    alike = Window.partitionBy("h")
+    ranked = stretch.select(
+        "*",
+        F.row_number().over(Window.partitionBy("h", "r1", "r2").orderBy("doc", "pos", "chunk")).alias("rank"),
+        ((F.max("state").over(alike) > ONE) | (F.min("r1").over(alike) != F.max("r1").over(alike)) | (F.min("r2").over(alike) != F.max("r2").over(alike))).alias("open"),
+    )
+    told = ranked.where("rank > 1 or open").select("chunk", F.when((F.col("rank") > 1) | (F.col("state") == AGAIN), REPEAT).otherwise(OPEN).alias("kind"), "doc", "pos", "n")
+    prints = keyed.cogroup(told.groupBy("chunk")).applyInArrow(lambda a, b: window_fingerprints(a, b, spec, buckets), PRINTS)
+    seen = prints.groupBy("bucket").applyInArrow(match, MATCHED)
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("kind", "int"), ("doc", "long"), ("pos", "long"), ("n", "long"))]
+    both = told.select("*", F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("fps")).unionByName(seen.select("chunk", *none, "bucket", "fps"))
+    window = keyed.cogroup(both.groupBy("chunk")).applyInArrow(lambda a, b: repeated_windows(a, b, spec, buckets), "w1 long, w2 long, doc long, pos long, chunk long")
     twice = window.withColumn("rank", F.row_number().over(Window.partitionBy("w1", "w2").orderBy("doc", "pos", "chunk"))).where("rank > 1")
-    parts = (again.select("chunk", F.lit(REPEAT).alias("kind"), "doc", "pos", "n"), opened.select("chunk", F.lit(OPEN).alias("kind"), "doc", "pos", "n"), twice.select("chunk", F.lit(REPEAT).alias("kind"), "doc", "pos", F.lit(1).cast("long").alias("n")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return told.unionByName(twice.select("chunk", F.lit(REPEAT).alias("kind"), "doc", "pos", F.lit(1).cast("long").alias("n")))
