@@ -168,3 +168,13 @@ def merge_blocks(a: DataFrame, b: DataFrame, carry: tuple[str, ...], kind: str)
     grouped = both.groupBy(*own).agg(F.collect_set("spans").alias("parts"), F.collect_set("items").alias("ids"), F.sum(F.lit(1) - F.col("_block")).alias("copies"))
     merged = grouped.select(*own, "parts", "ids", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     return merged.drop("copy").mapInArrow(union, kind)
+
+
+def removed(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """The documents in which no window of any item occurs; every column is kept."""
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    names = {c: f"_carried_{k}" for k, c in enumerate(rest)}
+    held = docs.select("doc_id", "text", *[docs[c].alias(n) for c, n in names.items()])
+    found = decontaminate(held, benchmark, window, carry=tuple(names.values()))
+    clean = found.where("n_hit = 0").select("doc_id", "text", *[F.col(n).alias(c) for c, n in names.items()])
+    return clean.select(*docs.columns)
