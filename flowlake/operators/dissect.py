@@ -376,7 +376,7 @@ def display() -> Column:
             "Raw": F.concat(x["len"].cast("string"), F.lit(" bytes")),
         }
         text = F.coalesce(*[F.when(x["protocol"] == k, v) for k, v in shown.items()], F.concat(x["len"].cast("string"), F.lit(" bytes")))
-        return F.concat(F.lit("["), x["protocol"], F.lit("] "), F.rtrim(text))
+        return F.concat(F.lit("["), x["protocol"], F.lit("] "), text)
 
     return F.concat_ws(" | ", F.transform("layers", one))
 
