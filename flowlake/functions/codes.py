@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 # Code tables of the protocols.
 ETH_TYPE = {0x0800: "Ipv4", 0x0806: "Arp", 0x0808: "FrameRelayArp", 0x8100: "Vlan", 0x8137: "Novell8137", 0x8138: "Novell8138", 0x86DD: "Ipv6", 0x8847: "MplsUnicast", 0x8848: "MplsMulticast"}
-IP_PROTOCOL = {0: "Hopopt", 1: "Icmp", 2: "Igmp", 4: "Ipv4", 6: "Tcp", 8: "Egp", 17: "Udp", 41: "Ipv6", 43: "Ipv6Route", 44: "Ipv6Frag", 47: "Gre", 50: "Esp", 51: "Ah", 58: "Ipv6Icmp", 59: "Ipv6NoNxt", 60: "Ipv6Opts", 89: "Ospf", 103: "Pim", 112: "Vrrp", 115: "L2tp", 132: "Sctp", 137: "MplsInIp"}
+#: Protocol numbers from 0 in order.
+IP_PROTOCOL = dict(
+    enumerate(
+        """Hopopt Icmp Igmp Ggp Ipv4 St Tcp Cbt Egp Igp BbnRccMon NvpII Pup Argus Emcon Xnet Chaos Udp Mux DcnMeas Hmp Prm XnsIdp Trunk1 Trunk2 Leaf1 Leaf2 Rdp Irtp IsoTp4 Netblt MfeNsp MeritInp Dccp ThreePc Idpr Xtp Ddp IdprCmtp TpPlusPlus Il Ipv6 Sdrp Ipv6Route Ipv6Frag Idrp Rsvp Gre Dsr Bna Esp Ah INlsp Swipe Narp Mobile Tlsp Skip Ipv6Icmp Ipv6NoNxt Ipv6Opts AnyHostInternalProtocol Cftp AnyLocalNetwork SatExpak Kryptolan Rvd Ippc AnyDistributedFileSystem SatMon Visa Ipcv Cpnx Cphb Wsn Pvp BrSatMon SunNd WbMon WbExpak IsoIp Vmtp SecureVmtp Vines Iptm NsfnetIgp Dgp Tcf Eigrp Ospfigp SpriteRpc Larp Mtp Ax25 IpIp Micp SccSp Etherip Encap AnyPrivateEncryptionScheme Gmtp Ifmp Pnni Pim Aris Scps Qnx AN IpComp Snp CompaqPeer IpxInIp Vrrp Pgm Any0HopProtocol L2tp Ddx Iatp Stp Srp Uti Smp Sm Ptp IsisOverIpv4 Fire Crtp Crudp Sscopmce Iplt Sps Pipe Sctp Fc RsvpE2eIgnore MobilityHeader UdpLite MplsInIp Manet Hip Shim6 Wesp Rohc Ethernet Aggfrag Nsh""".split()
+    )
+)
+ARPHRD = {0: "NETROM", 1: "ETHER", 2: "EETHER", 3: "AX25", 4: "PRONET", 5: "CHAOS", 6: "IEEE802", 7: "ARCNET", 8: "APPLETLK", 15: "DLCI", 19: "ATM", 23: "METRICOM", 24: "IEEE1394", 27: "EUI64", 32: "INFINIBAND", 256: "SLIP", 257: "CSLIP", 258: "SLIP6", 259: "CSLIP6", 260: "RSRVD", 264: "ADAPT", 270: "ROSE", 271: "X25", 272: "HWX25", 280: "CAN", 290: "MCTP", 512: "PPP", 513: "CISCOHDLC", 516: "LAPB", 517: "DDCMP", 518: "RAWHDLC", 519: "RAWIP", 768: "TUNNEL", 769: "TUNNEL6", 770: "FRAD", 771: "SKIP", 772: "LOOPBACK", 773: "LOCALTLK", 774: "FDDI", 775: "BIF", 776: "SIT", 777: "IPDDP", 778: "IPGRE", 779: "PIMREG", 780: "HIPPI", 781: "ASH", 782: "ECONET", 783: "IRDA", 784: "FCPP", 785: "FCAL", 786: "FCPL", 787: "FCFABRIC", 800: "IEEE802TR", 801: "IEEE80211", 802: "IEEE80211PRISM", 803: "IEEE80211RADIOTAP", 804: "IEEE802154", 805: "IEEE802154PHY", 0xFFFE: "NONE", 0xFFFF: "VOID"}
 ARP_OPERATION = {0: "Reserved", 1: "Request", 2: "Reply", 3: "RequestReverse", 4: "ReplyReverse", 5: "DrarpRequest", 6: "DrarpReply", 7: "DrarpError", 8: "InArpRequest", 9: "InArpReply", 10: "ArpNak", 11: "MarsRequest", 12: "MarsMulti", 13: "MarsMServ", 14: "MarsJoin", 15: "MarsLeave", 16: "MarsNak", 17: "MarsUnserv", 18: "MarsSJoin", 19: "MarsSLeave", 20: "MarsGrouplistRequest", 21: "MarsGrouplistReply", 22: "MarsRedirectMap", 23: "MaposUnarp", 24: "OpExp1", 25: "OpExp2"}
 ARP_HARDWARE = {0: "Reserved", 1: "Ethernet", 2: "ExperimentalEthernet", 3: "AmateurRadioAx25", 4: "ProteonPronetTokenRing", 5: "Chaos", 6: "Ieee802Networks", 7: "Arcnet", 8: "Hyperchannel", 9: "Lanstar", 10: "AutonetShortAddress", 11: "Localtalk", 12: "Localnet", 13: "Ultralink", 14: "Smds", 15: "FrameRelay", 16: "Atm16", 17: "Hdlc", 18: "FibreChannel", 19: "Atm19", 20: "SerialLine", 21: "Atm21", 22: "MilStd188220", 23: "Metricom", 24: "Ieee1394", 25: "Mapos", 26: "Twinaxial", 27: "Eui64", 28: "Hiparp", 29: "Iso7816_3", 30: "ArpSec", 31: "IpsecTunnel", 32: "InfiniBand", 33: "Tia102", 34: "WiegandInterface", 35: "PureIp", 36: "HwExp1", 37: "Hfi", 38: "UnifiedBus", 256: "HwExp2", 257: "AEthernet"}
 DHCP_OP = {1: "BootRequest", 2: "BootReply"}
@@ -25,7 +31,8 @@ TLS_CONTENT = {20: "ChangeCipherSpec", 21: "Alert", 22: "Handshake", 23: "Applic
 TLS_HANDSHAKE = {0: "HelloRequest", 1: "ClientHello", 2: "ServerHello", 4: "NewSessionTicket", 5: "EndOfEarlyData", 8: "EncryptedExtensions", 11: "Certificate", 12: "ServerKeyExchange", 13: "CertificateRequest", 14: "ServerHelloDone", 15: "CertificateVerify", 16: "ClientKeyExchange", 20: "Finished", 21: "CertificateUrl", 22: "CertificateStatus", 24: "KeyUpdate", 254: "MessageHash"}
 IPV4_OPTION = {0: "EndOfOptions", 1: "NoOperation", 7: "RecordRoute", 10: "ExperimentalMeasurement", 11: "MtuProbe", 12: "MtuReply", 15: "Encode", 25: "QuickStart", 30: "Rfc3692Experiment30", 68: "Timestamp", 82: "Traceroute", 94: "Rfc3692Experiment94", 130: "Security", 131: "LooseSourceRoute", 133: "ExtendedSecurity", 134: "CommercialSecurity", 136: "StreamId", 137: "StrictSourceRoute", 142: "Visa", 144: "ImiTrafficDescriptor", 145: "ExtendedInternetProtocol", 147: "AddressExtension", 148: "RouterAlert", 149: "SelectiveDirectedBroadcast", 150: "Released150", 151: "DynamicPacketState", 152: "UpstreamMulticastPacket", 158: "Rfc3692Experiment158", 205: "ExperimentalFlowControl", 222: "Rfc3692Experiment222"}
 TCP_OPTION = {0: "EndOfOptions", 1: "NoOperation", 2: "MaximumSegmentSize", 3: "WindowScale", 4: "SackPermitted", 5: "Sack", 6: "Echo", 7: "EchoReply", 8: "Timestamp", 9: "PartialOrderConnectionPermitted", 10: "PartialOrderServiceProfile", 11: "Cc", 12: "CcNew", 13: "CcEcho", 14: "AlternateChecksumRequest", 15: "AlternateChecksumData", 16: "Skeeter", 17: "Bubba", 18: "TrailerChecksum", 19: "Md5Signature", 20: "ScpsCapabilities", 21: "SelectiveNegativeAcknowledgements", 22: "RecordBoundaries", 23: "CorruptionExperienced", 24: "Snap", 25: "Unassigned25", 26: "TcpCompressionFilter", 27: "QuickStartResponse", 28: "UserTimeout", 29: "Authentication", 30: "MultipathTcp", 34: "FastOpenCookie"}
-LINK_TYPE = {0: "Null", 1: "Ethernet", 101: "Raw", 113: "LinuxSll", 228: "Ipv4", 229: "Ipv6", 276: "LinuxSll2"}
+LINK_TYPE = {0: "Null", 1: "Ethernet", 2: "ExpEthernet", 3: "Ax25", 6: "TokenRing", 7: "Arcnet", 8: "Slip", 9: "Ppp", 10: "Fddi", 101: "Raw", 105: "Ieee80211", 113: "LinuxSll", 119: "PrismHeader", 120: "AironetHeader", 127: "Ieee80211Radiotap", 228: "Ipv4", 229: "Ipv6", 276: "LinuxSll2"}
+LSAP = {0xAA: "Snap"}
 #: Display order of TCP flags.
 TCP_FLAGS = (("CWR", 0x80), ("ECE", 0x40), ("URG", 0x20), ("ACK", 0x10), ("PSH", 0x08), ("RST", 0x04), ("SYN", 0x02), ("FIN", 0x01))
 
