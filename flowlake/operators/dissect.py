@@ -314,16 +314,19 @@ def dissect(packets: DataFrame, root: str | None = None, registry: Registry | No
     columns = packets.columns
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        layer = pa.list_(pa.struct([("protocol", pa.string()), ("offset", pa.int32()), ("len", pa.int32())]))
         error = pa.struct([("kind", pa.string()), ("protocol", pa.string()), ("offset", pa.int32()), ("needed", pa.int32()), ("available", pa.int32())])
         for batch in it:
             links = batch.column("link_type").to_pylist() if root is None else [None] * batch.num_rows
-            layers, errors = [], []
+            ends, flat, errors = [0], [], []
             for data, link in zip(batch.column("data").to_pylist(), links, strict=True):
                 found, e = parse(data or b"", root, link, registry, max_depth, fallback)
-                layers.append([x._asdict() for x in found])
+                flat += found
+                ends.append(len(flat))
                 errors.append(e and {"kind": e.kind, "protocol": e.protocol, "offset": e.offset, "needed": e.needed, "available": e.available})
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(layers, layer), pa.array(errors, error)], [*columns, "layers", "dissect_error"])
+            names, offsets, sizes = zip(*flat, strict=True) if flat else ((), (), ())
+            items = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(offsets, pa.int32()), pa.array(sizes, pa.int32())], ["protocol", "offset", "len"])
+            layers = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], layers, pa.array(errors, error)], [*columns, "layers", "dissect_error"])
 
     kind = ", ".join(f"`{n}` {t}" for n, t in packets.dtypes)
     return packets.mapInArrow(run, f"{kind}, layers {LAYERS}, dissect_error {ERROR}")
@@ -384,8 +387,8 @@ def display() -> Column:
 # Projections.
 
 
-def metadata(dissected: DataFrame) -> DataFrame:
-    """One row of report columns for each packet: nulls where a packet has no such layer.
+def metadata(dissected: DataFrame, *more: Column) -> DataFrame:
+    """One row of report columns for each packet, and the columns in more: nulls where a packet has no such layer.
 
     IPv4 counts before IPv6 and TCP before UDP where a packet has both.
     """
@@ -413,6 +416,7 @@ def metadata(dissected: DataFrame) -> DataFrame:
         F.when(~v4 & v6, f("Ipv6.payload_length")).alias("ipv6_payload_length"),
         F.when(v4, f("Ipv4.total_length")).when(v6, f("Ipv6.payload_length") + 40).alias("l3_len"),
         ((F.length("data") > 0) & F.col("dissect_error").isNull()).alias("parsed"),
+        *more,
     )
 
 

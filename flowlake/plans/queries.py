@@ -286,9 +286,8 @@ def dissect_metadata(spark, sf_dir):
     from flowlake.operators import dissect
 
     rows = dissect.dissect(crafted(spark, sf_dir).where("proto = 6").select("path", "frame_no", "ts_ns", "orig_len", "data", "link_type"))
-    names = rows.select("frame_no", F.array_join(F.col("layers.protocol"), ",").alias("layers"))
-    meta = dissect.metadata(rows).select("frame_no", "eth_type", address_text(F.col("src_addr")).alias("src_ip"), "ip_proto", "src_port", "tcp_flags", "l3_len")
-    return names.join(meta, "frame_no")
+    names = F.array_join(F.col("layers.protocol"), ",").alias("layers")
+    return dissect.metadata(rows, names).select("frame_no", "layers", "eth_type", address_text(F.col("src_addr")).alias("src_ip"), "ip_proto", "src_port", "tcp_flags", "l3_len")
 
 
 @query(f""" SELECT frame_no, ts_ns // 1000 * 1000 AS ts_ns, orig_len, CAST({CAP} + header_len + 34 AS BIGINT) AS cap_len, src_ip, dst_ip FROM pk""")
