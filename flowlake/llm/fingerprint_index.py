@@ -94,7 +94,7 @@ class FingerprintIndex:
     def _placed(self, batch: int, docs: DataFrame) -> DataFrame:
         return windows.dealt(docs, self.state["chunks"][batch], batch << BATCH_BITS)
 
-    def ingest(self, batch: DataFrame, history: list[DataFrame] | DataFrame | None = None, chunk_bytes: int = 4 << 20) -> DataFrame:
+    def ingest(self, batch: DataFrame, history: list[DataFrame] | DataFrame | None = None, chunk_bytes: int = 2 << 20) -> DataFrame:
         """doc_id, n_words, n_removed, kept (the other words, joined by one space) of the batch's documents.
 
         history: the documents of all earlier batches, one frame each, as they were ingested.
@@ -123,7 +123,7 @@ class FingerprintIndex:
                 return without(windows.Chunk(a.slice(0, 0), spec), np.empty(0, bool))
             return without(*windows.covered(a, b, spec))
 
-        return every.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(finish, KIND)
+        return every.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(windows.lean(finish), KIND)
 
     def compact(self, least: int = 2) -> None:
         """Merges the runs of the lowest level that has `least` of them into one of the next level."""
@@ -183,7 +183,7 @@ def split_by_id(docs: DataFrame, batches: int) -> list[DataFrame]:
 def incremental_dedup(docs: DataFrame, path: str, batches: int = 2, length: int = 20, gram: int = 8) -> DataFrame:
     """Indexes the documents in batches of ascending doc_id; the results of all batches."""
     spark = docs.sparkSession
-    buckets = windows.shape(docs, 4 << 20, 5 * ((length - gram) // 2 + 1))[1]
+    buckets = windows.shape(docs, 2 << 20, 5 * ((length - gram) // 2 + 1))[1]
     index = FingerprintIndex(spark, path, Spec("words", length, min(gram, length)), buckets)
     parts = split_by_id(docs, batches)
     out = None

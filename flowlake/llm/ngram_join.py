@@ -319,10 +319,10 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, chunk_bytes: int
     rows = windows.dealt(docs, chunks)
     keyed = rows.groupBy("chunk")
     reps = classes.select("rep", F.pmod(F.xxhash64("rep"), F.lit(chunks)).cast("long").alias("chunk"))
-    counts = keyed.cogroup(reps.groupBy("chunk")).applyInArrow(lambda a, b: counted(a, b, n, buckets), "bucket long, chunk long, fps binary, many binary")
+    counts = keyed.cogroup(reps.groupBy("chunk")).applyInArrow(windows.lean(lambda a, b: counted(a, b, n, buckets)), "bucket long, chunk long, fps binary, many binary")
     back = counts.groupBy("bucket").applyInArrow(summed, "chunk long, bucket long, fps binary, sizes binary")
     told = reps.select("chunk", "rep", *[F.lit(None).cast(t).alias(c) for c, t in (("bucket", "long"), ("fps", "binary"), ("sizes", "binary"))]).unionByName(back.withColumn("rep", F.lit(None).cast("long")))
-    searched = written(keyed.cogroup(told.groupBy("chunk")).applyInArrow(lambda a, b: probing(a, b, n, buckets, percent), "doc long, n long, probes array<long>, grams binary"), "gram-searched")
+    searched = written(keyed.cogroup(told.groupBy("chunk")).applyInArrow(windows.lean(lambda a, b: probing(a, b, n, buckets, percent)), "doc long, n long, probes array<long>, grams binary"), "gram-searched")
     del counts, back, told, keyed, rows
     release(docs.sparkSession)
     entries = searched.select("doc", "n", F.posexplode("probes").alias("k", "gram"), F.size("probes").alias("p"))

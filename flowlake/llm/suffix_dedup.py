@@ -52,7 +52,7 @@ def cut(chunk: windows.Chunk, mask: np.ndarray, characters: bool) -> pa.Table:
     return pa.table({"doc_id": pa.array(chunk.doc_id, pa.int64()), "n_bytes": pa.array(np.diff(chunk.offsets)), "n_removed": pa.array(removed.astype(np.int64)), "spans": pa.array(spans, kind), "kept": pa.array(kept, pa.binary())})
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, gram: int = 50, chunk_bytes: int = 4 << 20, characters: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 100, gram: int = 50, chunk_bytes: int = 2 << 20, characters: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (maximal removed runs of bytes), kept (the other bytes), and the columns named in carry.
 
     characters: a character of which only a part is repeated stays, so kept is valid UTF-8.
@@ -60,7 +60,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, gram: int = 50, chunk_bytes
     spec = windows.Spec("bytes", length, min(gram, length))
     chunks, buckets = windows.shape(docs, chunk_bytes, (length - gram) // 2 + 1)
     rows = windows.dealt(docs, chunks, carry=carry)
-    prints = rows.groupBy("chunk").applyInArrow(lambda t: windows.fingerprints(t, spec, buckets), windows.PRINTS)
+    prints = rows.groupBy("chunk").applyInArrow(windows.lean(lambda t: windows.fingerprints(t, spec, buckets)), windows.PRINTS)
     matched = prints.groupBy("bucket").applyInArrow(windows.match, windows.MATCHED)
     found = windows.repeats(rows, matched, spec, buckets)
 
@@ -72,5 +72,5 @@ def suffix_dedup(docs: DataFrame, length: int = 100, gram: int = 50, chunk_bytes
         return out
 
     kind = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return rows.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(finish, KIND + kind)
+    return rows.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(windows.lean(finish), KIND + kind)
 

@@ -29,6 +29,7 @@ of more than SEGMENT tokens are hashed in overlapping segments.
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 
 from flowlake.llm.common import measure, partitions, texts
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 #: Anchor order: hash bits first, then the position, so that the leftmost of equals is taken.
 PLACE = np.uint64((1 << 24) - 1)
 SEQ = 40
@@ -49,6 +50,22 @@ NULL_ID = -(1 << 63)
 U = np.uint64
 
 
+def lean(f):
+    """f, after which the Python worker gives freed memory back; idle workers would else keep their peak."""
+
+    def run(*tables: pa.Table) -> pa.Table:
+        try:
+            return f(*tables)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):
+                pass
+
+    return (lambda a: run(a)) if f.__code__.co_argcount == 1 else (lambda a, b: run(a, b))
+
+
 class Spec(NamedTuple):
     """tokens: 'bytes' or 'words'; length: tokens of a window; gram: tokens of an anchor."""
 
@@ -441,8 +458,11 @@ def covered(rows: pa.Table, found: pa.Table, spec: Spec) -> tuple[Chunk, np.ndar
     begin, size = [at, token], [m, np.ones(len(token), np.int64)]
     begin, size = np.concatenate(begin), np.concatenate(size)
     total = int(chunk.offsets[-1]) if len(chunk.offsets) else 0
-    change = np.bincount(begin, minlength=total + 1).astype(np.int64) - np.bincount(begin + size - 1 + spec.length, minlength=total + 1)
-    return chunk, np.cumsum(change[:total]) > 0
+    change = np.zeros(total + 1, np.int32)
+    np.add.at(change, begin, 1)
+    np.subtract.at(change, begin + size - 1 + spec.length, 1)
+    np.cumsum(change, out=change)
+    return chunk, change[:total] > 0
 
 
 def dealt(docs: DataFrame, chunks: int, offset: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -460,7 +480,7 @@ def shape(docs: DataFrame, chunk_bytes: int, token_bytes: int) -> tuple[int, int
     """
     _, size = measure(texts(docs))
     n = partitions(docs.sparkSession)
-    return max(4 * n, math.ceil(size / chunk_bytes)), max(n, math.ceil(size / token_bytes / (1 << 22)))
+    return max(2 * n, math.ceil(size / chunk_bytes)), max(n, math.ceil(size / token_bytes / (1 << 22)))
 
 
 def repeats(docs: DataFrame, matched: DataFrame, spec: Spec, buckets: int, live_from: int = 0) -> DataFrame:
@@ -471,7 +491,7 @@ def repeats(docs: DataFrame, matched: DataFrame, spec: Spec, buckets: int, live_
     the rows of an anchor are at most as many as chunks.
     """
     keyed = docs.groupBy("chunk")
-    stretch = keyed.cogroup(matched.groupBy("chunk")).applyInArrow(lambda a, b: candidates(a, b, spec, buckets, live_from), STRETCH)
+    stretch = keyed.cogroup(matched.groupBy("chunk")).applyInArrow(lean(lambda a, b: candidates(a, b, spec, buckets, live_from)), STRETCH)
     alike = Window.partitionBy("h")
     ranked = stretch.select(
         "*",
@@ -479,10 +499,10 @@ def repeats(docs: DataFrame, matched: DataFrame, spec: Spec, buckets: int, live_
         ((F.max("state").over(alike) > ONE) | (F.min("r1").over(alike) != F.max("r1").over(alike)) | (F.min("r2").over(alike) != F.max("r2").over(alike))).alias("open"),
     )
     told = ranked.where("rank > 1 or open").select("chunk", F.when((F.col("rank") > 1) | (F.col("state") == AGAIN), REPEAT).otherwise(OPEN).alias("kind"), "doc", "pos", "n")
-    prints = keyed.cogroup(told.groupBy("chunk")).applyInArrow(lambda a, b: window_fingerprints(a, b, spec, buckets), PRINTS)
+    prints = keyed.cogroup(told.groupBy("chunk")).applyInArrow(lean(lambda a, b: window_fingerprints(a, b, spec, buckets)), PRINTS)
     seen = prints.groupBy("bucket").applyInArrow(match, MATCHED)
     none = [F.lit(None).cast(t).alias(c) for c, t in (("kind", "int"), ("doc", "long"), ("pos", "long"), ("n", "long"))]
     both = told.select("*", F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("fps")).unionByName(seen.select("chunk", *none, "bucket", "fps"))
-    window = keyed.cogroup(both.groupBy("chunk")).applyInArrow(lambda a, b: repeated_windows(a, b, spec, buckets), "w1 long, w2 long, doc long, pos long, chunk long")
+    window = keyed.cogroup(both.groupBy("chunk")).applyInArrow(lean(lambda a, b: repeated_windows(a, b, spec, buckets)), "w1 long, w2 long, doc long, pos long, chunk long")
     twice = window.withColumn("rank", F.row_number().over(Window.partitionBy("w1", "w2").orderBy("doc", "pos", "chunk"))).where("rank > 1")
     return told.unionByName(twice.select("chunk", F.lit(REPEAT).alias("kind"), "doc", "pos", F.lit(1).cast("long").alias("n")))
