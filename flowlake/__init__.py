@@ -1,3 +1,26 @@
 """flowlake: packet, flow and corpus analytics expressed as Spark DataFrames."""
 
+from __future__ import annotations
+
+import tempfile
+import zipfile
+from pathlib import Path
+
 __version__ = "0.1.0"
+
+
+def ship(spark):
+    """Gives this package to the Python workers of the session's executors, once; returns the session.
+
+    Workers import the functions that they run. Where the package is installed everywhere this changes nothing.
+    """
+    sc = spark.sparkContext
+    if not getattr(sc, "_flowlake_shipped", False):
+        root = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="flowlake-")) / "flowlake.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, Path("flowlake") / p.relative_to(root))
+        sc.addPyFile(str(target))
+        sc._flowlake_shipped = True
+    return spark

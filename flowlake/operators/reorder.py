@@ -120,23 +120,22 @@ def from_pool(addresses: list[str], seed: int, side: str) -> Column:
 
 def passes(inp: MergeInput, index: int, seed: int) -> DataFrame:
     rows = inp.packets
-    ends = rows.agg(F.min_by("ts_ns", "frame_no").alias("_first"), F.max_by("ts_ns", "frame_no").alias("_last"))
-    rows = rows.crossJoin(F.broadcast(ends))  # one row
+    first, last = (v or 0 for v in rows.agg(F.min_by("ts_ns", "frame_no"), F.max_by("ts_ns", "frame_no")).first())
     starts = inp.starts if inp.starts is not None else [inp.start]
-    length = F.col("_last") - F.col("_first")
+    length = last - first
     groups = F.array(*[F.lit(s * SECOND).cast("bigint") for s in starts])
     rows = rows.select("*", F.posexplode(groups).alias("_group", "_start"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(inp.repeat - 1))).alias("repetition"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(inp.parallel - 1))).alias("copy"))
     base = F.col("ts_ns") + F.col("_start")
     if inp.erase:
-        base = F.col("ts_ns") - F.col("_first") + F.col("_start") + (F.pmod("_first", F.lit(SECOND)) if inp.keep_subsecond else F.lit(0))
+        base = F.col("ts_ns") - first + F.col("_start") + (first % SECOND if inp.keep_subsecond else 0)
     rows = rows.withColumn("ts_ns", base + F.col("repetition") * (length + SECOND))
     rows = rows.withColumn("repetition", F.col("_group") * inp.repeat + F.col("repetition"))
     if inp.ips or inp.sources or inp.targets:
         for name, addresses in (("src_ip", inp.sources), ("dst_ip", inp.targets)):
             rows = rows.withColumn(name, F.coalesce(mapped(F.col(name), inp.ips), from_pool(addresses, seed, name), F.col(name)))
-    return rows.drop("_first", "_last", "_group", "_start").withColumn("input", F.lit(index))
+    return rows.drop("_group", "_start").withColumn("input", F.lit(index))
 
 
 def merged(inputs: list[MergeInput], seed: int = 0) -> DataFrame:

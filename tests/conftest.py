@@ -20,7 +20,9 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
-    yield s
+    from flowlake import ship
+
+    yield ship(s)
     s.stop()
 
 
