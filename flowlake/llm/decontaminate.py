@@ -79,27 +79,26 @@ def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def item_windows(benchmark: DataFrame, window: int) -> Iterator[tuple[tuple[bytes, ...], tuple[str, ...]]]:
-    """Distinct windows with the ids of their items, streamed partition by partition to the driver."""
+def blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[list[tuple[tuple[bytes, ...], tuple[str, ...]]]]:
+    """Distinct windows with the ids of their items, in blocks; items are streamed, and only one block is held at a time.
+
+    A window that stands in several blocks is found by each, with other items.
+    """
     held: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
+    size = 0
     for r in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).toLocalIterator():
         words = words_of(bytes(r[1])) if r[1] is not None else []
-        if words and r[0] is not None:
-            for i in range(max(1, len(words) - window + 1)):
-                held[tuple(words[i : i + window])].add(r[0])
-    for words in sorted(held):
-        yield words, tuple(sorted(held[words]))
-
-
-def blocks(windows: Iterator, block_words: int) -> Iterator[list]:
-    block, size = [], 0
-    for w in windows:
-        if block and size + len(w[0]) > block_words:
-            yield block
-            block, size = [], 0
-        block.append(w)
-        size += len(w[0])
-    yield block
+        if not words or r[0] is None:
+            continue
+        for i in range(max(1, len(words) - window + 1)):
+            key = tuple(words[i : i + window])
+            if key not in held:
+                if held and size + len(key) > block_words:
+                    yield [(k, tuple(sorted(v))) for k, v in sorted(held.items())]
+                    held, size = defaultdict(set), 0
+                size += len(key)
+            held[key].add(r[0])
+    yield [(k, tuple(sorted(v))) for k, v in sorted(held.items())]
 
 
 def word_rarity(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
@@ -125,7 +124,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     kind = SCHEMA + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     docs = texts(docs, carry)
     out = None
-    for block in blocks(item_windows(benchmark, window), block_words):
+    for block in blocks(benchmark, window, block_words):
         rarity = word_rarity(docs, frozenset(w for words, _ in block for w in words))
         index = docs.sparkSession.sparkContext.broadcast(WindowIndex(block, rarity))
         part = docs.mapInArrow(searcher(index, carry), kind)

@@ -142,8 +142,8 @@ def references(rows: DataFrame) -> DataFrame:
     longest = len(all_words())
     kinds = rows.groupBy("lang").agg(*[F.sum(F.get("classes", F.lit(i))).alias(f"k{i}") for i in range(n)], *[F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(longest)])
     own = kinds.select("lang", F.array(*[F.col(f"k{i}") for i in range(n)]).alias("ref_classes"), F.filter(F.array(*[F.col(f"w{i}") for i in range(longest)]), lambda x: x.isNotNull()).alias("ref_common"))
-    total = kinds.agg(*[F.sum(f"k{i}").alias(f"k{i}") for i in range(n)]).select(F.array(*[F.col(f"k{i}") for i in range(n)]).alias("all_classes"))
-    return own.join(F.broadcast(total)).select("lang", F.when(F.col("lang") == "", F.col("all_classes")).otherwise(F.col("ref_classes")).alias("ref_classes"), "ref_common")
+    total = kinds.agg(*[F.sum(f"k{i}").alias(f"k{i}") for i in range(n)]).select(F.lit("").alias("lang"), F.array(*[F.col(f"k{i}") for i in range(n)]).alias("all_classes"))
+    return own.join(total, "lang", "left").select("lang", F.coalesce("all_classes", "ref_classes").alias("ref_classes"), "ref_common")
 
 
 def quality_rules(docs: DataFrame, max_class_distance: float = 0.22, max_word_distance: float = 0.6, min_chars: int = 200, min_common: int = 40) -> DataFrame:
