@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlake import ship
 from flowlake.llm import decontaminate, ngram_join, pieces, suffix_dedup, toxicity
 from flowlake.llm.common import scratch, table
 from flowlake.llm.queries import tokenizer_path
@@ -29,11 +30,13 @@ REST = COLUMNS[2:]
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     model = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, carry=COLUMNS[1:]).where("score < 0.5").select(*COLUMNS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     groups = ngram_join.ngram_join(docs)
     stay = groups.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.join(stay, "doc_id", "left_semi").select(*COLUMNS)
@@ -41,16 +44,19 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     found = suffix_dedup.suffix_dedup(docs, length=100, characters=True, carry=("lang", "source"))
     return found.withColumn("text", F.col("kept").cast("string")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def not_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), window=10, carry=REST)
     return found.where("n_hit = 0").select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return pieces.digests(pieces.encode(docs, tokenizer_path("piece_bpe_32k.model")))
 
 
