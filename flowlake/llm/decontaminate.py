@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -121,14 +122,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
 
     benchmark: (item_id, text).  A document's words are numbered from 0.
     """
-    kind = SCHEMA + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     docs = texts(docs, carry)
-    out = None
+    parts = []
     for block in blocks(benchmark, window, block_words):
         rarity = word_rarity(docs, frozenset(w for words, _ in block for w in words))
         index = docs.sparkSession.sparkContext.broadcast(WindowIndex(block, rarity))
-        part = docs.mapInArrow(searcher(index, carry), kind)
-        out = part if out is None else merge_blocks(out, part, carry, kind)
+        if not parts:
+            parts.append(docs.mapInArrow(searcher(index, carry), SCHEMA + more))
+        else:
+            found = docs.select("doc_id", "text").mapInArrow(searcher(index, ()), SCHEMA).where(F.size("spans") > 0)
+            parts.append(found.select("doc_id", F.xxhash64("text").alias("_text"), "spans", "items"))
+    out = parts[0] if len(parts) == 1 else merge_blocks(parts[0], parts[1:], carry, SCHEMA + more)
     return out.withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)"))
 
 
@@ -151,22 +156,21 @@ def searcher(index, carry):
     return search
 
 
-def merge_blocks(a: DataFrame, b: DataFrame, carry: tuple[str, ...], kind: str) -> DataFrame:
-    """Hits of two blocks of items; equal rows of a document are found alike by both, so they merge without loss."""
-    own = ("doc_id", "text", "n_words", *carry)
+def merge_blocks(first: DataFrame, others: list[DataFrame], carry: tuple[str, ...], kind: str) -> DataFrame:
+    """Hits of several blocks of items.  All but the first come as hit documents only, named by doc_id and a hash of the text; equal rows have equal hits."""
+    own = ("doc_id", "text", "n_words")
 
     def union(batches):
         for batch in batches:
             parts, ids = batch.column("parts").to_pylist(), batch.column("ids").to_pylist()
             spans = [[{"start": x, "end": y} for x, y in covered([(s["start"], s["end"]) for part in p for s in part])] for p in parts]
             items = [sorted({i for part in p for i in part}) for p in ids]
-            cols = {n: batch.column(n) for n in own[:3]} | {"spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "items": pa.array(items, pa.list_(pa.string()))} | {n: batch.column(n) for n in carry}
-            yield pa.RecordBatch.from_pydict(cols)
+            yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in own} | {"spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "items": pa.array(items, pa.list_(pa.string()))} | {n: batch.column(n) for n in carry})
 
-    both = a.select("*", F.lit(0).alias("_block")).unionByName(b.select("*", F.lit(1).alias("_block")))
-    grouped = both.groupBy(*own).agg(F.collect_set("spans").alias("parts"), F.collect_set("items").alias("ids"), F.sum(F.lit(1) - F.col("_block")).alias("copies"))
-    merged = grouped.select(*own, "parts", "ids", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    return merged.drop("copy").mapInArrow(union, kind)
+    hits = reduce(DataFrame.unionByName, others).groupBy(F.col("doc_id").alias("_doc"), "_text").agg(F.collect_set("spans").alias("_spans"), F.collect_set("items").alias("_items"))
+    joined = first.join(hits, first["doc_id"].eqNullSafe(hits["_doc"]) & (F.xxhash64("text") == hits["_text"]), "left")
+    merged = joined.select(*own, *carry, F.concat(F.array("spans"), F.coalesce("_spans", F.array().cast("array<array<struct<start:bigint,end:bigint>>>"))).alias("parts"), F.concat(F.array("items"), F.coalesce("_items", F.array().cast("array<array<string>>"))).alias("ids"))
+    return merged.mapInArrow(union, kind)
 
 
 def removed(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:

@@ -30,7 +30,7 @@ def test_decontamination_query(spark, sf, rows):
     H.same(run(spark, sf, "op1_decontamination", "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"), H.brute_decontaminate(rows, items))
 
 
-@pytest.mark.parametrize("block", [2_000_000, 30])
+@pytest.mark.parametrize("block", [2_000_000, 600])
 def test_decontamination_odd(spark, block):
     docs = H.odd_rows()
     passage = docs[9][1]
