@@ -292,6 +292,18 @@ def as_text(features: DataFrame) -> DataFrame:
     return features.select(*[text(n).alias(n) for n in HEADER])
 
 
+def write_csv(features: DataFrame, path: str, overwrite: bool = False) -> None:
+    """The features as CSV files with a header, in the order of emission within and across files."""
+    as_text(emitted_order(features)).write.mode("overwrite" if overwrite else "errorifexists").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+
+
+def totals(packets: DataFrame, features: DataFrame) -> dict:
+    """packets (TCP and UDP), skipped (others) and flows; packets: rows with proto, null where it isn't known."""
+    tcp_udp = F.coalesce(F.col("proto").isin(6, 17), F.lit(False))
+    n = packets.agg(F.count_if(tcp_udp), F.count_if(~tcp_udp)).first()
+    return {"packets": n[0], "skipped": n[1], "flows": features.count()}
+
+
 def from_ipv4_rows(packets: DataFrame) -> DataFrame:
     """Packet rows with integer addresses (plans.packets) as PACKET rows."""
     from flowlake.functions.fields import to_bytes

@@ -12,7 +12,6 @@ that only Spark knows and for digests.
 
 from __future__ import annotations
 
-import json
 import re
 import uuid
 from collections.abc import Iterator
@@ -25,7 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from flowlake.sources import codec
 
 PACKETS = "path string, frame_no long, section int, interface_id int, ts_ns long, orig_len long, cap_len int, link_type int, data binary, rec_offset long, rec_len int, error string"
-BLOCKS = "path string, block_index long, section int, block_type long, role string, interface_id int, ts_ns long, frame_no long, rec_offset long, raw binary, error string"
+BLOCKS = "path string, block_index long, section int, block_type long, role string, interface_id int, ts_ns long, frame_no long, rec_offset long, raw binary, error string, options map<string,array<binary>>"
 INTERFACES = "path string, section int, interface_id int, link_type int, snap_len long, res_base int, res_exp int"
 ENDINGS = re.compile(r"\.(pcap|pcapng|cap)$", re.IGNORECASE)
 
@@ -195,14 +194,14 @@ def read_packets(files: DataFrame, **options) -> DataFrame:
 
 
 def read_blocks(files: DataFrame, interface_scope: str = "section") -> DataFrame:
-    """All pcapng blocks of path, content rows, packets or not."""
+    """All pcapng blocks of path, content rows, packets or not, with the options of section headers, interfaces and packets by name."""
 
     def run(it):
         for batch in it:
             for path, buf in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows = [{"path": path, "block_index": b.index, "section": b.section, "block_type": b.block_type, "role": b.role, "interface_id": b.interface_id, "ts_ns": b.ts_ns, "frame_no": b.frame_no, "rec_offset": b.rec_offset, "raw": b.raw, "error": b.error} for b, _ in codec.PcapngWalk(buf, interface_scope).walk()]
+                rows = [{"path": path, "block_index": b.index, "section": b.section, "block_type": b.block_type, "role": b.role, "interface_id": b.interface_id, "ts_ns": b.ts_ns, "frame_no": b.frame_no, "rec_offset": b.rec_offset, "raw": b.raw, "error": b.error, "options": list(b.options.items())} for b, _ in codec.PcapngWalk(buf, interface_scope).walk()]
                 if rows:
-                    kinds = {"path": pa.string(), "block_index": pa.int64(), "section": pa.int32(), "block_type": pa.int64(), "role": pa.string(), "interface_id": pa.int32(), "ts_ns": pa.int64(), "frame_no": pa.int64(), "rec_offset": pa.int64(), "raw": pa.binary(), "error": pa.string()}
+                    kinds = {"path": pa.string(), "block_index": pa.int64(), "section": pa.int32(), "block_type": pa.int64(), "role": pa.string(), "interface_id": pa.int32(), "ts_ns": pa.int64(), "frame_no": pa.int64(), "rec_offset": pa.int64(), "raw": pa.binary(), "error": pa.string(), "options": pa.map_(pa.string(), pa.list_(pa.binary()))}
                     yield pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
 
     return files.select("path", "content").mapInArrow(run, BLOCKS)
@@ -219,6 +218,24 @@ def read_interfaces(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, INTERFACES)
 
 
+def read_sections(files: DataFrame) -> DataFrame:
+    """path, section, major, minor, length, hardware, os, application of pcapng files."""
+
+    def run(it):
+        for batch in it:
+            rows = []
+            for path, buf in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                walk = codec.PcapngWalk(buf)
+                for _ in walk.walk():
+                    pass
+                rows += [{"path": path, "section": k} | s for k, s in enumerate(walk.sections)]
+            if rows:
+                text = {n: pa.string() for n in codec.SECTION_OPTIONS.values()}
+                yield pa.RecordBatch.from_pylist(rows, pa.schema({"path": pa.string(), "section": pa.int32(), "major": pa.int32(), "minor": pa.int32(), "length": pa.int64()} | text))
+
+    return files.select("path", "content").mapInArrow(run, "path string, section int, major int, minor int, length long, hardware string, os string, application string")
+
+
 def digests(files: DataFrame) -> DataFrame:
     """path, md5, sha1, sha256, length of whole files."""
     return files.select("path", F.md5("content").alias("md5"), F.sha1("content").alias("sha1"), F.sha2("content", 256).alias("sha256"), F.length("content").alias("length"))
@@ -267,7 +284,3 @@ def derived_path(path: str, kind: str, ending: str = "") -> str:
         stem, own = path, ""
     parts = [stem] + ([kind] if kind else []) + [ending or own]
     return ".".join(p for p in parts if p)
-
-
-def options_json(options: dict) -> str:
-    return json.dumps({k: [v.hex() for v in vs] for k, vs in options.items()})

@@ -76,6 +76,35 @@ def test_sections_and_scope():
         tools.reordered_file(section_le() + interface_le() + block(codec.SPB, struct.pack("<I", 4) + b"abcd"))
 
 
+def option(code, value):
+    return struct.pack("<HH", code, len(value)) + value + bytes(-len(value) % 4)
+
+
+def test_block_options(spark):
+    head = block(codec.SHB, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1) + option(2, b"test") + option(0, b""))
+    face = block(codec.IDB, struct.pack("<HHI", 1, 0, 64) + option(2, b"eth0") + option(9, b"\x09") + option(0, b""))
+    pkt = block(codec.EPB, struct.pack("<IIIII", 0, 0, 7, 4, 4) + b"abcd" + option(2, b"\1\0\0\0") + option(3, b"\2h1") + option(3, b"\2h2") + option(0, b""))
+    other = block(99, b"some")
+    files = spark.createDataFrame([("x.pcapng", bytearray(head + face + pkt + other))], "path string, content binary")
+    rows = capture.read_blocks(files).orderBy("block_index").collect()
+    assert [r["role"] for r in rows] == ["section", "interface", "packet", "other"]
+    assert bytes(rows[0]["options"]["hardware"][0]) == b"test" and bytes(rows[1]["options"]["name"][0]) == b"eth0"
+    assert [bytes(x) for x in rows[2]["options"]["hash"]] == [b"\2h1", b"\2h2"] and rows[2]["ts_ns"] == 7
+    assert capture.read_sections(files).first()["hardware"] == "test"
+    assert capture.read_interfaces(files).first()["res_exp"] == 9
+
+
+def test_flow_csv_and_totals(spark, sf, tmp_path):
+    rows = flows.from_ipv4_rows(packets(spark, sf).withColumn("src_port", F.lit(1).cast("bigint")).withColumn("dst_port", F.lit(1).cast("bigint")))
+    features = flows.flow_features(rows, 6 * 3_600_000_000_000, 3_600_000_000_000)
+    flows.write_csv(features, str(tmp_path / "csv"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
+    assert back.columns == list(flows.HEADER) and back.count() == features.count()
+    assert flows.totals(packets(spark, sf), features)["skipped"] == 0
+    with pytest.raises(Exception, match="already exists"):
+        flows.write_csv(features, str(tmp_path / "csv"))
+
+
 def test_pcap_writer():
     assert codec.pcap_file_header() + codec.pcap_record(1136142245123456789, 4, b"\1\2\3\4") == PCAP_BE
     with pytest.raises(codec.CaptureError):
