@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.llm import decontaminate, fingerprint_index, licenses, ngram_join, pieces, quality_rules, resampling, suffix_dedup, token_files, toxicity
+from flowlake.llm import decontaminate, fingerprint_index, licenses, ngram_join, oracle, pieces, quality_rules, resampling, suffix_dedup, token_files, toxicity
 from flowlake.llm.common import scratch, table
 
 
@@ -81,4 +81,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": op10_licenses,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracle.ORACLE_SQL)
