@@ -9,12 +9,18 @@ from flowlake.functions.fields import bind, to_bytes, u, unsigned
 
 
 def word_sum(data: Column) -> Column:
-    """Sum of 16-bit big-endian words; a last odd byte is the high byte of a word."""
+    """A number congruent modulo 65535 to the sum of 16-bit big-endian words, 0 only for zeros; a last odd byte is the high byte of a word.
+
+    Six bytes are read at once, as 65536 is 1 modulo 65535.
+    """
 
     def total(d: Column) -> Column:
-        words = F.sequence(F.lit(0), F.floor((F.length(d) - 1) / 2).cast("int"))
-        value = lambda i: unsigned(F.rpad(F.substring(d, i * 2 + 1, F.lit(2)), F.lit(2), F.unhex(F.lit("00"))))
-        return F.when(F.length(d) > 0, F.aggregate(words, F.lit(0).cast("bigint"), lambda a, i: a + value(i))).otherwise(F.lit(0).cast("bigint"))
+        parts = F.sequence(F.lit(0), F.floor((F.length(d) - 1) / 6).cast("int"))
+
+        def value(i: Column) -> Column:
+            return bind(F.substring(d, i * 6 + 1, F.lit(6)), lambda p: unsigned(p) * F.when(F.length(p) % 2 == 1, 256).otherwise(1))
+
+        return F.when(F.length(d) > 0, F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, i: a + value(i))).otherwise(F.lit(0).cast("bigint"))
 
     return bind(data, total)
 

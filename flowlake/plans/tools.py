@@ -156,12 +156,12 @@ FORMATS = {"text": as_text, "json": as_json, "toml": as_toml, "yaml": as_yaml}
 # Captures as files.
 
 
-def split_contents(dissected: DataFrame, granularity: str = "tuple5-sym", top: int = 0, link_type: int = 1, snap_len: int = 65535) -> DataFrame:
-    """file, content: one pcap for each selected key, packets in capture order; not IPv4 is skipped."""
+def split_files(dissected: DataFrame, root: str, granularity: str = "tuple5-sym", top: int = 0, link_type: int = 1, snap_len: int = 65535, overwrite: bool = False) -> DataFrame:
+    """Writes one pcap for each selected key, packets in capture order; what isn't IPv4 is skipped.  Returns file, parts (packets), bytes."""
     rows = reorder.split(dissect.split_packets(dissected), granularity, top)
-    names = reorder.names_of(granularity)
-    named = rows.select("frame_no", "ts_ns", "orig_len", "data", *[F.col(f"k_{n}").alias(n) for n in names])
-    return capture.pcap_bytes(named.withColumn("path", keys.file_name(granularity)), link_type, snap_len).withColumnRenamed("path", "file")
+    named = rows.select("*", *[F.col(f"k_{n}").alias(n) for n in reorder.names_of(granularity) if n not in rows.columns])
+    parts = named.select(keys.file_name(granularity).alias("file"), "frame_no", capture.pcap_record(snap_len).alias("part"))
+    return capture.write_parts(parts, root, ("frame_no",), codec.pcap_file_header(link_type, snap_len), overwrite)
 
 
 def reordered_file(buf: bytes) -> bytes:

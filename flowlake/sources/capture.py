@@ -17,7 +17,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
@@ -241,14 +241,61 @@ def digests(files: DataFrame) -> DataFrame:
     return files.select("path", F.md5("content").alias("md5"), F.sha1("content").alias("sha1"), F.sha2("content", 256).alias("sha256"), F.length("content").alias("length"))
 
 
-def pcap_bytes(packets: DataFrame, link_type: int = 1, snap_len: int = 65535) -> DataFrame:
-    """path, content: each capture as one pcap file's bytes, built by expressions, for captures that fit a row."""
+def pcap_record(snap_len: int = 65535) -> Column:
+    """A packet's record, with microseconds."""
     from flowlake.functions.fields import to_bytes
 
     size = F.least(F.length("data"), F.lit(snap_len))
     micros = F.floor(F.pmod("ts_ns", F.lit(1_000_000_000)) / 1000)
-    rec = F.concat(to_bytes(F.floor(F.col("ts_ns") / 1_000_000_000), 4), to_bytes(micros, 4), to_bytes(size, 4), to_bytes(F.col("orig_len"), 4), F.substring(F.col("data"), F.lit(1), size))
-    rows = packets.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("frame_no", rec.alias("rec")))).alias("r"))
+    return F.concat(to_bytes(F.floor(F.col("ts_ns") / 1_000_000_000), 4), to_bytes(micros, 4), to_bytes(size, 4), to_bytes(F.col("orig_len"), 4), F.substring(F.col("data"), F.lit(1), size))
+
+
+def write_parts(rows: DataFrame, root: str, order: tuple[str, ...], head: bytes = b"", overwrite: bool = False) -> DataFrame:
+    """Files below root, each `head` and the parts of its rows in order: rows have file, part and the order columns.  Returns file, parts, bytes.
+
+    Rows are dealt by file and sorted; a task appends to one open file, so files of any size
+    need no memory.  A file gets its name when it is whole; existing files are refused unless overwrite.
+    """
+    dealt = rows.select("file", *order, "part").repartition("file").sortWithinPartitions("file", *order).select("file", "part")
+
+    def run(it):
+        from pyarrow import fs
+
+        store, base = store_of(root)
+        now, out, temp, parts, size, done = None, None, "", 0, 0, []
+
+        def close():
+            out.close()
+            if not overwrite and store.get_file_info(f"{base}/{now}").type != fs.FileType.NotFound:
+                store.delete_file(temp)
+                raise FileExistsError(f"{base}/{now}")
+            store.move(temp, f"{base}/{now}")
+            done.append({"file": now, "parts": parts, "bytes": size})
+
+        for batch in it:
+            for name, part in zip(batch.column("file").to_pylist(), batch.column("part").to_pylist(), strict=True):
+                if name != now:
+                    if out is not None:
+                        close()
+                    now, parts, size = name, 0, len(head)
+                    folder = f"{base}/{name}".rpartition("/")[0]
+                    store.create_dir(folder, recursive=True)
+                    temp = f"{folder}/.{uuid.uuid4().hex}"
+                    out = store.open_output_stream(temp, compression=None)
+                    out.write(head)
+                out.write(part)
+                parts, size = parts + 1, size + len(part)
+        if out is not None:
+            close()
+        if done:
+            yield pa.RecordBatch.from_pylist(done, pa.schema([("file", pa.string()), ("parts", pa.int64()), ("bytes", pa.int64())]))
+
+    return dealt.mapInArrow(run, "file string, parts long, bytes long")
+
+
+def pcap_bytes(packets: DataFrame, link_type: int = 1, snap_len: int = 65535) -> DataFrame:
+    """path, content: each capture as one pcap file's bytes, built by expressions, for captures that fit a row."""
+    rows = packets.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("frame_no", pcap_record(snap_len).alias("rec")))).alias("r"))
     head = F.unhex(F.lit(codec.pcap_file_header(link_type, snap_len).hex()))
     return rows.select("path", F.aggregate("r", head, lambda a, x: F.concat(a, x["rec"])).alias("content"))
 

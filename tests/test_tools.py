@@ -272,13 +272,16 @@ def test_split_files(spark, sf, tmp_path):
     from flowlake.operators import dissect
 
     rows = dissect.dissect(crafted(spark, sf).select("path", "frame_no", "ts_ns", "orig_len", "data", "link_type"))
-    files = tools.split_contents(rows, "src-ip", top=3)
-    done = capture.write_files(files, str(tmp_path)).collect()
+    done = tools.split_files(rows, str(tmp_path), "src-ip", top=3).collect()
     assert len(done) == 3 == len(os.listdir(tmp_path))
     biggest = summary.top(packets(spark, sf), "src_ip", 1).first()
-    assert max(len(list(codec.records((tmp_path / r["file"]).read_bytes()))) for r in done) == biggest["packets"]
+    for r in done:
+        found = list(codec.records((tmp_path / r["file"]).read_bytes()))
+        assert len(found) == r["parts"] and [x.ts_ns for x in found] == sorted(x.ts_ns for x in found)
+    assert max(r["parts"] for r in done) == biggest["packets"]
     with pytest.raises(Exception, match="FileExists"):
-        capture.write_files(files, str(tmp_path)).collect()
+        tools.split_files(rows, str(tmp_path), "src-ip", top=3).collect()
+    assert len(tools.split_files(rows, str(tmp_path), "tuple5-sym", top=2, overwrite=True).collect()) == 2
 
 
 def test_reports(spark, sf):
