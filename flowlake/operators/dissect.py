@@ -363,25 +363,47 @@ def with_field(name: str, value: Column, n: int = 0) -> Column:
 
 
 def display() -> Column:
-    """Layers joined by ' | ', each by name with what identifies it."""
-    from flowlake.functions.net import ipv4_text, mac_text
-
-    h = lambda x: F.substring(F.col("data"), x["offset"] + 1, x["len"])
-    r = lambda x, name: fields.read(h(x), name)
-    pad = lambda c, n: F.rpad(c.cast("string"), F.greatest(F.length(c.cast("string")), F.lit(n)), F.lit(" "))
-
-    def one(x: Column) -> Column:
-        shown = {
-            "Eth": F.concat(mac_text(r(x, "Eth.dst")), F.lit(" -> "), mac_text(r(x, "Eth.src"))),
-            "Ipv4": F.concat(pad(ipv4_text(r(x, "Ipv4.src")), 15), F.lit(" -> "), pad(ipv4_text(r(x, "Ipv4.dst")), 15), F.lit(" "), pad(r(x, "Ipv4.total_length"), 4)),
-            "Tcp": F.concat(pad(r(x, "Tcp.src_port"), 5), F.lit(" -> "), pad(r(x, "Tcp.dst_port"), 5)),
-            "Udp": F.concat(pad(r(x, "Udp.src_port"), 5), F.lit(" -> "), pad(r(x, "Udp.dst_port"), 5)),
-            "Raw": F.concat(x["len"].cast("string"), F.lit(" bytes")),
-        }
-        text = F.coalesce(*[F.when(x["protocol"] == k, v) for k, v in shown.items()], F.concat(x["len"].cast("string"), F.lit(" bytes")))
-        return F.concat(F.lit("["), x["protocol"], F.lit("] "), text)
-
-    return F.concat_ws(" | ", F.transform("layers", one))
+    """Layers joined by ' | ', each by name with what identifies it; codes by name where they have one."""
+    return F.concat_ws(" | ", F.transform("layers", lambda x: fields.bind(F.substring(F.col("data"), x["offset"] + 1, x["len"]), lambda h: _line(x["protocol"], h))))
+
+
+def _line(protocol: Column, h: Column) -> Column:
+    from flowlake.functions import codes
+    from flowlake.functions.net import address_text, ipv4_text, mac_text
+
+    r = lambda name: fields.read(h, name)
+    text = lambda c: c.cast("string")
+    named = lambda name, table: F.coalesce(codes.name_of(r(name), table), text(r(name)))
+    pad = lambda c, n: F.rpad(text(c), F.greatest(F.length(text(c)), F.lit(n)), F.lit(" "))
+    size = F.concat(text(F.length(h)), F.lit(" bytes"))
+    hexed = lambda c, n: F.concat(F.lit("0x"), F.lower(F.lpad(F.hex(c), n, "0")))
+
+    def ends(p: str) -> list:
+        return [pad(r(f"{p}.src_port"), 5), F.lit(" -> "), pad(r(f"{p}.dst_port"), 5)]
+
+    lines = {
+        "Eth": [mac_text(r("Eth.dst")), F.lit(" -> "), mac_text(r("Eth.src"))],
+        "Vlan": [text(r("Vlan.vid"))],
+        "Sll": [named("Sll.packet_type", codes.SLL_PACKET), F.lit(" "), named("Sll.arphrd_type", codes.ARPHRD), F.lit(" "), F.hex(F.substring(r("Sll.link_layer_addr"), F.lit(1), F.least(r("Sll.link_layer_addr_len"), F.lit(8)).cast("int")))],
+        "Mpls": [F.lit("label "), text(F.shiftright(fields.u(h, 0, 4), 12))],
+        "Gre": [named("Gre.protocol_type", codes.ETH_TYPE), F.lit(" "), hexed(r("Gre.flags"), 4)],
+        "Vxlan": [F.lit("vni "), text(r("Vxlan.vni_id"))],
+        "Arp": [named("Arp.operation", codes.ARP_OPERATION), F.when(r("Arp.is_ethernet_ipv4"), F.concat(F.lit(" "), ipv4_text(r("Arp.sender_protocol_addr")), F.lit(" -> "), ipv4_text(r("Arp.target_protocol_addr")))).otherwise("")],
+        "Ipv4": [pad(ipv4_text(r("Ipv4.src")), 15), F.lit(" -> "), pad(ipv4_text(r("Ipv4.dst")), 15), F.lit(" "), pad(r("Ipv4.total_length"), 4)],
+        "Ipv6": [pad(address_text(r("Ipv6.src")), 39), F.lit(" -> "), pad(address_text(r("Ipv6.dst")), 39), F.lit(" "), pad(r("Ipv6.payload_length"), 5)],
+        "Tcp": [*ends("Tcp"), F.lit(" "), codes.tcp_flags_text(r("Tcp.flags"))],
+        "Udp": ends("Udp"),
+        "Sctp": ends("Sctp"),
+        "Icmp": [named("Icmp.message_type", codes.ICMP_TYPE), F.lit(" code "), text(r("Icmp.code"))],
+        "Icmpv6": [named("Icmpv6.message_type", codes.ICMPV6_TYPE), F.lit(" code "), text(r("Icmpv6.code"))],
+        "Igmp": [named("Igmp.message_type", codes.IGMP_TYPE), F.lit(" "), ipv4_text(r("Igmp.group_addr"))],
+        "Dhcp": [named("Dhcp.op", codes.DHCP_OP), F.lit(" xid "), hexed(r("Dhcp.xid"), 8), F.lit(" "), ipv4_text(r("Dhcp.yiaddr"))],
+        "Dns": [F.lit("id "), text(r("Dns.id")), F.lit(" "), named("Dns.opcode", codes.DNS_OPCODE), F.lit(" qd "), text(r("Dns.qdcount")), F.lit(" an "), text(r("Dns.ancount"))],
+        "Ntp": [F.lit("v"), text(r("Ntp.version")), F.lit(" "), named("Ntp.mode", codes.NTP_MODE), F.lit(" stratum "), text(r("Ntp.stratum"))],
+        "Tls": [named("Tls.content_type", codes.TLS_CONTENT), F.coalesce(F.concat(F.lit(" "), F.coalesce(codes.name_of(r("Tls.handshake_type"), codes.TLS_HANDSHAKE), text(r("Tls.handshake_type")))), F.lit("")), F.lit(" v"), hexed(r("Tls.legacy_version"), 4), F.lit(" len "), text(r("Tls.length"))],
+    }
+    chosen = F.coalesce(*[F.when(protocol == k, F.concat(*v)) for k, v in lines.items()], size)
+    return F.concat(F.lit("["), protocol, F.lit("] "), chosen)
 
 
 # Projections.

@@ -109,6 +109,14 @@ def test_fields_of_layers(rows):
     assert value(rows, "udp", dissect.display()) == "[Eth] 01:02:03:04:05:06 -> 0B:0C:0D:0E:0F:10 | [Ipv4] 10.0.1.1        -> 10.0.1.2        32   | [Udp] 1234  -> 1235  | [Raw] 4 bytes"
 
 
+def test_display_lines(rows):
+    shown = {r[0]: r[1].split(" | ") for r in rows.select("path", dissect.display()).collect()}
+    assert shown["vxlan"][3] == "[Vxlan] vni 42" and shown["mpls"][1] == "[Mpls] label 256" and shown["gre"][2] == "[Gre] Ipv4 0x0000"
+    assert shown["tls"][2:] == ["[Tcp] 443   -> 12345 ACK|PSH", "[Tls] Handshake ClientHello v0x0303 len 4"]
+    assert shown["dns"][3] == "[Dns] id 4660 Query qd 1 an 0" and shown["icmpv6"][2] == "[Icmpv6] EchoRequest code 0"
+    assert shown["icmpv6"][1].startswith("[Ipv6] 2001:db8::1 ")
+
+
 def test_writing_a_field(rows):
     new = value(rows, "udp", fields.read(F.substring(dissect.with_field("Ipv4.ttl", F.lit(9)), 15, 20), "Ipv4.ttl"))
     assert new == 9
