@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from flowlake.llm.quality_rules import COMMON_WORDS, all_words
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FOLDED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -41,4 +43,31 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, d.doc_id) AS
 
 
 
-ORACLE_SQL = {"op1_decontamination": DECONTAMINATION, "op4_fingerprint_index": FINGERPRINTS, "op6_ngram_join": NGRAM_JOIN}
+
+
+def quality_sql() -> str:
+    every = ", ".join(f"'{w}'" for w in all_words())
+    lists = " ".join(f"WHEN '{k}' THEN [{', '.join(repr(w) for w in v)}]" for k, v in COMMON_WORDS.items())
+    langs = ", ".join(f"'{k}'" for k in COMMON_WORDS)
+    without = lambda c, p: f"length({c}) - length(regexp_replace({c}, '{p}', '', 'g'))"
+    kinds = [r"\p{L}+", "[0-9]+", r"[.,;:!?''\"()\-]+", r"[#*$%&|<>]+"]
+    classes = [without("dense", "[A-Za-z]+"), *[without("r", k) for k in kinds], r"length(regexp_replace(r, '[\p{L}0-9.,;:!?''\"()\-#*$%&|<>]+', '', 'g'))"]
+    half = "CASE WHEN {0} > 0 THEN {0} * log2(2 * {0} / ({0} + {1})) ELSE 0 END"
+    return f"""
+WITH d AS (SELECT doc_id, CASE WHEN lang IN ({langs}) THEN lang ELSE '' END AS lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{DENSE}') AS w FROM documents),
+e AS (SELECT *, array_to_string(w, '') AS dense, regexp_replace(array_to_string(w, ''), '[A-Za-z]+', '', 'g') AS r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
+  list_transform(list_filter(w, lambda x: length(x) <= 5), lambda x: lower(x)) AS known, CASE lang {lists} ELSE [{every}] END AS listed FROM d),
+p AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, array_to_string(w[k:k + 2], ' ')) AS n FROM (SELECT doc_id, w, unnest(range(1, greatest(0, len(w) - 2) + 1)) AS k FROM d)),
+t AS (SELECT doc_id, count(DISTINCT k + o) AS n_repeat_words FROM p, unnest(range(0, 3)) AS u(o) WHERE n > 1 GROUP BY 1),
+f AS (SELECT doc_id, lang, len(w) AS n_words, length(dense) AS word_chars, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  [{', '.join(classes)}] AS classes, list_transform(listed, lambda x: len(list_filter(known, lambda y: y = x))) AS common FROM e LEFT JOIN t USING (doc_id)),
+h AS (SELECT doc_id, lang, 'classes' AS kind, unnest(range(0, len(classes))) AS i, unnest(classes) AS v FROM f UNION ALL SELECT doc_id, lang, 'common', unnest(range(0, len(common))), unnest(common) FROM f),
+q AS (SELECT lang, kind, i, sum(v) AS v FROM h WHERE NOT (lang = '' AND kind = 'classes') GROUP BY ALL UNION ALL SELECT '', kind, i, sum(v) FROM h WHERE kind = 'classes' GROUP BY ALL),
+s AS (SELECT doc_id, kind, sum(h.v) OVER (PARTITION BY doc_id, kind) AS total, h.v / greatest(sum(h.v) OVER (PARTITION BY doc_id, kind), 1e-300) AS a, q.v / greatest(sum(q.v) OVER (PARTITION BY doc_id, kind), 1e-300) AS b FROM h JOIN q USING (lang, kind, i)),
+j AS (SELECT doc_id, kind, max(total) AS total, sqrt(greatest(0, sum((({half.format('a', 'b')}) + ({half.format('b', 'a')})) / 2))) AS distance FROM s GROUP BY ALL),
+v AS (SELECT doc_id, bool_or(CASE kind WHEN 'classes' THEN total >= 200 AND distance > 0.22 ELSE total >= 40 AND distance > 0.6 END) AS far FROM j GROUP BY 1),
+g AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, classes[5] AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT far AS kept FROM g JOIN v USING (doc_id)"""
+
+
+ORACLE_SQL = {"op9_quality_rules": quality_sql(), "op1_decontamination": DECONTAMINATION, "op4_fingerprint_index": FINGERPRINTS, "op6_ngram_join": NGRAM_JOIN}

@@ -59,7 +59,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
