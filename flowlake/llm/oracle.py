@@ -30,6 +30,15 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS
   sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
 FROM d LEFT JOIN c USING (doc_id)"""
 
+SUFFIXES = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, k, substring(h, 2 * k - 1, 2) AS x, CASE WHEN k + 99 <= length(h) // 2 THEN md5(substring(h, 2 * k - 1, 200)) END AS t FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 + 1)) AS k FROM d)),
+r AS (SELECT doc_id, k, x, CASE WHEN t IS NOT NULL AND row_number() OVER (PARTITION BY t ORDER BY doc_id, k) > 1 THEN 1 ELSE 0 END AS again FROM b),
+c AS (SELECT doc_id, k, x, max(again) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM r),
+s AS (SELECT *, CASE WHEN gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY k), 0) = 0 THEN 1 ELSE 0 END AS head FROM c),
+a AS (SELECT doc_id, count(*) AS n_bytes, CAST(sum(gone) AS BIGINT) AS n_removed, CAST(sum(head) AS BIGINT) AS n_spans, string_agg(x, '' ORDER BY k) FILTER (gone = 0) AS kept FROM s GROUP BY 1)
+SELECT d.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)"""
+
 NGRAM_JOIN = f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({FOLDED}, '{DENSE}') AS w FROM documents),
 g AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS k FROM d WHERE len(w) > 0)),
@@ -70,4 +79,4 @@ g AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, classes[5] AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT far AS kept FROM g JOIN v USING (doc_id)"""
 
 
-ORACLE_SQL = {"op9_quality_rules": quality_sql(), "op1_decontamination": DECONTAMINATION, "op4_fingerprint_index": FINGERPRINTS, "op6_ngram_join": NGRAM_JOIN}
+ORACLE_SQL = {"op9_quality_rules": quality_sql(), "op1_decontamination": DECONTAMINATION, "op4_fingerprint_index": FINGERPRINTS, "op6_ngram_join": NGRAM_JOIN, "op8_suffix_dedup": SUFFIXES}
