@@ -43,10 +43,15 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """The same rows from a table in the shared folder: lineage ends there and lost executors cost no recomputation."""
+    return written_at(df, label)[0]
+
+
+def written_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As written(), with the table's path, for tables that can be dropped again."""
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlake.llm.common import written
+from flowlake.llm.common import drop_path, written_at
 
 
 def both_ways(links: DataFrame) -> DataFrame:
@@ -36,10 +36,12 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
+    now, path = written_at(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
     seen = mark(now)
     while True:
-        now = written(star(star(now, True), False), label)
+        last = path
+        now, path = written_at(star(star(now, True), False), label)
+        drop_path(links.sparkSession, last)
         if (then := mark(now)) == seen:
             break
         seen = then
