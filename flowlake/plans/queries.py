@@ -302,3 +302,37 @@ def pcap_roundtrip(spark, sf_dir):
     first = rows.groupBy("path").agg(F.min("frame_no").alias("first"))
     ip = F.substring("data", 15, 20)
     return back.join(first, "path").select((F.col("first") + F.col("frame_no") - 1).alias("frame_no"), "ts_ns", "orig_len", F.length("data").cast("bigint").alias("cap_len"), fields.read(ip, "Ipv4.src").alias("src_ip"), fields.read(ip, "Ipv4.dst").alias("dst_ip"))
+
+
+# Headers of the other protocols: written field by field from a packet's columns, and read back.  The expressions are both Spark's and DuckDB's.
+HEADERS = {
+    "vlan": (4, {"Vlan.pcp": "frame_no % 8", "Vlan.vid": "frame_no % 4096", "Vlan.eth_type": "2048"}),
+    "llc": (8, {"Llc.dsap": "170", "Llc.ssap": "170", "Llc.control_u": "3", "Llc.protocol_id": "frame_no % 65536"}),
+    "sll": (16, {"Sll.packet_type": "frame_no % 5", "Sll.arphrd_type": "1", "Sll.link_layer_addr_len": "6", "Sll.protocol_type": "2048"}),
+    "mpls": (4, {"MplsEntry.label": "frame_no % 1048576", "MplsEntry.traffic_class": "frame_no % 8", "MplsEntry.bottom_of_stack": "1", "MplsEntry.ttl": "frame_no % 256"}),
+    "gre": (4, {"Gre.flags": "8192", "Gre.version": "frame_no % 8", "Gre.protocol_type": "2048"}),
+    "vxlan": (8, {"Vxlan.flags": "2048", "Vxlan.vni_id": "frame_no % 16777216", "Vxlan.reserved_2": "frame_no % 256"}),
+    "arp": (28, {"Arp.hardware_type": "1", "Arp.protocol_type": "2048", "Arp.hardware_len": "6", "Arp.protocol_len": "4", "Arp.operation": "1 + frame_no % 2", "Arp.sender_protocol_addr": "src_ip", "Arp.target_protocol_addr": "dst_ip"}),
+    "ipv6": (40, {"Ipv6.version": "6", "Ipv6.traffic_class": "frame_no % 256", "Ipv6.flow_label": "frame_no % 1048576", "Ipv6.payload_length": "payload % 65536", "Ipv6.next_header": "proto", "Ipv6.hop_limit": "64"}),
+    "icmp": (8, {"Icmp.message_type": "frame_no % 19", "Icmp.code": "frame_no % 16", "Icmp.checksum": "frame_no % 65536", "Icmp.identifier": "src_port", "Icmp.sequence": "dst_port"}),
+    "icmpv6": (8, {"Icmpv6.message_type": "128 + frame_no % 10", "Icmpv6.code": "0", "Icmpv6.identifier": "src_port", "Icmpv6.sequence": "dst_port"}),
+    "igmp": (8, {"Igmp.message_type": "22", "Igmp.max_resp_time": "frame_no % 256", "Igmp.group_addr": "3758096385 + frame_no % 100"}),
+    "sctp": (12, {"Sctp.src_port": "src_port", "Sctp.dst_port": "dst_port", "Sctp.verification_tag": "frame_no * 1000 % 4294967296", "Sctp.checksum": "frame_no"}),
+    "dhcp": (240, {"Dhcp.op": "1 + frame_no % 2", "Dhcp.htype": "1", "Dhcp.hlen": "6", "Dhcp.xid": "frame_no * 1000 % 4294967296", "Dhcp.flags": "32768", "Dhcp.ciaddr": "src_ip", "Dhcp.yiaddr": "dst_ip"}),
+    "dns": (12, {"Dns.id": "frame_no % 65536", "Dns.opcode": "frame_no % 7", "Dns.rcode": "frame_no % 6", "Dns.qdcount": "1", "Dns.ancount": "frame_no % 5"}),
+    "ntp": (48, {"Ntp.leap_indicator": "frame_no % 4", "Ntp.version": "4", "Ntp.mode": "frame_no % 8", "Ntp.stratum": "frame_no % 16", "Ntp.poll": "frame_no % 100", "Ntp.root_delay": "frame_no"}),
+    "tls": (5, {"Tls.content_type": "20 + frame_no % 5", "Tls.legacy_version": "771", "Tls.length": "payload % 65536"}),
+}
+
+
+def decoded(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    size, values = HEADERS[name]
+    rows = packets(spark, sf_dir).withColumn("h", F.lit(bytes(size)))
+    for f, value in values.items():
+        rows = rows.withColumn("h", fields.write(F.col("h"), f, F.expr(value)))
+    return rows.select("frame_no", *[fields.read(F.col("h"), f).cast("bigint").alias(f.split(".")[1]) for f in values])
+
+
+for _name, (_, _values) in HEADERS.items():
+    QUERIES[f"decode_{_name}"] = lambda spark, sf_dir, n=_name: decoded(spark, sf_dir, n)
+    SQL[f"decode_{_name}"] = PACKETS_SQL + " SELECT frame_no, " + ", ".join(f"CAST({v} AS BIGINT) AS {f.split('.')[1]}" for f, v in _values.items()) + " FROM pk"
