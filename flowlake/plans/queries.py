@@ -274,8 +274,7 @@ def timestamp_text(spark, sf_dir):
 def flow_full_features(spark, sf_dir):
     from flowlake.operators import flows
 
-    rows = flows.from_ipv4_rows(packets(spark, sf_dir).withColumn("src_port", F.lit(1).cast("bigint")).withColumn("dst_port", F.lit(1).cast("bigint")))
-    return flows.flow_features(rows, 6 * HOUR, HOUR)
+    return flows.flow_features(flows.from_ipv4_rows(packets(spark, sf_dir)), 6 * HOUR, HOUR)
 
 
 @query(f""" SELECT frame_no, CASE WHEN proto = 6 THEN 'Eth,Ipv4,Tcp' || CASE WHEN {CAP} > 0 THEN ',Raw' ELSE '' END ELSE 'Eth,Ipv4,Udp' END AS layers,
