@@ -281,10 +281,20 @@ def flow_full_features(spark, sf_dir):
     CAST(2048 AS BIGINT) AS eth_type, {_IP.format('src_ip')} AS src_ip, proto AS ip_proto, src_port, CASE WHEN proto = 6 THEN tcp_flags END AS tcp_flags, CAST({CAP} + header_len + 20 AS BIGINT) AS l3_len
   FROM pk WHERE proto = 6""")
 def dissect_metadata(spark, sf_dir):
+    return metadata_rows(crafted(spark, sf_dir).where("proto = 6"))
+
+
+@query()
+def dissect_metadata_all(spark, sf_dir):
+    """dissect_metadata of every packet: its SQL states TCP alone."""
+    return metadata_rows(crafted(spark, sf_dir))
+
+
+def metadata_rows(rows: DataFrame) -> DataFrame:
     from flowlake.functions.net import address_text
     from flowlake.operators import dissect
 
-    rows = dissect.dissect(crafted(spark, sf_dir).where("proto = 6").select("path", "frame_no", "ts_ns", "orig_len", "data", "link_type"))
+    rows = dissect.dissect(rows.select("path", "frame_no", "ts_ns", "orig_len", "data", "link_type"))
     names = F.array_join(F.col("layers.protocol"), ",").alias("layers")
     return dissect.metadata(rows, names).select("frame_no", "layers", "eth_type", address_text(F.col("src_addr")).alias("src_ip"), "ip_proto", "src_port", "tcp_flags", "l3_len")
 

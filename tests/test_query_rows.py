@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from flowlake import registry
-from flowlake.plans.packets import PACKETS_SQL
+from flowlake.plans.packets import PACKETS_SQL, SNAP
 
 HOUR = 3_600_000_000_000
 FIN, SYN, RST, PSH, ACK = 1, 2, 4, 8, 16
@@ -65,3 +65,19 @@ def test_flows_of_real_ports(spark, size):
     got = registry.QUERIES["flow_full_features"](spark, sf_dir).select(*[f"`{c}`" for c in FLOW_COLUMNS]).collect()
     want = flow_table(packet_rows(sf_dir))
     assert want and sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_metadata_of_every_packet(spark, sf):
+    def layers(p, size):
+        if p["proto"] == 6:
+            return "Eth,Ipv4,Tcp" + ",Raw" * (size > 0)
+        return "Eth,Ipv4,Udp" + (",Dns" if size >= 12 else ",Raw" * (size > 0))
+
+    rows = packet_rows(sf)
+    got = registry.QUERIES["dissect_metadata_all"](spark, sf).select("frame_no", "layers", "eth_type", "src_ip", "ip_proto", "src_port", "tcp_flags", "l3_len").collect()
+    want = []
+    for p in rows:
+        size = min(p["payload"], SNAP)
+        want.append((p["frame_no"], layers(p, size), 0x0800, text(p["src_ip"]), p["proto"], p["src_port"], p["tcp_flags"] if p["proto"] == 6 else None, size + p["header_len"] + 20))
+    assert sorted(map(tuple, got)) == want
+    assert {r[1] for r in want if r[4] == 17} == {"Eth,Ipv4,Udp", "Eth,Ipv4,Udp,Raw", "Eth,Ipv4,Udp,Dns"}
