@@ -4,7 +4,8 @@ A document is its set of distinct word n-grams.  Two documents link when
 100 * |A & B| >= percent * |A | B|.
 
 1. Documents with equal sets (size and two 64-bit sums) form a class; only its smallest
-   doc_id is searched, so copies cost nothing and are never paired.
+   doc_id is searched, so copies cost nothing and are never paired.  A doc_id with several
+   texts is searched with each set that it stands for, and links the classes of its texts.
 2. Grams are counted over the classes.  A chunk of documents sends each of its grams once,
    as a 4-byte fingerprint with its count; of fingerprints that occur in several classes
    the count's magnitude comes back.  Every document orders its grams by it, rarest first.
@@ -33,6 +34,7 @@ joined as one node, each with its own number of grams.
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,6 +91,10 @@ def needed(n: int, m: int, percent: int) -> int:
 # 1. Classes.
 
 
+def signature(g: np.ndarray) -> tuple[int, int, int]:
+    return len(g), int(windows.mixed(g * U(windows.BASES[0])).sum(dtype=U)), int(windows.mixed(g ^ U(windows.BASES[1])).sum(dtype=U))
+
+
 def signatures(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -98,7 +104,7 @@ def signatures(n: int):
                 to = at + max(1, int(np.searchsorted(np.cumsum(size[at:]), 2 << 20)))
                 rows = pa.Table.from_batches([whole.slice(at, to - at)])
                 grams = Grams(rows, n)
-                sums = [(len(g), *(int(x) for x in (windows.mixed(g * U(windows.BASES[0])).sum(dtype=U), windows.mixed(g ^ U(windows.BASES[1])).sum(dtype=U)))) for g in grams.sets()]
+                sums = [signature(g) for g in grams.sets()]
                 cols = [np.array(c, U).view(np.int64) for c in zip(*sums, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(grams.doc_id, pa.int64()), *map(pa.array, cols)], ["doc_id", "n", "d1", "d2"])
                 at = to
@@ -110,15 +116,24 @@ def signatures(n: int):
 
 
 def chosen(rows: pa.Table, reps: pa.Table, n: int) -> tuple[list[int], list[int], list[np.ndarray]]:
-    """Of the documents that stand for their class: place, doc_id, grams."""
+    """Of the documents that stand for their class: place, doc_id, grams.  A doc_id with several texts can stand for several classes."""
     grams = Grams(rows, n)
-    wanted = dict.fromkeys(reps.column("rep").to_pylist())
+    signs = zip(*(np.array(reps.column(c).to_pylist(), np.int64).view(U).tolist() for c in ("n", "d1", "d2")), strict=True)
+    wanted = set(zip(reps.column("rep").to_pylist(), signs, strict=True))
+    ids = {i for i, _ in wanted}
+    times = Counter(grams.doc_id)
     out = ([], [], [])
     for i, g in enumerate(grams.sets()):
-        if len(g) and grams.doc_id[i] in wanted and wanted[grams.doc_id[i]] is None:
-            wanted[grams.doc_id[i]] = i
-            for x, y in zip(out, (i, grams.doc_id[i], g), strict=True):
-                x.append(y)
+        doc = grams.doc_id[i]
+        if not len(g) or doc not in ids:
+            continue
+        if times[doc] > 1:
+            own = (doc, signature(g))
+            if own not in wanted:
+                continue
+            wanted.remove(own)
+        for x, y in zip(out, (i, doc, g), strict=True):
+            x.append(y)
     return out
 
 
@@ -318,21 +333,27 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, chunk_bytes: int
     chunks, buckets = windows.shape(docs, chunk_bytes, 6)
     rows = windows.dealt(docs, chunks)
     keyed = rows.groupBy("chunk")
-    reps = classes.select("rep", F.pmod(F.xxhash64("rep"), F.lit(chunks)).cast("long").alias("chunk"))
+    reps = classes.select("rep", "n", "d1", "d2", F.pmod(F.xxhash64("rep"), F.lit(chunks)).cast("long").alias("chunk"))
     counts = keyed.cogroup(reps.groupBy("chunk")).applyInArrow(windows.lean(lambda a, b: counted(a, b, n, buckets)), "bucket long, chunk long, fps binary, many binary")
     back = counts.groupBy("bucket").applyInArrow(summed, "chunk long, bucket long, fps binary, sizes binary")
-    told = reps.select("chunk", "rep", *[F.lit(None).cast(t).alias(c) for c, t in (("bucket", "long"), ("fps", "binary"), ("sizes", "binary"))]).unionByName(back.withColumn("rep", F.lit(None).cast("long")))
+    told = reps.select("chunk", "rep", "n", "d1", "d2", *[F.lit(None).cast(t).alias(c) for c, t in (("bucket", "long"), ("fps", "binary"), ("sizes", "binary"))]).unionByName(back.select("*", *[F.lit(None).cast("long").alias(c) for c in ("rep", "n", "d1", "d2")]))
     searched = written(keyed.cogroup(told.groupBy("chunk")).applyInArrow(windows.lean(lambda a, b: probing(a, b, n, buckets, percent)), "doc long, n long, probes array<long>, grams binary"), "gram-searched")
     del counts, back, told, keyed, rows
     release(docs.sparkSession)
     entries = searched.select("doc", "n", F.posexplode("probes").alias("k", "gram"), F.size("probes").alias("p"))
     #: The place in the whole order: what comes first are grams of no other class.
     entries = entries.select("gram", "doc", "n", (F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1 - F.col("p") + F.col("k")).cast("long").alias("at"))
-    near = written(linked(leaders(entries), searched, percent), "gram-leaders")
+    #: Rows that repeat a doc_id are one node, so it links the classes of its texts.
+    repeated = sets.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
+    tied = written(sets.where("n > 0").join(repeated, "doc_id").join(classes, ["n", "d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "gram-repeats")
+    near = written(linked(leaders(entries), searched, percent).unionByName(tied), "gram-leaders")
     found = components(near, "gram-components")
     grouped = entries.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     rest = linked(candidates(grouped, block, percent), searched, percent)
     final = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest), "gram-components")
     named = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
     # A null-safe order of joins: classes are one row a set, so the large side only meets one.
-    return sets.join(named, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    out = sets.where("n > 0 or doc_id is null").join(named, ["n", "d1", "d2"], "left").select("doc_id", "n", "component")
+    nodes = tied.select(F.col("a").alias("doc_id")).distinct().join(final.select(F.col("node").alias("doc_id"), "component"), "doc_id")
+    out = out.unionByName(sets.where("n = 0 and doc_id is not null").join(nodes, "doc_id", "left").select("doc_id", "n", "component"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

@@ -289,6 +289,16 @@ def test_join_chains_and_borders(spark, block):
     H.same(ngram_join.ngram_join(docs, n=2, percent=80, block=block).collect(), H.brute_join(rows, 2))
 
 
+def test_join_repeated_ids(spark):
+    """A doc_id with two texts stands for both classes, links them, and takes its blank rows along."""
+    rng = random.Random(14)
+    near = lambda t: " ".join([*t.split()[:-1], "changed"])
+    x, y, z, v = (H.prose(rng, 80) for _ in range(4))
+    rows = [(1, x), (1, y), (2, near(x)), (3, near(y)), (4, z), (5, z), (5, v), (5, " "), (6, v), (7, near(v)), (8, near(near(z))), (9, ""), (9, None)]
+    for part in (rows, rows[::-1]):
+        H.same(ngram_join.ngram_join(spark.createDataFrame(part, "doc_id long, text string")).collect(), H.brute_join(part))
+
+
 def test_divide_skip():
     rng = random.Random(9)
     sets = {i: np.unique(np.array([rng.randrange(60) for _ in range(rng.randint(5, 40))], np.uint64)) for i in range(60)}
