@@ -1,22 +1,35 @@
-"""What the corpus operators share: tables, shared scratch space and text columns.
+"""What the corpus operators share: tables, shared scratch space, text and carried columns.
 
 Rows are documents ``(doc_id, text)``.  A null text counts as an empty one, extra
-columns are ignored unless an operator says that it keeps them, and a null doc_id is
-kept as it is.  Columns that the operators add are named in their docstrings; where an
-input column has such a name already, the operators that keep columns replace it.
+columns are ignored unless an operator is told to carry them, and a null doc_id is
+kept as it is.  A carried column may have any name: inside, it goes by a name of its own,
+and where the operator returns a column of that name (case aside) the operator's is returned and
+the carried one is left out.
 """
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes 0x09-0x0D and 0x20: what separates words (class `[\x20\x09-\x0D]`).
-SPACES = b"\t\n\x0b\x0c\r "
+
+class Carried:
+    """Columns of `docs` that pass through an operator which returns the columns `own`."""
+
+    def __init__(self, docs: DataFrame, carry: Iterable[str], own: Iterable[str]):
+        taken = {c.lower() for c in own}
+        self.names = {c: f"_carried_{k}" for k, c in enumerate(carry) if c.lower() not in taken}
+        self.inside = tuple(self.names.values())
+        self.columns = [F.col(f"`{c}`").alias(n) for c, n in self.names.items()]
+        self.schema = "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for c, n in self.names.items())
+
+    def back(self, rows: DataFrame) -> DataFrame:
+        """Rows with the carried columns under their own names, last."""
+        return rows.select(*[c for c in rows.columns if c not in self.inside], *[F.col(n).alias(c) for c, n in self.names.items()])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,16 +42,31 @@ def texts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (tests on one machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset and all runs on one machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="flowlake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+#: Scratch tables of this process that haven't been dropped.
+SCRATCH: list[str] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    SCRATCH.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the scratch tables made since there were `since` of them, but those in keep.  Results that still read them must be written before."""
+    for path in SCRATCH[since:]:
+        if path not in keep:
+            drop_path(spark, path)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -59,12 +87,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if path in SCRATCH:
+        SCRATCH.remove(path)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -51,22 +51,18 @@ TEMPLATES = {
     "All-rights-reserved": "All rights reserved.",
 }
 
-WORD_BYTES = np.frombuffer(FOLD, np.uint8)
-
-
 class Folded(windows.Chunk):
     """Documents of a block as hashed words; punctuation divides words."""
 
     def __init__(self, rows: pa.Table):
         super().__init__(rows, windows.Spec("words", 1, 1))
 
-    def _words(self) -> None:
-        self.data = WORD_BYTES[self.data]
-        super()._words()
+    def folded(self, text: bytes) -> bytes:
+        return text.translate(FOLD)
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
-    return mixed(windows.Sums(0, words).runs(n)) if len(words) >= n else np.empty(0, U)
+    return mixed(windows.Runs(0, words).of(n))
 
 
 class Template:

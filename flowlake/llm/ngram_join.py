@@ -9,31 +9,39 @@ A document is its set of distinct word n-grams.  Two documents link when
 2. Grams are counted over the classes.  A chunk of documents sends each of its grams once,
    as a 4-byte fingerprint with its count; of fingerprints that occur in several classes
    the count's magnitude comes back.  Every document orders its grams by it, rarest first.
-3. A linked pair of sizes n, m shares at least T = ceil(percent (n+m) / (100+percent))
-   grams, so it shares one of the first n - ceil(percent n / 100) + 1: their inverted
-   lists are the short ones.  Grams of a single class have no list, and documents with
-   nothing else among their first have no partners.
+3. A linked pair shares at least T = ceil(percent n / 100) grams of either of its n.  The
+   lists of a document's last T - k grams are its long ones, the others its short ones; of
+   two documents that link, k grams at least are short for both (k is the smaller of theirs,
+   `least_short`).  Grams of a single class have no list, and documents with T - 1 others
+   at most have no partners.
 4. Before the search, every document is compared with one or two leaders of its short
    lists, and links found join components.  A short list within one component can add
    nothing and is dropped; this is what keeps large groups of near copies linear.
-5. T-occurrence search for every document over its remaining short lists: they are merged
-   by a heap, which counts occurrences of each candidate of another component; the long
-   lists (all other grams) are then probed for each candidate by binary search in the
-   candidate's sorted grams, until T is reached or can't be.
+5. T-occurrence search for every document over its remaining short lists, divided by the sizes
+   of their documents so that only sizes that can link meet: a heap merges them and keeps each
+   candidate of another component that occurs k times (`merge_short`).  The long lists are then
+   probed for each candidate left, by binary search in the candidate's sorted grams, until T is
+   reached or can't be (`probe`).
 6. Components of all links.
 
-Lists are dealt in blocks of about `block` entries, so no row and no group grows with the
-most frequent gram.  Grams are 64-bit hashes of the words; no text is compared.
+Lists are dealt in blocks of about `block` entries, and a document whose lists are long in
+all is searched in parts by the candidate's hash, so no row and no group grows with the most
+frequent gram.  Candidates are pairs that share k rare grams, not all pairs of a list; texts
+built so that unlike documents share k of their rarest grams cost what those pairs cost.
+Grams are 64-bit hashes of 128-bit word digests (see `windows`): two given sets of 1,000 grams
+have a hash in common by chance with probability 1e-13.
 
 Results for odd input: null, empty and blank texts have no grams and are components of
-their own; fewer words than a gram count as one gram, the whole sequence; documents
-without doc_id have a null component and join nothing; rows that repeat a doc_id are
-joined as one node, each with its own number of grams.
+their own; fewer words than a gram count as one gram, the whole sequence; texts of any length
+are whole sets; a tie, exactly `percent`, links; documents without doc_id have a null
+component and join nothing; rows that repeat a doc_id are joined as one node, each with its own
+number of grams; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -43,12 +51,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlake.llm import windows
-from flowlake.llm.common import release, texts, written
+from flowlake.llm.common import texts, written
 from flowlake.llm.components import components
 from flowlake.llm.windows import U
 
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 class Grams(windows.Chunk):
@@ -58,19 +65,18 @@ class Grams(windows.Chunk):
         self.n = n
         super().__init__(rows, windows.Spec("words", n, n))
 
-    def _words(self) -> None:
-        self.data = LOWER[self.data]
-        super()._words()
+    def folded(self, text: bytes) -> bytes:
+        return text.translate(LOWER)
 
     def sets(self) -> Iterator[np.ndarray]:
         """Sorted distinct grams of each document."""
         n = self.n
-        hashed = windows.mixed(windows.Sums(0, self.words[0]).runs(n)) if len(self.words[0]) >= n else np.empty(0, U)
+        hashed = windows.mixed(windows.Runs(0, self.words[0]).of(n))
         for a, b in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), strict=True):
             if b - a >= n:
                 yield np.unique(hashed[a : b - n + 1])
             elif b > a:
-                yield windows.mixed(windows.Sums(0, self.words[0][a:b]).hash(np.array([0]), np.array([b - a])) + U(b - a))
+                yield windows.mixed(windows.Runs(0, self.words[0][a:b]).of(b - a) + U(b - a))
             else:
                 yield np.empty(0, U)
 
@@ -88,11 +94,16 @@ def needed(n: int, m: int, percent: int) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
+def least_short(n: int, percent: int) -> int:
+    """Occurrences among the short lists that a set of n asks of a candidate."""
+    return max(1, min(8, 1 + n // 16, least_overlap(n, percent)))
+
+
 # 1. Classes.
 
 
 def signature(g: np.ndarray) -> tuple[int, int, int]:
-    return len(g), int(windows.mixed(g * U(windows.BASES[0])).sum(dtype=U)), int(windows.mixed(g ^ U(windows.BASES[1])).sum(dtype=U))
+    return len(g), int(windows.mixed(g * U(windows.LANES[0][0])).sum(dtype=U)), int(windows.mixed(g ^ U(windows.LANES[1][2])).sum(dtype=U))
 
 
 def signatures(n: int):
@@ -179,11 +190,9 @@ def summed(rows: pa.Table) -> pa.Table:
     keep = total > 1
     fp, chunk, size = fp[keep], chunk[keep], np.minimum(255, np.ceil(4 * np.log2(total[keep]))).astype(np.uint8)
     order = np.argsort(chunk, kind="stable")
-    fp, chunk, size = fp[order], chunk[order], size[order]
-    cut = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])) if len(chunk) else np.empty(0, np.int64)
-    own = rows.column("chunk").to_numpy()[chunk[cut]] if len(cut) else np.empty(0, np.int64)
-    split = [[p.tobytes() for p in np.split(x, cut[1:])] if len(cut) else [] for x in (fp.astype("<u4"), size)]
-    return pa.table({"chunk": pa.array(own.astype(np.int64)), "bucket": pa.array([rows.column("bucket")[0].as_py()] * len(cut), pa.int64()), "fps": pa.array(split[0], pa.binary()), "sizes": pa.array(split[1], pa.binary())})
+    own, (prints, sizes) = windows.split_by(chunk[order], fp[order].astype("<u4"), size[order])
+    chunks = rows.column("chunk").to_numpy()[own] if len(own) else np.empty(0, np.int64)
+    return pa.table({"chunk": pa.array(chunks.astype(np.int64)), "bucket": pa.array([rows.column("bucket")[0].as_py()] * len(own), pa.int64()), "fps": pa.array(prints, pa.binary()), "sizes": pa.array(sizes, pa.binary())})
 
 
 # 3. Documents with short lists.
@@ -209,11 +218,11 @@ def probing(rows: pa.Table, found: pa.Table, n: int, buckets: int, percent: int)
         at = np.minimum(np.searchsorted(known, key), len(known) - 1)
         shared = known[at] == key
         single = len(g) - int(shared.sum())
-        prefix = len(g) - least_overlap(len(g), percent) + 1
-        if single >= prefix:
+        room = len(g) - least_overlap(len(g), percent)
+        if single > room:
             continue
         grams, size = g[shared], sizes[at[shared]]
-        first = np.lexsort((grams, size))[: prefix - single]
+        first = np.lexsort((grams, size))[: room + least_short(len(g), percent) - single]
         out["doc"].append(doc)
         out["n"].append(len(g))
         out["probes"].append(grams[first].view(np.int64))
@@ -240,34 +249,17 @@ def probe(mine: np.ndarray, theirs: np.ndarray, at_least: int, block: int = 256)
     return both
 
 
-def occurrences(lists: list[list[int]], at_least: int) -> dict[int, int]:
-    """Ids that at_least of the sorted lists hold, by a heap merge, with how many do."""
-    out: dict[int, int] = {}
-    last, count = None, 0
-    for x in heapq.merge(*lists):
-        if x == last:
+def merge_short(lists: list[list[tuple[int, int]]], k: int) -> list[int]:
+    """Ids that enough of the sorted lists of (id, its k) hold: the smaller of both k.  A heap merges the lists."""
+    out: list[int] = []
+    last, asked, count = None, 0, 0
+    for doc, own in heapq.merge(*lists):
+        if doc == last:
             count += 1
-            continue
-        if last is not None and count >= at_least:
-            out[last] = count
-        last, count = x, 1
-    if last is not None and count >= at_least:
-        out[last] = count
-    return out
-
-
-def divide_skip(query: np.ndarray, lists: dict[int, list[int]], sets: dict[int, np.ndarray], sizes: dict[int, int], size: int, percent: int) -> dict[int, int]:
-    """Partners of one set with their overlaps: a T-occurrence search.
-
-    query: its sorted grams; lists: sorted inverted lists of its short grams; sets and
-    sizes: of the candidates, probed for all grams.
-    """
-    out = {}
-    for doc in occurrences(list(lists.values()), 1):
-        t = needed(size, sizes[doc], percent)
-        both = probe(query, sets[doc], t)
-        if both >= t:
-            out[doc] = both
+        else:
+            last, asked, count = doc, min(k, own), 1
+        if count == asked:
+            out.append(doc)
     return out
 
 
@@ -305,51 +297,82 @@ def leaders(entries: DataFrame) -> DataFrame:
     return out.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def candidates(entries: DataFrame, block: int, percent: int) -> DataFrame:
-    """a, b: pairs of different components that share a short list, by a heap merge over each document's lists.
+#: Entries of a document's short lists that are merged at a time.
+LOT = 1 << 16
 
-    entries: gram, doc, n, at (the gram's place in the document's order), component.
-    """
-    several = entries.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("gram", F.ceil(F.col("size") / block).alias("blocks"))
-    open_ = entries.join(several, "gram")
-    lists = open_.groupBy("gram", F.pmod(F.xxhash64("doc"), "blocks").alias("block")).agg(F.sort_array(F.collect_list(F.struct("doc", "n", "at", "component"))).alias("list"))
-    query = open_.select("gram", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("component").alias("ca"))
-    #: The pair's overlap is at most what follows the shared gram in either order, and it.
-    within = F.filter("list", lambda y: (y["doc"] < F.col("a")) & (y["component"] != F.col("ca")) & ((100 + percent) * F.least(F.col("na") - F.col("pa"), y["n"] - y["at"]) >= percent * (F.col("na") + y["n"])))
-    rows = query.join(lists, "gram").select("a", F.transform(within, lambda y: y["doc"]).alias("list")).where(F.size("list") > 0)
 
-    def merge(group: pa.Table) -> pa.Table:
-        found = list(occurrences(group.column("list").to_pylist(), 1))
-        return pa.table({"a": pa.array([group.column("a")[0].as_py()] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
+def power_of_two(size, unit: int):
+    return F.pow(F.lit(2), F.ceil(F.log2(F.greatest(size / unit, F.lit(1.0))))).cast("long")
 
-    return rows.groupBy("a").applyInArrow(merge, "a long, b long")
 
+def candidates(entries: DataFrame, block: int, percent: int, lot: int = LOT) -> DataFrame:
+    """a, b: pairs of different components that share k short lists, by a heap merge over each document's lists.
 
-def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, chunk_bytes: int = 4 << 20, block: int = 512) -> DataFrame:
+    entries: gram, doc, n, k, at (the gram's place in the document's order), component.
+    """
+    #: Sizes that link are in one band or in neighbours.
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
+    several = entries.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("gram", "size", power_of_two(F.col("size"), block).alias("blocks"))
+    open_ = entries.join(several, "gram").withColumn("band", band)
+    lists = open_.groupBy("gram", "band", F.pmod(F.xxhash64("doc"), "blocks").alias("block")).agg(F.sort_array(F.collect_list(F.struct("doc", "n", "k", "at", "component"))).alias("list"))
+    work = open_.groupBy(F.col("doc").alias("a")).agg(power_of_two(F.sum("size"), lot).alias("parts"))
+    query = open_.select("gram", "blocks", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("k").alias("ka"), F.col("at").alias("pa"), F.col("component").alias("ca"), F.explode(F.array("band", F.col("band") - 1, F.col("band") + 1)).alias("band"))
+    query = query.join(work, "a").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    both = query.join(lists, ["gram", "band"]).where(F.pmod("block", F.least("parts", "blocks")) == F.pmod("part", F.least("parts", "blocks")))
+    #: Of a pair's first k shared grams, the overlap is at most those before it, it, and what follows it in either order.
+    reach = lambda y: (100 + percent) * (F.least(F.col("na") - F.col("pa"), y["n"] - y["at"]) + F.least(F.col("ka"), y["k"]) - 1) >= percent * (F.col("na") + y["n"])
+    #: A pair is searched from its larger set.
+    before = lambda y: (y["n"] < F.col("na")) | (y["n"] == F.col("na")) & (y["doc"] < F.col("a"))
+    within = F.filter("list", lambda y: before(y) & (y["component"] != F.col("ca")) & (F.pmod(F.xxhash64(y["doc"]), F.col("parts")) == F.col("part")) & reach(y))
+    rows = both.select("a", "part", F.col("ka").alias("k"), F.transform(within, lambda y: y["doc"]).alias("docs"), F.transform(within, lambda y: y["k"]).alias("ks")).where(F.size("docs") > 0)
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part").mapInArrow(searched_lists, "a long, b long")
+
+
+def searched_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The merge of one document's lists after the other's; rows come sorted by document and part."""
+    now, k, lists = None, 0, []
+
+    def found() -> pa.RecordBatch:
+        docs = merge_short(lists, k)
+        return pa.RecordBatch.from_arrays([pa.array([now[0]] * len(docs), pa.int64()), pa.array(docs, pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        for a, part, own, docs, ks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (a, part) != now:
+                if lists:
+                    yield found()
+                now, k, lists = (a, part), own, []
+            lists.append(list(zip(docs, ks, strict=True)))
+    if lists:
+        yield found()
+
+
+def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, chunk_bytes: int = 4 << 20, block: int = 512, lot: int = LOT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included)."""
     docs = texts(docs)
     sets = written(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(signatures(n), "doc_id long, n long, d1 long, d2 long"), "gram-sets")
     classes = sets.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    chunks, buckets = windows.shape(docs, chunk_bytes, 6)
-    rows = windows.dealt(docs, chunks)
+    shape = windows.shape(docs, chunk_bytes, 6)
+    chunks, buckets = shape.chunks, shape.buckets
+    rows = shape.spread(windows.dealt(docs, chunks))
     keyed = rows.groupBy("chunk")
     reps = classes.select("rep", "n", "d1", "d2", F.pmod(F.xxhash64("rep"), F.lit(chunks)).cast("long").alias("chunk"))
     counts = keyed.cogroup(reps.groupBy("chunk")).applyInArrow(windows.lean(lambda a, b: counted(a, b, n, buckets)), "bucket long, chunk long, fps binary, many binary")
     back = counts.groupBy("bucket").applyInArrow(summed, "chunk long, bucket long, fps binary, sizes binary")
     told = reps.select("chunk", "rep", "n", "d1", "d2", *[F.lit(None).cast(t).alias(c) for c, t in (("bucket", "long"), ("fps", "binary"), ("sizes", "binary"))]).unionByName(back.select("*", *[F.lit(None).cast("long").alias(c) for c in ("rep", "n", "d1", "d2")]))
     searched = written(keyed.cogroup(told.groupBy("chunk")).applyInArrow(windows.lean(lambda a, b: probing(a, b, n, buckets, percent)), "doc long, n long, probes array<long>, grams binary"), "gram-searched")
-    del counts, back, told, keyed, rows
-    release(docs.sparkSession)
-    entries = searched.select("doc", "n", F.posexplode("probes").alias("k", "gram"), F.size("probes").alias("p"))
+    overlap = F.floor((percent * F.col("n") + 99) / 100)
+    short = F.greatest(F.lit(1), F.least(F.lit(8), 1 + F.floor(F.col("n") / 16), overlap)).cast("int")
+    entries = searched.select("doc", "n", short.alias("k"), F.posexplode("probes").alias("i", "gram"), F.size("probes").alias("p"))
     #: The place in the whole order: what comes first are grams of no other class.
-    entries = entries.select("gram", "doc", "n", (F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1 - F.col("p") + F.col("k")).cast("long").alias("at"))
+    entries = entries.select("gram", "doc", "n", "k", ((F.col("n") - overlap + F.col("k") - F.col("p")) + F.col("i")).cast("long").alias("at"))
     #: Rows that repeat a doc_id are one node, so it links the classes of its texts.
     repeated = sets.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
     tied = written(sets.where("n > 0").join(repeated, "doc_id").join(classes, ["n", "d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "gram-repeats")
     near = written(linked(leaders(entries), searched, percent).unionByName(tied), "gram-leaders")
     found = components(near, "gram-components")
     grouped = entries.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    rest = linked(candidates(grouped, block, percent), searched, percent)
+    rest = linked(candidates(grouped, block, percent, lot), searched, percent)
     final = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest), "gram-components")
     named = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
     # A null-safe order of joins: classes are one row a set, so the large side only meets one.

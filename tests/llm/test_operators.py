@@ -1,6 +1,7 @@
 """Every operator against brute force, on the small tables and on odd input."""
 
 import array
+import json
 import random
 import zlib
 
@@ -154,6 +155,82 @@ def test_fingerprint_odd(spark, batches, length):
     H.same(got, H.brute_words(H.odd_rows(), length))
 
 
+def morse(n):
+    """The first n letters of the Thue-Morse word and of its complement, which polynomial hashes modulo powers of two confuse."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_unlike_words_stay_unlike(spark):
+    a, b = morse(1024)
+    rows = [(1, " ".join([a] * 20)), (2, " ".join([b] * 20)), (3, a), (4, b), (5, f"{a} x y z v w"), (6, f"{b} x y z v w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    H.same(ngram_join.ngram_join(docs).collect(), H.brute_join(rows))
+    found = fingerprint_index.incremental_dedup(docs, common.scratch(spark, "test-index"))
+    H.same(found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256)).collect(), H.brute_words(rows))
+    found = suffix_dedup.suffix_dedup(docs)
+    H.same(found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long"), F.sha2("kept", 256)).collect(), H.brute_suffix(rows))
+
+
+def test_digests_know_words():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    words = [bytes(rng.choice(b"ab") for _ in range(rng.choice([1, 2, 7, 8, 9, 16, 17, 255, 256, 257, 600]))) for _ in range(400)]
+    chunk = windows.Chunk(pa.table({"doc_id": pa.array([1], pa.int64()), "text": pa.array([b"  ".join(words)], pa.binary())}), windows.Spec("words", 20, 8))
+    assert len(chunk.words[0]) == len(words)
+    pairs = list(zip(chunk.words[0].tolist(), chunk.words[1].tolist(), strict=True))
+    assert len(set(pairs)) == len(set(words)) == len(set(zip(words, pairs, strict=True)))
+
+
+@pytest.mark.parametrize("hot, salts", [(2, 3), (1, 1)])
+def test_hot_values_in_parts(spark, hot, salts):
+    """The results don't depend on which values count as hot."""
+    rng = random.Random(8)
+    passage, line = H.prose(rng, 30), H.prose(rng, 12)
+    rows = [(i, f"{H.prose(rng, 8)} {passage} {H.prose(rng, 8)} {line}") for i in range(60)] + [(i, passage + " same end") for i in range(60, 120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = suffix_dedup.suffix_dedup(docs, 60, 20, chunk_bytes=1000, hot=hot, salts=salts)
+    H.same(found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long"), F.sha2("kept", 256)).collect(), H.brute_suffix(rows, 60))
+    index = fingerprint_index.FingerprintIndex(spark, common.scratch(spark, "test-index"), windows.Spec("words", 20, 8), 4)
+    parts = [docs.where("doc_id < 50"), docs.where("doc_id >= 50")]
+    got = []
+    for i, part in enumerate(parts):
+        found = index.judge(index.add(part, 1000), parts[: i + 1], hot, salts)
+        got += found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256)).collect()
+    H.same(got, H.brute_words(rows))
+
+
+def test_failed_batches_leave_the_index(spark, monkeypatch):
+    docs, path = H.odd_docs(spark), common.scratch(spark, "test-index")
+    make = lambda: fingerprint_index.FingerprintIndex(spark, path, windows.Spec("words", 20, 8), 4)
+    index = make()
+    parts = [docs.where("doc_id < 8 or doc_id is null"), docs.where("doc_id >= 8")]
+    index.ingest(parts[0]).count()
+    before = json.dumps(index.state)
+    real = fingerprint_index.FingerprintIndex._commit
+
+    def broken(self, state):
+        raise OSError("lost")
+
+    monkeypatch.setattr(fingerprint_index.FingerprintIndex, "_commit", broken)
+    with pytest.raises(OSError):
+        index.ingest(parts[1], parts[:1])
+    assert json.dumps(index.state) == before == json.dumps(make().state)
+    monkeypatch.setattr(fingerprint_index.FingerprintIndex, "_commit", real)
+    other = make()
+    got = index.ingest(parts[1], parts[:1]).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256)).collect()
+    late = {r[0] for r in got}
+    H.same(got, [r for r in H.brute_words(H.odd_rows()) if r[0] in late])
+    with pytest.raises(RuntimeError):
+        other.add(parts[1])
+    again = make().judge(1, parts).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256)).collect()
+    H.same(again, got)
+    assert len(index.runs().inputFiles()) and len(make().state["runs"]) == 2
+    index.vacuum()
+    assert make().state == index.state
+
+
 def test_index_runs_and_compaction(spark):
     docs = H.odd_docs(spark)
     path = common.scratch(spark, "test-index")
@@ -161,7 +238,7 @@ def test_index_runs_and_compaction(spark):
     first, second = docs.where("doc_id < 10"), docs.where("doc_id >= 10")
     index.ingest(first).count()
     index.ingest(second, first).count()
-    fps = lambda: sorted(x for r in index.runs().collect() for x in np.frombuffer(r["fps"], "<u4").tolist())
+    fps = lambda: sorted(x for r in index.runs().collect() for x in zip(np.frombuffer(r["fps"], "<u4").tolist(), np.frombuffer(r["owners"], "<i8").tolist(), strict=True))
     before = fps()
     index.compact()
     assert len(index.state["runs"]) == 1 and fps() == before
@@ -195,7 +272,7 @@ def test_long_sequences_in_segments(spark, monkeypatch):
 
     spec = windows.Spec("bytes", 50, 20)
     table = pa.table({"doc_id": pa.array([1, 2], pa.int64()), "text": pa.array([t.encode() for _, t in rows], pa.binary()), "chunk": pa.array([0, 0], pa.int64())})
-    state = windows.candidates(table, pa.table({"chunk": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()), "fps": pa.array([], pa.binary())}), spec, 4, 0)
+    state = windows.candidates(table, pa.table({"chunk": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()), "fps": pa.array([], pa.binary()), "hot": pa.array([], pa.binary())}), spec, 4, 0)
     kinds = np.array(state.column("state").to_pylist())
     told = state.filter(pa.array(kinds >= windows.DIFFERENT)).select(["doc", "pos", "n"])
     kind = pa.array([windows.REPEAT if k == windows.AGAIN else windows.OPEN for k in kinds[kinds >= windows.DIFFERENT]], pa.int32())
@@ -273,8 +350,8 @@ def test_join_odd(spark):
     assert ngram_join.ngram_join(H.empty_docs(spark)).count() == 0
 
 
-@pytest.mark.parametrize("block", [512, 3])
-def test_join_chains_and_borders(spark, block):
+@pytest.mark.parametrize("block, lot", [(512, 1 << 16), (3, 8)])
+def test_join_chains_and_borders(spark, block, lot):
     """Chains of near copies, sizes around the border, and grams shared by all."""
     rng = random.Random(6)
     rows = []
@@ -286,7 +363,7 @@ def test_join_chains_and_borders(spark, block):
     common_part = H.prose(rng, 20)
     rows += [(1000 + k, f"{common_part} {H.prose(rng, rng.randint(2, 12))}") for k in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    H.same(ngram_join.ngram_join(docs, n=2, percent=80, block=block).collect(), H.brute_join(rows, 2))
+    H.same(ngram_join.ngram_join(docs, n=2, percent=80, block=block, lot=lot).collect(), H.brute_join(rows, 2))
 
 
 def test_join_repeated_ids(spark):
@@ -299,14 +376,19 @@ def test_join_repeated_ids(spark):
         H.same(ngram_join.ngram_join(spark.createDataFrame(part, "doc_id long, text string")).collect(), H.brute_join(part))
 
 
-def test_divide_skip():
+def test_merge_and_probe():
+    """What the merge of short lists keeps and the probe of whole sets confirms are the partners that comparing all sets finds."""
     rng = random.Random(9)
     sets = {i: np.unique(np.array([rng.randrange(60) for _ in range(rng.randint(5, 40))], np.uint64)) for i in range(60)}
+    short = {i: set(s[: len(s) - ngram_join.least_overlap(len(s), 50) + ngram_join.least_short(len(s), 50)].tolist()) for i, s in sets.items()}
     for q in range(0, 60, 7):
-        lists = {int(g): sorted(i for i in sets if g in sets[i]) for g in sets[q]}
-        found = ngram_join.divide_skip(sets[q], lists, sets, {i: len(s) for i, s in sets.items()}, len(sets[q]), 50)
-        want = {i: len(np.intersect1d(sets[q], s)) for i, s in sets.items() if 100 * len(np.intersect1d(sets[q], s)) >= 50 * len(np.union1d(sets[q], s))}
-        assert found == want
+        lists = [sorted((i, ngram_join.least_short(len(sets[i]), 50)) for i in sets if g in short[i]) for g in short[q]]
+        found = ngram_join.merge_short(lists, ngram_join.least_short(len(sets[q]), 50))
+        assert found == sorted(set(found))
+        good = {i for i in found if ngram_join.probe(sets[q], sets[i], ngram_join.needed(len(sets[q]), len(sets[i]), 50)) >= ngram_join.needed(len(sets[q]), len(sets[i]), 50)}
+        want = {i for i, s in sets.items() if 100 * len(np.intersect1d(sets[q], s)) >= 50 * len(np.union1d(sets[q], s))}
+        assert good == want
+    assert ngram_join.merge_short([[(1, 2), (2, 9)], [(1, 2), (2, 9)], [(2, 9)]], 3) == [1, 2]
 
 
 # op7
