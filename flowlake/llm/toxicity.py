@@ -1,13 +1,19 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text is cut into clauses.  A lexicon turns the words of a clause into a string over a
-small alphabet (insult, threat, target, negation, report, other), which a composition of
-deterministic transducers reads: the negation transducer marks what follows a negation
-within a few words, the report transducer what follows a verb of saying or a quotation
-mark, the target transducer what follows a person addressed.  Every insult or threat leaves
-the composition with its marks, and counts with the weight that its marks have.  Clauses
-are scored; a text's features are sums over its clauses, the best clause, the two different
-words that count most in any clause, and what all matches count for each 100 words.
+Two layers of transducers are composed.  Letters: the insult transducer accepts learned
+beginnings of words and whole words with their weights, the threat transducer verbs of harm
+with the endings that inflect them, and both turn a word into a symbol of a small alphabet
+(insult, threat, target, negation, report, other).  Clauses: a clause is a string over that
+alphabet, read by the composition of the negation transducer, which marks what follows a
+negation within a few words, the report transducer, which marks what follows a verb of saying
+or a quotation mark, and the target transducer, which marks what stands within a few words
+after a person addressed; the target transducer then reads the clause backwards, so a person
+who follows marks as well ("i will kill you").
+
+Insults and threats leave the grammar with their marks.  A clause counts by its matches: an
+insult by its weight, a threat only with a target in its clause, half of either where it is
+negated or reported.  A text's features are sums over its clauses, by marks, its two best
+clauses and the share of clauses with a match; no word counts outside its clause.
 
 What is learned, from labelled rows only (doc_id names the label's row and is no feature):
 
@@ -19,8 +25,11 @@ Both are fitted on disjoint halves of a bounded sample: up to `per_label` rows o
 label, those with the smallest hashes, rows with equal text once.  The share of toxic rows
 is counted over all training rows.  The model (at most `arcs` arcs) is broadcast.
 
-Results for odd input: null and empty texts score as a text without matches; without any
-labelled rows of both kinds every score is the share of toxic rows (0 without rows).
+Results for odd input: null and empty texts score as a text without matches; texts of any
+length are read whole, clause by clause; rows that repeat a doc_id are scored each by its text,
+and equal texts get equal scores; ties between arcs go to the smaller one, and a score of
+exactly 0.5 counts as toxic; without any labelled rows of both kinds every score is the share
+of toxic rows (0 without rows); an empty table gives no rows; carried columns: see common.Carried.
 """
 
 from __future__ import annotations
@@ -35,20 +44,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlake.llm.common import texts
+from flowlake.llm.common import Carried, texts
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 NEGATED, REPORTED, TARGETED = 1, 2, 4
 
 # Words of the closed classes in English, German, French and Spanish.
-THREATS = "kill hurt destroy beat burn stab shoot crush smash töten umbringen schlagen verprügeln tuer frapper brûler détruire matar golpear quemar destruir".split()
-TARGETS = "you your yours u they them their these those people he she him her du dich dir ihr euch sie ihnen diese leute tu te toi vous ils elles eux tú ti usted ustedes vosotros ellos ellas".split()
-NEGATIONS = "not no never nor neither isn't aren't wasn't don't doesn't didn't nicht kein keine keinen nie niemals jamais aucun aucune nunca jamás ningún ninguna tampoco".split()
+TARGETS = "you your yours u they them their these those people he she him her everyone everybody du dich dir ihr euch sie ihn ihnen diese leute tu te toi vous les ils elles eux tú ti usted ustedes vosotros los ellos ellas".split()
+NEGATIONS = "not no never nor neither isn't aren't wasn't weren't don't doesn't didn't won't wouldn't can't cannot nicht kein keine keinen nie niemals jamais pas aucun aucune nunca jamás ningún ninguna tampoco".split()
 REPORTS = "said says say called calls wrote writes claimed claims quoted according sagte sagt nannte nennt schrieb laut dit disait appelle appelé selon écrit dijo dice llamó llama según escribió".split()
 
+# Verbs of harm as stems with their endings; a dot stands for none.
+THREATS = {
+    "kill": ". s ed ing", "murder": ". s ed ing", "hurt": ". s ing", "destroy": ". s ed ing", "beat": ". s en ing", "burn": ". s ed t ing", "crush": ". es ed ing",
+    "smash": ". es ed ing", "punch": ". es ed ing", "stab": ". s bed bing", "shoot": ". s ing", "shot": ".", "strangl": "e es ed ing",
+    "töt": "en e est et ete eten", "getötet": ".", "umbring": "en e st t", "umgebracht": ".", "schlag": "en e t", "schläg": "st t", "geschlagen": ".", "verprügel": "n e st t", "verbrenn": "en e st t", "zerstör": "en e st t",
+    "tue": ". r s nt rai ras ra rons rez ront", "tué": ". s e es", "frapp": "er e es ent é és erai era", "brûl": "er e es ent é és erai era", "détrui": "re s t t sent rai ra",
+    "mat": "ar o a as an aré ará arán ó aron ado", "golpe": "ar o a as an aré ará ó ado", "quem": "ar o a as an aré ará ó ado", "destru": "ir iré irá ido yo ye yes yen yó",
+}
+
 CLAUSE = re.compile(r"[.!?;:|\n]+|,(?= )")
 #: Bytes of words: ASCII letters and digits, the apostrophe, and everything from 0x80 on.
 WORDS = bytes(b if b >= 128 or chr(b).isalnum() or b == 39 else 32 for b in range(256))
+#: Lengths of the beginnings that can be learned.
 PREFIXES = tuple(range(3, 11))
 
 
@@ -97,34 +115,80 @@ def compose(first: Machine, second: Machine) -> Machine:
     return Machine(tuple(table))
 
 
-GRAMMAR = compose(compose(scope(NEGATION, 4, NEGATED), onwards(REPORT, REPORTED)), scope(TARGET, 5, TARGETED))
+SCOPE = 5
+GRAMMAR = compose(compose(scope(NEGATION, 4, NEGATED), onwards(REPORT, REPORTED)), scope(TARGET, SCOPE, TARGETED))
+BACKWARDS = scope(TARGET, SCOPE, TARGETED)
+
+CLOSED = {w.encode(): c for c, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words}
+FEATURES = ("plain", "targeted", "negated", "reported", "threats", "hedged_threats", "best_clause", "second_clause", "share")
+
 
-CLOSED = {w.encode(): c for c, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words}
-THREAT_WORDS = frozenset(w.encode() for w in THREATS)
-FEATURES = ("plain", "targeted", "negated", "reported", "threats", "best_clause", "strongest", "second", "density")
+class Letters:
+    """A transducer over the letters of words: weights of accepted beginnings, and of whole words (arcs with a final $)."""
+
+    def __init__(self, arcs: dict[bytes, float]):
+        self.table: list[dict[int, int]] = [{}]
+        self.begins: dict[int, float] = {}
+        self.whole: dict[int, float] = {}
+        for arc, weight in arcs.items():
+            state = 0
+            for letter in arc.removesuffix(b"$"):
+                after = self.table[state].get(letter)
+                if after is None:
+                    after = self.table[state][letter] = len(self.table)
+                    self.table.append({})
+                state = after
+            ends = self.whole if arc.endswith(b"$") else self.begins
+            ends[state] = max(weight, ends.get(state, 0.0))
+
+    def weight(self, word: bytes) -> float:
+        """The best weight that the word is accepted with; 0 if it isn't."""
+        state, best = 0, 0.0
+        for letter in word:
+            state = self.table[state].get(letter)
+            if state is None:
+                return best
+            if state in self.begins and self.begins[state] > best:
+                best = self.begins[state]
+        return max(best, self.whole.get(state, 0.0))
+
+
+THREAT_LETTERS = Letters({(stem + ending.replace(".", "")).encode() + b"$": 1.0 for stem, endings in THREATS.items() for ending in endings.split()})
+
+#: Words whose symbols a lexicon remembers, begun anew when full.
+REMEMBERED = 200_000
 
 
 class Lexicon:
-    """Insult arcs: weights of word beginnings by length, and of whole words (with a final $)."""
+    """The letter transducers together: from words to symbols of the clause alphabet, insults with their weights."""
 
     def __init__(self, arcs: dict[bytes, float]):
-        self.arcs = arcs
-        self.whole = frozenset(a[:-1] for a in arcs if a.endswith(b"$"))
-        self.by_length = [(n, frozenset(a for a in arcs if len(a) == n and not a.endswith(b"$"))) for n in PREFIXES]
-        self.by_length = [(n, s) for n, s in self.by_length if s]
-
-    def matched(self, words: set[bytes]) -> dict[bytes, float]:
-        """The best weight of each word that an arc accepts."""
-        found: dict[bytes, float] = {w: self.arcs[w + b"$"] for w in self.whole & words}
-        for n, prefixes in self.by_length:
-            if not prefixes.isdisjoint({w[:n] for w in words}):
-                for w in words:
-                    weight = self.arcs.get(w[:n]) if len(w) >= n else None
-                    if weight is not None and weight > found.get(w, 0):
-                        found[w] = weight
+        self.insults = Letters(arcs)
+        self.seen: dict[bytes, tuple[int, float]] = {}
+
+    def __getstate__(self):
+        return {"insults": self.insults, "seen": {}}
+
+    def symbol(self, word: bytes) -> tuple[int, float]:
+        """(class, weight); a word of the closed classes is of its class, whatever the insult arcs accept."""
+        found = self.seen.get(word)
+        if found is None:
+            if len(self.seen) >= REMEMBERED:
+                self.seen.clear()
+            kind = CLOSED.get(word, OTHER)
+            weight = 0.0
+            if kind == OTHER and (weight := self.insults.weight(word)):
+                kind = INSULT
+            elif kind == OTHER and THREAT_LETTERS.weight(word):
+                kind, weight = THREAT, THREAT_WEIGHT
+            found = self.seen[word] = kind, weight
         return found
 
 
+#: What a threat at a target counts in its clause; insults count their log odds.
+THREAT_WEIGHT = 3.0
+
+
 def tokens(text: str) -> list[bytes]:
     return text.lower().encode().translate(WORDS).split()
 
@@ -138,33 +202,43 @@ def clauses(text: str) -> Iterator[list[bytes]]:
             yield words
 
 
+def matches(kinds: list[int]) -> list[int]:
+    """The symbols of a clause with the marks that the grammar leaves on them."""
+    state, out = 0, []
+    for kind in kinds:
+        state, symbol = GRAMMAR.table[state][kind << 3]
+        out.append(symbol)
+    state = 0
+    for k in range(len(out) - 1, -1, -1):
+        state, out[k] = BACKWARDS.table[state][out[k]]
+    return out
+
+
+def clause_score(words: list[bytes], lexicon: Lexicon, sums: Counter) -> float:
+    """What the matches of one clause count together; sums by mark go to `sums`."""
+    found = [lexicon.symbol(w) for w in words]
+    total = 0.0
+    for symbol, (kind, weight) in zip(matches([k for k, _ in found]), found, strict=True):
+        marks = symbol & 7
+        hedged = marks & (NEGATED | REPORTED)
+        if kind == INSULT:
+            sums["negated" if marks & NEGATED else "reported" if marks & REPORTED else "targeted" if marks & TARGETED else "plain"] += weight
+        elif kind == THREAT and marks & TARGETED:
+            sums["hedged_threats" if hedged else "threats"] += 1
+        else:
+            continue
+        total += weight / (2 if hedged else 1)
+    return total
+
+
 def features(text: str, lexicon: Lexicon) -> list[float]:
-    words = tokens(text)
-    distinct = set(words)
-    found = lexicon.matched(distinct)
-    out = [0.0] * len(FEATURES)
-    if not found and THREAT_WORDS.isdisjoint(distinct):
-        return out
-    sums, best = Counter(), Counter()
-    for clause in clauses(text):
-        state, total = 0, 0.0
-        for w in clause:
-            weight = found.get(w)
-            kind = INSULT if weight is not None else CLOSED.get(w, OTHER)
-            state, symbol = GRAMMAR.table[state][kind << 3]
-            if kind == INSULT or kind == THREAT:
-                marks = symbol & 7
-                if kind == THREAT:
-                    sums["threats"] += marks & TARGETED and 1
-                    weight = 1.0 if marks & TARGETED else 0.0
-                else:
-                    sums["negated" if marks & NEGATED else "reported" if marks & REPORTED else "targeted" if marks & TARGETED else "plain"] += weight
-                counts = weight / (2 if marks & (NEGATED | REPORTED) else 1)
-                best[w] = max(best[w], counts)
-                total += counts
-        sums["best_clause"] = max(sums["best_clause"], total)
-    sums["density"] = 100 * sum(best.values()) / max(100, len(words))
-    sums["strongest"], sums["second"] = [*sorted(best.values(), reverse=True), 0.0, 0.0][:2]
+    if not any(lexicon.symbol(w)[0] in (INSULT, THREAT) for w in set(tokens(text))):
+        return [0.0] * len(FEATURES)
+    sums: Counter = Counter()
+    scores = [clause_score(words, lexicon, sums) for words in clauses(text)]
+    best = sorted(scores, reverse=True)[:2]
+    sums["best_clause"], sums["second_clause"] = [*best, 0.0][:2]
+    sums["share"] = 100 * sum(s > 0 for s in scores) / max(10, len(scores))
     return [float(np.log1p(sums[k])) for k in FEATURES]
 
 
@@ -261,15 +335,16 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = 4000, arcs: int =
 def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, score (0 to 1), and the columns named in carry."""
     held = docs.sparkSession.sparkContext.broadcast(model)
+    carried = Carried(docs, carry, ("doc_id", "score"))
+    inside = carried.inside
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(t, held.value.lexicon) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held.value.scores(found)), *[batch.column(c) for c in carry]], ["doc_id", "score", *carry])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held.value.scores(found)), *[batch.column(c) for c in inside]], ["doc_id", "score", *inside])
 
-    kind = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     doc_id, text = F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")
-    return docs.select(doc_id, text, *carry).mapInArrow(run, "doc_id long, score double" + kind)
+    return carried.back(docs.select(doc_id, text, *carried.columns).mapInArrow(run, "doc_id long, score double" + carried.schema))
 
 
 def held_out(column: str = "doc_id"):
