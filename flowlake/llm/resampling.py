@@ -1,20 +1,20 @@
 """A quality classifier by importance resampling of hashed n-grams.
 
 Words and word pairs fall into `buckets` by hash.  The target model is their frequencies in
-documents labelled good (a bounded sample of them), the raw model their frequencies in all documents.  A document's
-importance is the ratio of the two models' probabilities for its n-grams; its log is the
-mean log ratio of its n-grams times their number, which counts up to `most` so that length
-alone doesn't decide.  Gumbel noise, a function of doc_id, text and seed, is added, and the
-`keep` share of documents with the largest sums is selected: a sample without replacement
-in proportion to the importances.
+documents labelled good (a bounded sample of them), the raw model their frequencies in all
+documents, both smoothed by `smooth`.  A document's importance is the ratio of the probabilities
+that the two models give to it, so its log is the sum of the log ratios of all its n-grams.
+Gumbel noise, a function of doc_id, text and seed, is added, and the `keep` share of documents
+with the largest sums is selected: a sample without replacement in proportion to the importances.
 
 Model counts are summed over all documents by bucket, so their size is fixed.  The cut is
 found by counts in ever finer bins, never by collecting documents.
 
-Results for odd input: texts without words have the log weight 0; without good documents
-all weights are 0 and the choice is uniform; documents equal in doc_id and text have equal
-keys and are selected together (then there may be more than the share); an empty table
-gives no rows.
+Results for odd input: null and empty texts and texts without words have the log weight 0; texts
+of any length count with all their n-grams; without good documents all weights are 0 and the
+choice is uniform; documents equal in doc_id and text have equal keys and are selected together,
+as are other ties at the cut (then there may be more than the share); an empty table gives no
+rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -77,14 +77,14 @@ def log_ratios(docs: DataFrame, good: DataFrame, buckets: int, target_rows: int,
     return np.log((target + smooth) / (target.sum() + smooth * buckets)) - np.log((raw + smooth) / (raw.sum() + smooth * buckets))
 
 
-def weighed(docs: DataFrame, ratios: np.ndarray, most: int, seed: int) -> DataFrame:
+def weighed(docs: DataFrame, ratios: np.ndarray, seed: int) -> DataFrame:
     """doc_id, n_grams, log_weight, key."""
     held = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in lots(batches):
             chunk, found = grams(rows, len(held.value))
-            weight = [float(held.value[g].mean() * min(len(g), most)) if len(g) else 0.0 for g in found]
+            weight = [float(held.value[g].sum()) for g in found]
             noise = rows.column("noise").to_numpy()[chunk.order]
             yield pa.RecordBatch.from_arrays([pa.array(chunk.doc_id, pa.int64()), pa.array([len(g) for g in found], pa.int64()), pa.array(weight, pa.float64()), pa.array(np.array(weight, float) + noise)], ["doc_id", "n_grams", "log_weight", "key"])
 
@@ -115,13 +115,13 @@ def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 4096, few: int
             return rows.where(F.col(column).between(low, high)).select(column).orderBy(F.desc(column)).limit(k - above).agg(F.min(column)).first()[0]
 
 
-def resample(docs: DataFrame, good: DataFrame, keep: float = 0.8, buckets: int = 10_000, most: int = 400, seed: int = 17, target_rows: int = 20_000) -> DataFrame:
+def resample(docs: DataFrame, good: DataFrame, keep: float = 0.8, buckets: int = 10_000, seed: int = 17, target_rows: int = 20_000) -> DataFrame:
     """doc_id, n_grams, log_weight, key, selected.
 
     good: doc_id of the documents labelled good; the target model is made of up to
     target_rows of them, those with the smallest hashes.
     """
-    rows = written(weighed(docs, log_ratios(docs, good, buckets, target_rows), most, seed), "resampling")
+    rows = written(weighed(docs, log_ratios(docs, good, buckets, target_rows), seed), "resampling")
     n = rows.count()
     k = round(keep * n)
     cut = kth_largest(rows, "key", k) if 0 < k <= n else math.inf
