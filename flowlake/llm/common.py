@@ -9,13 +9,13 @@ the carried one is left out.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlake.scratch import SCRATCH, drop_path, drop_scratch, scratch, shared_dir, written, written_at  # noqa: F401
+
 
 class Carried:
     """Columns of `docs` that pass through an operator which returns the columns `own`."""
@@ -36,61 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Only doc_id (long), text (string, empty for null) and the columns named in carry."""
+def texts(docs: DataFrame, carry: Iterable = ()) -> DataFrame:
+    """Only doc_id (long), text (string, empty for null) and the columns in carry."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *carry)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset and all runs on one machine (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="flowlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-#: Scratch tables of this process that haven't been dropped.
-SCRATCH: list[str] = []
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    SCRATCH.append(path)
-    return path
-
-
-def drop_scratch(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
-    """Deletes the scratch tables made since there were `since` of them, but those in keep.  Results that still read them must be written before."""
-    for path in SCRATCH[since:]:
-        if path not in keep:
-            drop_path(spark, path)
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The same rows from a table in the shared folder: lineage ends there and lost executors cost no recomputation."""
-    return written_at(df, label)[0]
-
-
-def written_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """As written(), with the table's path, for tables that can be dropped again."""
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch table by Spark's own file system."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    if path in SCRATCH:
-        SCRATCH.remove(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

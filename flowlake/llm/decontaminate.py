@@ -16,9 +16,11 @@ Windows are held in memory by every task.  They are dealt in blocks of at most
 `block_words` words, so memory stays bounded however large the benchmark is; each block
 reads the documents once.  Usual benchmarks are one block.
 
-Results for odd input: null or wordless texts have no words and no hits; null or wordless
-items have no windows; items with equal text each count; rows that repeat a doc_id are
-separate documents; empty tables give empty results or zero hits.
+Results for odd input: null, empty or wordless texts have no words and no hits; null or wordless
+items and items without an id have no windows; texts of any length are searched whole; of
+words that are equally rare the smaller is the prefix; items with equal text each count; rows
+that repeat a doc_id are separate documents; empty tables give empty results or zero hits;
+carried columns: see common.Carried.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlake.llm.common import texts
+from flowlake.llm.common import Carried, texts
 
 #: Word characters are 0-9, a-z (A-Z are lowered first) and everything from U+0080 on.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -118,12 +120,13 @@ def word_rarity(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, in
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 2_000_000, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text, n_words, spans (word ranges [start, end) that are hit, disjoint), n_hit, items (ids, sorted as strings), and the columns named in carry.
+    """doc_id, text, n_words, spans (word ranges [start, end) that are hit, disjoint), items (ids, sorted as strings), n_hit, and the columns named in carry.
 
     benchmark: (item_id, text).  A document's words are numbered from 0.
     """
-    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    docs = texts(docs, carry)
+    carried = Carried(docs, carry, ("doc_id", "text", "n_words", "spans", "n_hit", "items"))
+    carry, more = carried.inside, carried.schema
+    docs = texts(docs, carried.columns)
     parts = []
     for block in blocks(benchmark, window, block_words):
         rarity = word_rarity(docs, frozenset(w for words, _ in block for w in words))
@@ -134,7 +137,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
             found = docs.select("doc_id", "text").mapInArrow(searcher(index, ()), SCHEMA).where(F.size("spans") > 0)
             parts.append(found.select("doc_id", F.xxhash64("text").alias("_text"), "spans", "items"))
     out = parts[0] if len(parts) == 1 else merge_blocks(parts[0], parts[1:], carry, SCHEMA + more)
-    return out.withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)"))
+    return carried.back(out.withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)")))
 
 
 SCHEMA = "doc_id long, text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
@@ -171,13 +174,3 @@ def merge_blocks(first: DataFrame, others: list[DataFrame], carry: tuple[str, ..
     joined = first.join(hits, first["doc_id"].eqNullSafe(hits["_doc"]) & (F.xxhash64("text") == hits["_text"]), "left")
     merged = joined.select(*own, *carry, F.concat(F.array("spans"), F.coalesce("_spans", F.array().cast("array<array<struct<start:bigint,end:bigint>>>"))).alias("parts"), F.concat(F.array("items"), F.coalesce("_items", F.array().cast("array<array<string>>"))).alias("ids"))
     return merged.mapInArrow(union, kind)
-
-
-def removed(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The documents in which no window of any item occurs; every column is kept."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    names = {c: f"_carried_{k}" for k, c in enumerate(rest)}
-    held = docs.select("doc_id", "text", *[docs[c].alias(n) for c, n in names.items()])
-    found = decontaminate(held, benchmark, window, carry=tuple(names.values()))
-    clean = found.where("n_hit = 0").select("doc_id", "text", *[F.col(n).alias(c) for c, n in names.items()])
-    return clean.select(*docs.columns)
