@@ -7,7 +7,8 @@ columns of documents.
 
 toxicity            documents that the grammar scores 0.5 or more go; the model is fitted on
                     labelled rows among docs that aren't held out
-ngram_join          of each group of near copies the document with the smallest doc_id stays;
+ngram_join          of each group of near copies the document with the smallest doc_id stays, and
+                    of rows that share it the smallest by text, lang, source and n_chars;
                     rows without doc_id stay
 suffix_dedup        strings of 100 bytes that also start earlier are cut out of the texts, but
                     for parts of characters; n_chars counts what is left
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from flowlake import ship
 from flowlake.llm import decontaminate, ngram_join, pieces, suffix_dedup, toxicity
-from flowlake.llm.common import scratch, table
+from flowlake.llm.common import SCRATCH, drop_path, drop_scratch, scratch, table, written
 from flowlake.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -37,10 +38,10 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    groups = ngram_join.ngram_join(docs)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(stay, "doc_id", "left_semi").select(*COLUMNS)
-    return named.unionByName(docs.where(F.col("doc_id").isNull()).select(*COLUMNS))
+    stay = ngram_join.ngram_join(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
+    named = docs.select(*COLUMNS).join(written(stay, "pipeline-stay"), "doc_id")
+    several = named.where("_rows > 1").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("_least"))
+    return named.where("_rows = 1").select(*COLUMNS).unionByName(several.select("doc_id", "_least.*")).unionByName(docs.where(F.col("doc_id").isNull()).select(*COLUMNS))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,9 +74,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows.  What the stages wrote is deleted as soon as the next one has read it; the last table stays."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = scratch(spark, f"pipeline-{name}")
+        since, path = len(SCRATCH), scratch(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        drop_scratch(spark, since, keep=(path,))
+        if last:
+            drop_path(spark, last)
+        last = path
     return docs

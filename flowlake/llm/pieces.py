@@ -11,8 +11,9 @@ and is begun anew when full: memory is bounded and no chunk has to be shuffled.
 A model for which this does not hold (pieces across markers, a normalizer, user-defined
 symbols, no dummy prefix) is applied to whole texts, with the same results.
 
-Results for odd input: a null text is an empty one and has only the begin and end ids;
-very long texts and very long chunks are encoded whole; repeated rows are kept.
+Results for odd input: a null or empty text has only the begin and end ids; texts of any
+length are encoded whole, and so are chunks of more than HELD_CHARS characters; repeated rows
+are kept; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

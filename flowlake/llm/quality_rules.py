@@ -11,9 +11,10 @@ lists.
 Minimum-length guards: distances are not judged where they would be noise, the classes
 below `min_chars` word characters and the words below `min_common` common words seen.
 
-Results for odd input: null texts count as empty, which fail the base rules; an empty
-table gives no rows; repeated rows are judged one by one; a null language has the
-reference of all.
+Results for odd input: null texts count as empty, which fail the base rules; texts of any
+length are counted whole; an empty table gives no rows; repeated rows are judged one by one;
+a distance that equals its limit is kept; a null language has the reference of all; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -132,10 +133,6 @@ def jensen_shannon(p: Column, q: Column) -> Column:
     return bind(share(p), lambda a: bind(share(q), lambda b: distance(a, b)))
 
 
-def summed(rows: DataFrame, column: str, length: int) -> DataFrame:
-    return rows.groupBy("lang").agg(F.array(*[F.sum(F.get(F.col(column), F.lit(i))) for i in range(length)]).alias(f"ref_{column}"))
-
-
 def references(rows: DataFrame) -> DataFrame:
     """lang, ref_classes, ref_common: sums over all documents of a language; the language '' has the sums of all documents' classes."""
     n = len(CLASSES)

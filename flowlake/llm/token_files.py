@@ -23,8 +23,10 @@ each distinct piece of a block is encoded by the tokenizers library once (`Encod
 Texts for which that might differ (non-ASCII white space, the vocabulary's special
 strings, characters that compose across a cut) are encoded whole.
 
-Results for odd input: null and empty texts have the end id only; an empty table gives
-files without documents or no files, and no rows; repeated rows are kept.
+Results for odd input: null and empty texts have the end id only; texts of any length are one
+frame; rows that repeat a doc_id are kept, next to each other, and ties among them are in no
+fixed order; an empty table gives files without documents or no files, and no rows; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

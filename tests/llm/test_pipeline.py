@@ -49,3 +49,18 @@ def test_stages_on_odd_input(spark, sf, make):
         if name != "pieces":
             assert docs.columns == list(corpus_pipeline.COLUMNS)
     assert set(docs.columns) >= {"doc_id", "n_tokens"}
+
+
+def test_one_row_of_a_repeated_id_stays(spark, sf):
+    words = " ".join(f"w{k}" for k in range(80))
+    rows = [(1, words, "en", "b", 3), (1, words, "en", "a", 3), (1, "other " + words, "en", "a", 3), (2, words, "en", "a", 3), (3, None, None, None, None), (3, None, None, None, None), (None, words, "en", "a", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.one_of_each_group(spark, docs, sf).collect()
+    H.same(got, [(1, "other " + words, "en", "a", 3), (3, None, None, None, None), (None, words, "en", "a", 3)])
+
+
+def test_run_leaves_its_last_table_only(spark, sf):
+    before = list(common.SCRATCH)
+    found = corpus_pipeline.run(spark, sf)
+    assert found.count() > 0
+    assert len([p for p in common.SCRATCH if p not in before]) == 1
