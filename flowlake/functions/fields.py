@@ -337,13 +337,15 @@ def equals(h: Column, name: str, value) -> Column:
 
 
 def write(h: Column, name: str, value: Column) -> Column:
-    """The bytes with one fixed-offset field replaced; bits outside the field stay."""
+    """The bytes with one fixed-offset field replaced; bits outside the field stay, and a flag is set by true or any number but 0."""
     f = FIELDS[name]
     if f.kind == "bytes":
         new = value
     else:
         number = value.cast("bigint")
-        if f.shift:
+        if f.kind == "bool":
+            number = F.when(number != 0, F.lit(f.mask)).otherwise(0)
+        elif f.shift:
             number = F.shiftleft(number, f.shift)
         if f.mask is not None:
             old = unsigned(F.substring(h, f.offset + 1, f.width))

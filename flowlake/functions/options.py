@@ -104,6 +104,35 @@ def user_timeout(data: Column) -> Column:
     return F.when(F.length(data) == 2, F.struct((u(data, 0, 2) >= 0x8000).alias("minutes"), u(data, 0, 2).bitwiseAND(0x7FFF).alias("value")))
 
 
+def tcp_authentication(data: Column) -> Column:
+    """TCP-AO: key id, next key id and the code."""
+    return F.when(F.length(data) >= 2, F.struct(u(data, 0, 1).alias("key_id"), u(data, 1, 1).alias("next_key_id"), rest(data, 2).alias("mac")))
+
+
+def multipath(data: Column) -> Column:
+    """MPTCP: subtype, the low bits of its byte, and the rest."""
+    return F.when(F.length(data) >= 1, F.struct(F.shiftright(u(data, 0, 1), 4).alias("subtype"), u(data, 0, 1).bitwiseAND(15).alias("low"), rest(data, 1).alias("body")))
+
+
+def fast_open_cookie(data: Column) -> Column:
+    """TFO: the cookie, empty for a request; an even number of 4 to 16 bytes."""
+    n = F.length(data)
+    return F.when((n == 0) | (n.between(4, 16) & (n % 2 == 0)), data)
+
+
+def router_alert(data: Column) -> Column:
+    return fixed(data, 2)
+
+
+def stream_id(data: Column) -> Column:
+    return fixed(data, 2)
+
+
+def mtu(data: Column) -> Column:
+    """Of an MTU probe or reply."""
+    return fixed(data, 2)
+
+
 def ipv4_route(data: Column) -> Column:
     """Pointer, addresses and bytes that aren't a whole one."""
 

@@ -4,8 +4,8 @@
 
 Lengths are measured from the innermost layer outwards, then bytes are written with the
 checksums of inner bytes already final.  Values may be columns or Python numbers.  Fixed
-values are checked when the stack is built (CraftError); column values that don't fit make
-the result null.
+values are checked when the stack is built (CraftError); lengths of columns that don't fit end
+the query with the error's kind.
 """
 
 from __future__ import annotations
@@ -43,6 +43,21 @@ def number(value: Any, width: int, name: str, bits: int | None = None) -> Column
     return col(value)
 
 
+def checked(length: Column, given: Any, name: str) -> Column:
+    """A length that fits 16 bits and is the given one, if one is given; else the query ends."""
+
+    def fail(kind: str, n: Column) -> Column:
+        return F.raise_error(F.concat(F.lit(f"{kind}: {name} of "), n.cast("string"), F.lit(" bytes"))).cast("bigint")
+
+    def fits(n: Column) -> Column:
+        out = F.when(n > 0xFFFF, fail("LengthOverflow", n))
+        if given is not None:
+            out = out.when(number(given, 2, name) != n, fail("InvalidLength", n))
+        return out.otherwise(n)
+
+    return bind(length, fits)
+
+
 @dataclass
 class Layer:
     """One layer; `protocol` is what a parent infers its next-protocol field from."""
@@ -166,11 +181,7 @@ class ipv4(Layer):  # noqa: N801
             ihl = self.ihl
         inferred = {"Icmp": 1, "Tcp": 6, "Udp": 17}.get(child.protocol if child else "", 255)
         proto = number(inferred if self.next_protocol is None else self.next_protocol, 1, "protocol")
-        length = self.size(body) + 4 * ihl
-        if self.total_length is not None:
-            given = number(self.total_length, 2, "total_length")
-            length = bind(length, lambda n: F.when(given == n, n))
-        length = bind(length, lambda n: F.when(n <= 0xFFFF, n))
+        length = checked(self.size(body) + 4 * ihl, self.total_length, "total_length")
         head = F.concat(
             to_bytes(F.lit(0x40 + ihl), 1),
             to_bytes(F.shiftleft(number(self.dscp, 1, "dscp", 6), 2) + number(self.ecn, 1, "ecn", 2), 1),
@@ -242,11 +253,7 @@ class udp(Layer):  # noqa: N801
         self.protocol = "Udp"
 
     def write(self, child, body, parent):
-        size = self.size(body) + 8
-        if self.length is not None:
-            given = number(self.length, 2, "length")
-            size = bind(size, lambda n: F.when(given == n, n))
-        size = bind(size, lambda n: F.when(n <= 0xFFFF, n))
+        size = checked(self.size(body) + 8, self.length, "length")
         head = F.concat(to_bytes(number(self.src_port, 2, "src_port"), 2), to_bytes(number(self.dst_port, 2, "dst_port"), 2), to_bytes(size, 2))
         value = col(0)
         if self.checksum is not None:

@@ -438,6 +438,8 @@ def metadata(dissected: DataFrame, *more: Column) -> DataFrame:
         F.when(~v4 & v6, f("Ipv6.payload_length")).alias("ipv6_payload_length"),
         F.when(v4, f("Ipv4.total_length")).when(v6, f("Ipv6.payload_length") + 40).alias("l3_len"),
         ((F.length("data") > 0) & F.col("dissect_error").isNull()).alias("parsed"),
+        (F.length("data") == 0).alias("empty"),
+        *(["error"] if "error" in dissected.columns else []),
         *more,
     )
 

@@ -26,15 +26,17 @@ FIN, SYN, RST, PSH, ACK, URG, ECE, CWR = 1, 2, 4, 8, 16, 32, 64, 128
 FLAG_ORDER = (FIN, SYN, RST, PSH, ACK, URG, CWR, ECE)
 
 # Names and order of the exported columns.
-HEADER = (
-    "Flow ID,Src IP,Src Port,Dst IP,Dst Port,Protocol,Timestamp,Flow Duration,Total Fwd Packet,Total Bwd packets,Total Length of Fwd Packet,Total Length of Bwd Packet,"
-    "Fwd Packet Length Max,Fwd Packet Length Min,Fwd Packet Length Mean,Fwd Packet Length Std,Bwd Packet Length Max,Bwd Packet Length Min,Bwd Packet Length Mean,Bwd Packet Length Std,"
-    "Flow Bytes/s,Flow Packets/s,Flow IAT Mean,Flow IAT Std,Flow IAT Max,Flow IAT Min,Fwd IAT Total,Fwd IAT Mean,Fwd IAT Std,Fwd IAT Max,Fwd IAT Min,Bwd IAT Total,Bwd IAT Mean,Bwd IAT Std,Bwd IAT Max,Bwd IAT Min,"
-    "Fwd PSH Flags,Bwd PSH Flags,Fwd URG Flags,Bwd URG Flags,Fwd Header Length,Bwd Header Length,Fwd Packets/s,Bwd Packets/s,Packet Length Min,Packet Length Max,Packet Length Mean,Packet Length Std,Packet Length Variance,"
-    "FIN Flag Count,SYN Flag Count,RST Flag Count,PSH Flag Count,ACK Flag Count,URG Flag Count,CWR Flag Count,ECE Flag Count,Down/Up Ratio,Average Packet Size,Fwd Segment Size Avg,Bwd Segment Size Avg,Fwd Header Length.1,"
-    "Fwd Bytes/Bulk Avg,Fwd Packet/Bulk Avg,Fwd Bulk Rate Avg,Bwd Bytes/Bulk Avg,Bwd Packet/Bulk Avg,Bwd Bulk Rate Avg,Subflow Fwd Packets,Subflow Fwd Bytes,Subflow Bwd Packets,Subflow Bwd Bytes,"
-    "FWD Init Win Bytes,Bwd Init Win Bytes,Fwd Act Data Pkts,Fwd Seg Size Min,Active Mean,Active Std,Active Max,Active Min,Idle Mean,Idle Std,Idle Max,Idle Min,Label"
-).split(",")
+HEADER = [
+    "Flow ID", "Src IP", "Src Port", "Dst IP", "Dst Port", "Protocol", "Timestamp", "Flow Duration", "Total Fwd Packet", "Total Bwd packets", "Total Length of Fwd Packet",
+    "Total Length of Bwd Packet", "Fwd Packet Length Max", "Fwd Packet Length Min", "Fwd Packet Length Mean", "Fwd Packet Length Std", "Bwd Packet Length Max", "Bwd Packet Length Min",
+    "Bwd Packet Length Mean", "Bwd Packet Length Std", "Flow Bytes/s", "Flow Packets/s", "Flow IAT Mean", "Flow IAT Std", "Flow IAT Max", "Flow IAT Min", "Fwd IAT Total", "Fwd IAT Mean",
+    "Fwd IAT Std", "Fwd IAT Max", "Fwd IAT Min", "Bwd IAT Total", "Bwd IAT Mean", "Bwd IAT Std", "Bwd IAT Max", "Bwd IAT Min", "Fwd PSH Flags", "Bwd PSH Flags", "Fwd URG Flags", "Bwd URG Flags",
+    "Fwd Header Length", "Bwd Header Length", "Fwd Packets/s", "Bwd Packets/s", "Packet Length Min", "Packet Length Max", "Packet Length Mean", "Packet Length Std", "Packet Length Variance",
+    "FIN Flag Count", "SYN Flag Count", "RST Flag Count", "PSH Flag Count", "ACK Flag Count", "URG Flag Count", "CWR Flag Count", "ECE Flag Count", "Down/Up Ratio", "Average Packet Size",
+    "Fwd Segment Size Avg", "Bwd Segment Size Avg", "Fwd Header Length.1", "Fwd Bytes/Bulk Avg", "Fwd Packet/Bulk Avg", "Fwd Bulk Rate Avg", "Bwd Bytes/Bulk Avg", "Bwd Packet/Bulk Avg",
+    "Bwd Bulk Rate Avg", "Subflow Fwd Packets", "Subflow Fwd Bytes", "Subflow Bwd Packets", "Subflow Bwd Bytes", "FWD Init Win Bytes", "Bwd Init Win Bytes", "Fwd Act Data Pkts", "Fwd Seg Size Min",
+    "Active Mean", "Active Std", "Active Max", "Active Min", "Idle Mean", "Idle Std", "Idle Max", "Idle Min", "Label",
+]
 #: Columns that are whole numbers; the others after Timestamp are doubles.
 WHOLE = {n for n in HEADER if n in ("Src Port", "Dst Port", "Protocol", "Flow Duration", "Total Fwd Packet", "Total Bwd packets", "FWD Init Win Bytes", "Bwd Init Win Bytes", "Fwd Act Data Pkts", "Fwd Seg Size Min", "Fwd Header Length.1") or n.endswith(("Header Length", "Flags", "Flag Count"))}
 TEXT = ("Flow ID", "Src IP", "Dst IP", "Timestamp", "Label")
@@ -285,8 +287,12 @@ def as_text(features: DataFrame) -> DataFrame:
             return c
         if name in WHOLE:
             return c.cast("string")
-        plain = F.regexp_replace(F.regexp_replace(c.cast("decimal(38,17)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-        short = F.when(c.cast("string").contains("E"), plain).otherwise(F.regexp_replace(c.cast("string"), r"\.0$", ""))
+        shown = c.cast("string")
+        part = lambda k: F.regexp_extract(shown, r"^(-?)(\d)\.(\d+)E(-?\d+)$", k)
+        more, power = F.regexp_replace(part(3), "^0$", ""), part(4).cast("int")
+        large = F.concat(part(1), part(2), F.rpad(F.substring(more, F.lit(1), power), power, F.lit("0")), F.when(F.length(more) > power, F.concat(F.lit("."), F.substring(more, power + 1, F.length(more)))).otherwise(""))
+        small = F.concat(part(1), F.lit("0."), F.repeat(F.lit("0"), -power - 1), part(2), more)
+        short = F.when(shown.contains("E-"), small).when(shown.contains("E"), large).otherwise(F.regexp_replace(shown, r"\.0$", ""))
         return F.when((c == 0) | F.isnan(c) | (F.abs(c) == float("inf")), F.lit("0")).otherwise(short)
 
     return features.select(*[text(n).alias(n) for n in HEADER])

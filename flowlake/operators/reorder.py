@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from flowlake.functions.fields import to_bytes
 from flowlake.operators.keys import parts
+from flowlake.scratch import written
 
 SECOND = 1_000_000_000
 
@@ -36,19 +37,35 @@ def misplaced(packets: DataFrame, by: tuple[str, ...] = ("path",), span: int = 6
 
 
 def reordered(packets: DataFrame, by: tuple[str, ...] = ("path",)) -> DataFrame:
-    """A stable sort by time within each section; place counts from 1 in the new order."""
+    """A stable sort by time within each section; place counts from 1 in the new order.  Writes the sorted packets once."""
     return ranked(packets, ["ts_ns", "frame_no"], "place", by)
 
 
+def reorder_report(packets: DataFrame, by: tuple[str, ...] = ("path",)) -> DataFrame:
+    """by, packets, misplaced (their number), ordered: what a dry run tells; a capture that is in order needs no reordering."""
+    late = misplaced(packets, by).groupBy(*by).agg(F.count(F.lit(1)).alias("misplaced"))
+    counts = packets.groupBy(*by).agg(F.count(F.lit(1)).alias("packets"))
+    n = F.coalesce("misplaced", F.lit(0))
+    return counts.join(late, list(by), "left").select(*by, "packets", n.alias("misplaced"), (n == 0).alias("ordered"))
+
+
 def ranked(rows: DataFrame, order: list[str], name: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Rows with their place (from 1) in a global order, over range partitions: a row's place is its place in the partition and the sizes of those before."""
+    """Rows with their place (from 1, within each section of `by`) in a global order.
+
+    Rows are dealt by ranges and sorted once, numbered as they lie, and written to the shared
+    folder; a row's place is its number and the sizes of the partitions before, which are read
+    from what was written, so nothing depends on partitions being cut alike twice.
+    """
     keys = [*by, *order]
-    dealt = rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())
-    local = dealt.withColumn("_here", F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order)))
-    sizes = local.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", *by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return local.join(starts, ["_part", *by]).withColumn(name, F.col("_start") + F.col("_here")).drop("_part", "_here", "_start")
+    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_lies", F.monotonically_increasing_id())
+    held = written(dealt, "ranked").withColumn("_part", F.shiftright("_lies", 33))
+    sizes = held.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_n"), F.min("_lies").alias("_first"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("_part").alias("_in"), *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    same = F.col("_part") == F.col("_in")
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    return held.join(starts, same).select(*rows.columns, (F.col("_lies") + F.col("_shift")).alias(name))
 
 
 # Merging.
@@ -185,6 +202,24 @@ def largest(packets: DataFrame, granularity: str, n: int) -> DataFrame:
     return counts.orderBy(F.desc("packets"), *names_of(granularity)).limit(n) if n else counts
 
 
+def split_summary(packets: DataFrame, granularity: str = "tuple5-sym", top: int = 0, shown: int = 10) -> DataFrame:
+    """One row: flows (keys), selected, written, skipped (packets without a key, such as those that aren't IPv4, and of keys that aren't selected), and the `shown` largest keys' packets.
+
+    packets: as for key_counts, with null addresses where there is no IPv4 layer.
+    """
+    names = names_of(granularity)
+    keyed = F.col("src_ip").isNotNull() & F.col("dst_ip").isNotNull()
+    total = packets.agg(F.count(F.lit(1)).alias("packets"))
+    counts = key_counts(packets.where(keyed), granularity)
+    picked = largest(packets.where(keyed), granularity, top) if top else counts
+    best = counts.orderBy(F.desc("packets"), *names).limit(shown)
+    sums = counts.agg(F.count(F.lit(1)).alias("flows"))
+    chosen = picked.agg(F.count(F.lit(1)).alias("selected"), F.coalesce(F.sum("packets"), F.lit(0)).alias("written"))
+    #: Each side is one row.
+    rows = total.join(sums).join(chosen).join(best.agg(F.reverse(F.array_sort(F.collect_list("packets"))).alias("largest")))
+    return rows.select("flows", "selected", "written", (F.col("packets") - F.col("written")).alias("skipped"), "largest")
+
+
 def split(packets: DataFrame, granularity: str = "tuple5-sym", top: int = 0) -> DataFrame:
     """Packets of the selected keys with the key's columns (k_...)."""
     names = names_of(granularity)

@@ -2,7 +2,8 @@
 
 Input are packet rows (see plans.packets): path, frame_no, ts_ns, orig_len, src_ip, dst_ip,
 src_port, dst_port, proto, l3_len, parsed (false where dissection failed or data was empty).
-Nulls stand for what a packet doesn't have.
+Nulls stand for what a packet doesn't have.  With a column `empty` packets without data are
+counted by themselves, and with `error` rows that tell of damage in a capture, which are no packets.
 """
 
 from __future__ import annotations
@@ -35,10 +36,13 @@ def ordered(packets: DataFrame, by: str = "path") -> DataFrame:
 
 def totals(packets: DataFrame, by: str = "path") -> DataFrame:
     """One row for each capture, all counts exact."""
-    parsed = F.col("parsed")
+    read = F.col("error").isNull() if "error" in packets.columns else F.lit(True)
+    parsed = F.col("parsed") & read
     seen = lambda c: F.when(parsed, c)
     size = seen(F.col("orig_len"))
-    n, l2 = F.count(F.lit(1)), F.sum("orig_len")
+    n, l2 = F.count_if(read), F.sum("orig_len")
+    more = [F.count_if(F.col("empty") & read).alias("empty_packets")] if "empty" in packets.columns else []
+    more += [F.count_if(~read).alias("read_errors")] if "error" in packets.columns else []
     aggs = packets.groupBy(by).agg(
         n.alias("packets"),
         zero(l2, "bigint").alias("l2_bytes"),
@@ -56,7 +60,8 @@ def totals(packets: DataFrame, by: str = "path") -> DataFrame:
         F.count_distinct(seen(F.coalesce("src_port", F.lit(0)))).alias("unique_src_ports"),
         F.count_distinct(seen(F.coalesce("dst_port", F.lit(0)))).alias("unique_dst_ports"),
         F.count_distinct(seen(summary_key())).alias("unique_flows"),
-        F.count_if(~parsed).alias("unparsed"),
+        F.count_if(~parsed & read).alias("unparsed"),
+        *more,
     )
     seconds = (F.col("last_ns") - F.col("first_ns")) / SECOND
     rate = lambda c: F.when(F.col("seconds") > 0, F.col(c) / F.col("seconds")).otherwise(0.0)

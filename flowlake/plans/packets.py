@@ -65,19 +65,50 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Bytes of payload that crafted packets carry at most; orig_len keeps the packet's own length.
-SNAP = 32
-
-
 def crafted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packet rows with `data`: Ethernet frames of these packets, payloads cut to SNAP bytes, and link_type."""
+    """Packet rows with `data`, Ethernet frames of these packets with whole payloads, and link_type.
+
+    A payload is the frame's number in eight digits, cut or filled with dots to its length.
+    """
     from flowlake.operators.craft import eth, ipv4, raw, tcp, udp
 
     rows = packets(spark, sf_dir)
-    body = F.substring(F.encode(F.lpad(F.col("frame_no").cast("string"), SNAP, "."), "utf-8"), F.lit(1), F.least(F.col("payload"), F.lit(SNAP)).cast("int"))
+    body = F.encode(F.rpad(F.lpad(F.col("frame_no").cast("string"), 8, "0"), F.col("payload").cast("int"), F.lit(".")), "utf-8")
     ip = ipv4(src=F.col("src_ip"), dst=F.col("dst_ip"), ttl=F.col("frame_no") % 200 + 20, identification=F.col("frame_no") % 65536)
     ends = {"src_port": F.col("src_port"), "dst_port": F.col("dst_port")}
     link = eth(src=bytes.fromhex("020000000001"), dst=bytes.fromhex("020000000002"))
     over = {6: tcp(**ends, seq=F.col("frame_no") * 1000, ack=F.col("payload"), flags=F.col("tcp_flags"), window=4096), 17: udp(**ends)}
     data = F.when(F.col("proto") == 6, (link / ip / over[6] / raw(body)).build()).otherwise((link / ip / over[17] / raw(body)).build())
     return rows.select("*", data.alias("data"), F.lit(1).alias("link_type"))
+
+
+def hexed(value: str, digits: int) -> str:
+    """SQL for an integer as hexadecimal digits."""
+    return f"lpad(to_hex(CAST({value} AS BIGINT)), {digits}, '0')"
+
+
+def folded(value: str) -> str:
+    """SQL for the ones' complement of a sum of 16-bit words."""
+    once = lambda x: f"(({x} >> 16) + ({x} & 65535))"
+    return f"(65535 - {once(once(once(value)))})"
+
+
+_IP_WORDS = "(17664 + total + ident + (ttl << 8) + proto + (src_ip >> 16) + (src_ip & 65535) + (dst_ip >> 16) + (dst_ip & 65535))"
+_L4_WORDS = """((src_ip >> 16) + (src_ip & 65535) + (dst_ip >> 16) + (dst_ip & 65535) + proto + segment + src_port + dst_port
+  + CASE WHEN proto = 6 THEN (seq >> 16) + (seq & 65535) + payload + 20480 + tcp_flags + 4096 ELSE segment END
+  + coalesce(list_sum(list_transform(range(0, least(8, payload)), lambda i: ascii(body[i + 1]) * CASE WHEN i % 2 = 0 THEN 256 ELSE 1 END)), 0)
+  + CASE WHEN payload > 8 THEN 46 * 256 * ((payload - 7) // 2) + 46 * ((payload - 8) // 2) ELSE 0 END)"""
+
+#: PACKETS_SQL with the frames' bytes as hexadecimal digits (table fr): the layouts of Ethernet, IPv4, TCP and UDP and the checksums' arithmetic, written out.
+FRAMES_SQL = (
+    PACKETS_SQL
+    + f""", b AS (SELECT *, payload + header_len + 20 AS total, payload + header_len AS segment, frame_no % 65536 AS ident, frame_no % 200 + 20 AS ttl, (frame_no * 1000) & 4294967295 AS seq,
+    rpad(lpad(CAST(frame_no AS VARCHAR), 8, '0'), CAST(payload AS INTEGER), '.') AS body FROM pk),
+w AS (SELECT *, CAST({_IP_WORDS} AS BIGINT) AS ip_words, CAST({_L4_WORDS} AS BIGINT) AS l4_words FROM b),
+x AS (SELECT *, CAST({folded('ip_words')} AS BIGINT) AS ip_checksum, CAST({folded('l4_words')} AS BIGINT) AS l4_value FROM w),
+y AS (SELECT *, CASE WHEN proto = 17 AND l4_value = 0 THEN 65535 ELSE l4_value END AS l4_checksum FROM x),
+fr AS (SELECT *, '0200000000020200000000010800' || '4500' || {hexed('total', 4)} || {hexed('ident', 4)} || '0000' || {hexed('ttl', 2)} || {hexed('proto', 2)} || {hexed('ip_checksum', 4)} || {hexed('src_ip', 8)} || {hexed('dst_ip', 8)}
+  || {hexed('src_port', 4)} || {hexed('dst_port', 4)} || CASE WHEN proto = 6 THEN {hexed('seq', 8)} || {hexed('payload', 8)} || '50' || {hexed('tcp_flags', 2)} || '1000' || {hexed('l4_checksum', 4)} || '0000' ELSE {hexed('segment', 4)} || {hexed('l4_checksum', 4)} END
+  || hex(body) AS frame FROM y)
+"""
+)

@@ -10,18 +10,18 @@ from pyspark.sql import functions as F
 from flowlake.functions import checksum, fields
 from flowlake.functions.net import ipv4_text, iso_text, seconds_text
 from flowlake.operators import keys, reorder, sessions, summary
-from flowlake.plans.packets import PACKETS_SQL, SNAP, crafted, packets
+from flowlake.plans.packets import FRAMES_SQL, PACKETS_SQL, crafted, packets
 
 HOUR = 3_600_000_000_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, tables: str = PACKETS_SQL):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = PACKETS_SQL + sql
+            SQL[f.__name__] = tables + sql
         return f
 
     return add
@@ -114,9 +114,11 @@ def split_topn(spark, sf_dir):
     return reorder.split(packets(spark, sf_dir), "tuple5-sym", 20).select("frame_no", "k_a", "k_a_port", "k_b", "k_b_port", "k_proto")
 
 
-@query(f" , k AS (SELECT {_key_sql('tuple5-sym')}, count(*) AS packets FROM pk GROUP BY ALL) SELECT count(*) AS flows, CAST(sum(packets) AS BIGINT) AS written, max(packets) AS most FROM k")
+@query(f""" , k AS (SELECT {_key_sql('tuple5-sym')}, count(*) AS packets FROM pk GROUP BY ALL), t AS (SELECT * FROM k ORDER BY packets DESC, a, a_port, b, b_port, proto LIMIT 20)
+  SELECT count(*) AS flows, (SELECT count(*) FROM t) AS selected, (SELECT CAST(sum(packets) AS BIGINT) FROM t) AS written, (SELECT count(*) FROM pk) - (SELECT CAST(sum(packets) AS BIGINT) FROM t) AS skipped,
+    (SELECT string_agg(packets, ',' ORDER BY packets DESC) FROM (SELECT packets FROM t LIMIT 10)) AS largest FROM k""")
 def split_summary(spark, sf_dir):
-    return reorder.key_counts(packets(spark, sf_dir), "tuple5-sym").agg(F.count(F.lit(1)).alias("flows"), F.sum("packets").alias("written"), F.max("packets").alias("most"))
+    return reorder.split_summary(packets(spark, sf_dir), "tuple5-sym", 20).select("flows", "selected", "written", "skipped", F.array_join(F.col("largest").cast("array<string>"), ",").alias("largest"))
 
 
 _IP = "concat_ws('.', {0} >> 24 & 255, {0} >> 16 & 255, {0} >> 8 & 255, {0} & 255)"
@@ -133,23 +135,31 @@ def misplaced_packets(spark, sf_dir):
     return reorder.misplaced(shuffled(spark, sf_dir))
 
 
-@query(f"{SHUFFLED} SELECT frame_no, ts_ns, row_number() OVER (ORDER BY ts_ns, frame_no) AS place FROM sh")
+@query(f"{SHUFFLED} SELECT path, count(*) AS packets, (SELECT count(*) FROM (SELECT ts_ns, max(ts_ns) OVER (ORDER BY frame_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM sh) WHERE ts_ns < m) AS misplaced, false AS ordered FROM sh GROUP BY path")
+def reorder_dry_run(spark, sf_dir):
+    return reorder.reorder_report(shuffled(spark, sf_dir))
+
+
+@query(f", sh AS (SELECT * REPLACE (ts_ns + (frame_no * 7919) % 11 * 60000000000 AS ts_ns) FROM fr) SELECT frame_no, ts_ns, sha256(unhex(frame)) AS data_sha256, row_number() OVER (ORDER BY ts_ns, frame_no) AS place FROM sh", FRAMES_SQL)
 def reorder_packets(spark, sf_dir):
-    return reorder.reordered(shuffled(spark, sf_dir)).select("frame_no", "ts_ns", "place")
+    """Whole packets, with their bytes."""
+    later = F.col("ts_ns") + F.pmod(F.col("frame_no") * 7919, F.lit(11)) * 60_000_000_000
+    return reorder.reordered(crafted(spark, sf_dir).withColumn("ts_ns", later)).select("frame_no", "ts_ns", F.sha2("data", 256).alias("data_sha256"), "place")
 
 
-MERGE_SQL = """ , x AS (SELECT *, min(ts_ns) OVER () AS f, max(ts_ns) OVER () AS l FROM pk),
-  a AS (SELECT 0 AS input, r AS repetition, frame_no, c AS copy, ts_ns + 5000000000 + r * (l - f + 1000000000) AS ts_ns FROM x, range(2) AS t(r), range(1) AS u(c)),
-  b AS (SELECT 1 AS input, 0 AS repetition, frame_no, c AS copy, ts_ns - f + 1704067200000000000 AS ts_ns FROM x, range(3) AS u(c))
-  SELECT CAST(input AS INTEGER) AS input, CAST(repetition AS INTEGER) AS repetition, frame_no, CAST(copy AS INTEGER) AS copy, ts_ns, row_number() OVER (ORDER BY ts_ns, input, repetition, frame_no, copy) AS place
-  FROM (SELECT * FROM a UNION ALL SELECT * FROM b)"""
+MERGE_SQL = """ , m AS (SELECT *, arg_min(ts_ns, frame_no) OVER () AS f, arg_max(ts_ns, frame_no) OVER () AS l, sha256(unhex(frame)) AS data_sha256 FROM fr),
+  m0 AS (SELECT 0 AS input, r AS repetition, frame_no, c AS copy, ts_ns + 5000000000 + r * (l - f + 1000000000) AS ts_ns, data_sha256 FROM m, range(2) AS t(r), range(1) AS u(c)),
+  m1 AS (SELECT 1 AS input, 0 AS repetition, frame_no, c AS copy, ts_ns - f + 1704067200000000000 AS ts_ns, data_sha256 FROM m, range(3) AS u(c))
+  SELECT data_sha256, CAST(input AS INTEGER) AS input, CAST(repetition AS INTEGER) AS repetition, frame_no, CAST(copy AS INTEGER) AS copy, ts_ns, row_number() OVER (ORDER BY ts_ns, input, repetition, frame_no, copy) AS place
+  FROM (SELECT * FROM m0 UNION ALL SELECT * FROM m1)"""
 
 
-@query(MERGE_SQL)
+@query(MERGE_SQL, FRAMES_SQL)
 def merge_shift_repeat(spark, sf_dir):
-    p = packets(spark, sf_dir)
+    """Whole packets, with their bytes."""
+    p = crafted(spark, sf_dir)
     inputs = [reorder.MergeInput(p, start=5, repeat=2), reorder.MergeInput(p, start=1_704_067_200, erase=True, parallel=3)]
-    return reorder.merged(inputs).select(F.col("input").cast("int"), F.col("repetition").cast("int"), "frame_no", F.col("copy").cast("int"), "ts_ns", "place")
+    return reorder.merged(inputs).select(F.sha2("data", 256).alias("data_sha256"), F.col("input").cast("int"), F.col("repetition").cast("int"), "frame_no", F.col("copy").cast("int"), "ts_ns", "place")
 
 
 def _mapped_sql(c: str) -> str:
@@ -211,10 +221,7 @@ def decode_eth(spark, sf_dir):
     return crafted(spark, sf_dir).select("frame_no", mac_text(fields.read(h, "Eth.src")).alias("src"), mac_text(fields.read(h, "Eth.dst")).alias("dst"), fields.read(h, "Eth.eth_type").alias("eth_type"))
 
 
-CAP = f"least(payload, {SNAP})"
-
-
-@query(f""" SELECT frame_no, CAST(4 AS BIGINT) AS version, CAST(5 AS BIGINT) AS ihl, CAST({CAP} + header_len + 20 AS BIGINT) AS total_length, frame_no % 65536 AS identification,
+@query(f""" SELECT frame_no, CAST(4 AS BIGINT) AS version, CAST(5 AS BIGINT) AS ihl, CAST(payload + header_len + 20 AS BIGINT) AS total_length, frame_no % 65536 AS identification,
   CAST(frame_no % 200 + 20 AS BIGINT) AS ttl, proto AS protocol, src_ip AS src, dst_ip AS dst, {_IP.format('src_ip')} AS src_text FROM pk""")
 def decode_ipv4(spark, sf_dir):
     h = layer(14, 20)
@@ -232,26 +239,34 @@ def decode_tcp(spark, sf_dir):
     return crafted(spark, sf_dir).where("proto = 6").select("frame_no", *[fields.read(h, f"Tcp.{n}").alias(n) for n in names], tcp_flags_text(fields.read(h, "Tcp.flags")).alias("flags_text"))
 
 
-@query(f" SELECT frame_no, src_port, dst_port, CAST({CAP} + 8 AS BIGINT) AS length FROM pk WHERE proto = 17")
+@query(" SELECT frame_no, src_port, dst_port, CAST(payload + 8 AS BIGINT) AS length FROM pk WHERE proto = 17")
 def decode_udp(spark, sf_dir):
     h = layer(34)
     return crafted(spark, sf_dir).where("proto = 17").select("frame_no", *[fields.read(h, f"Udp.{n}").alias(n) for n in ("src_port", "dst_port", "length")])
 
 
-_SUM = "((69 << 8) + total + frame_no % 65536 + ((frame_no % 200 + 20) << 8) + proto + (src_ip >> 16) + (src_ip & 65535) + (dst_ip >> 16) + (dst_ip & 65535))"
+@query(" SELECT frame_no, CAST(length(frame) // 2 AS BIGINT) AS size, sha256(unhex(frame)) AS data_sha256 FROM fr", FRAMES_SQL)
+def crafted_frames(spark, sf_dir):
+    """Every byte of the crafted frames."""
+    return crafted(spark, sf_dir).select("frame_no", F.length("data").cast("bigint").alias("size"), F.sha2("data", 256).alias("data_sha256"))
 
 
-@query(f" , t AS (SELECT *, {CAP} + header_len + 20 AS total FROM pk), u AS (SELECT frame_no, {_SUM} AS s FROM t), f AS (SELECT frame_no, (s >> 16) + (s & 65535) AS s FROM u) SELECT frame_no, CAST(65535 - ((s >> 16) + (s & 65535)) AS BIGINT) AS checksum, true AS valid FROM f")
+@query(" SELECT frame_no, ip_checksum AS checksum, true AS valid FROM fr", FRAMES_SQL)
 def ipv4_checksum(spark, sf_dir):
     h = layer(14, 20)
     return crafted(spark, sf_dir).select("frame_no", checksum.ipv4(h).alias("checksum"), checksum.ipv4_valid(h).alias("valid"))
 
 
-@query(" SELECT frame_no, true AS valid FROM pk")
+@query(" SELECT frame_no, l4_checksum AS checksum, true AS valid, frame_no % 2 = 0 AS valid_when_damaged FROM fr", FRAMES_SQL)
 def transport_checksum(spark, sf_dir):
+    """The checksum that the header holds, whether it is valid, and whether it still is with odd frames' first port raised by one."""
     ip, body = layer(14, 20), layer(34)
     ends = (fields.read(ip, "Ipv4.src"), fields.read(ip, "Ipv4.dst"))
-    return crafted(spark, sf_dir).select("frame_no", F.when(F.col("proto") == 6, checksum.tcp_valid(*ends, body)).otherwise(checksum.udp_valid(*ends, body)).alias("valid"))
+    tcp = F.col("proto") == 6
+    held = F.when(tcp, fields.read(body, "Tcp.checksum")).otherwise(fields.read(body, "Udp.checksum"))
+    valid = lambda x: F.when(tcp, checksum.tcp_valid(*ends, x)).otherwise(checksum.udp_valid(*ends, x))
+    damaged = F.concat(fields.to_bytes(fields.u(body, 0, 2) + F.col("frame_no") % 2, 2), fields.rest(body, 2))
+    return crafted(spark, sf_dir).select("frame_no", held.alias("checksum"), valid(body).alias("valid"), valid(damaged).alias("valid_when_damaged"))
 
 
 @query(f" SELECT frame_no, src_ip AS src_ip4, dst_ip AS dst_ip4, {_IP.format('src_ip')} AS src_ip, {_IP.format('dst_ip')} AS dst_ip FROM pk")
@@ -277,71 +292,36 @@ def flow_full_features(spark, sf_dir):
     return flows.flow_features(flows.from_ipv4_rows(packets(spark, sf_dir)), 6 * HOUR, HOUR)
 
 
-@query(f""" SELECT frame_no, CASE WHEN proto = 6 THEN 'Eth,Ipv4,Tcp' || CASE WHEN {CAP} > 0 THEN ',Raw' ELSE '' END ELSE 'Eth,Ipv4,Udp' END AS layers,
-    CAST(2048 AS BIGINT) AS eth_type, {_IP.format('src_ip')} AS src_ip, proto AS ip_proto, src_port, CASE WHEN proto = 6 THEN tcp_flags END AS tcp_flags, CAST({CAP} + header_len + 20 AS BIGINT) AS l3_len
-  FROM pk WHERE proto = 6""")
-def dissect_metadata(spark, sf_dir):
-    return metadata_rows(crafted(spark, sf_dir).where("proto = 6"))
-
-
-@query()
-def dissect_metadata_all(spark, sf_dir):
-    """dissect_metadata of every packet: its SQL states TCP alone."""
-    return metadata_rows(crafted(spark, sf_dir))
+#: UDP packets here go to or from port 53, so 12 bytes of payload or more read as DNS.
+METADATA_SQL = f""" SELECT frame_no, 'Eth,Ipv4,' || CASE WHEN proto = 6 THEN 'Tcp' ELSE 'Udp' END || CASE WHEN payload = 0 THEN '' WHEN proto = 17 AND payload >= 12 THEN ',Dns' ELSE ',Raw' END AS layers,
+    CAST(2048 AS BIGINT) AS eth_type, {_IP.format('src_ip')} AS src_ip, {_IP.format('dst_ip')} AS dst_ip, proto AS ip_proto, CAST(0 AS BIGINT) AS tos, CAST(frame_no % 200 + 20 AS BIGINT) AS ttl, src_port, dst_port,
+    CASE WHEN proto = 6 THEN tcp_flags END AS tcp_flags, CASE WHEN proto = 6 THEN CAST(4096 AS BIGINT) END AS tcp_window, CASE WHEN proto = 6 THEN CAST(5 AS BIGINT) END AS tcp_data_offset,
+    CASE WHEN proto = 17 THEN CAST(payload + 8 AS BIGINT) END AS udp_length, CAST(payload + header_len + 20 AS BIGINT) AS l3_len, true AS parsed
+  FROM pk"""
 
 
-def metadata_rows(rows: DataFrame) -> DataFrame:
+@query(METADATA_SQL)
+def dissect_metadata(spark, sf_dir):
+    """The report's columns of every packet, TCP and UDP, and the names of its layers."""
     from flowlake.functions.net import address_text
     from flowlake.operators import dissect
 
-    rows = dissect.dissect(rows.select("path", "frame_no", "ts_ns", "orig_len", "data", "link_type"))
+    rows = dissect.dissect(crafted(spark, sf_dir).select("path", "frame_no", "ts_ns", "orig_len", "data", "link_type"))
     names = F.array_join(F.col("layers.protocol"), ",").alias("layers")
-    return dissect.metadata(rows, names).select("frame_no", "layers", "eth_type", address_text(F.col("src_addr")).alias("src_ip"), "ip_proto", "src_port", "tcp_flags", "l3_len")
-
-
-@query(f""" SELECT frame_no, ts_ns // 1000 * 1000 AS ts_ns, orig_len, CAST({CAP} + header_len + 34 AS BIGINT) AS cap_len, src_ip, dst_ip FROM pk""")
-def pcap_roundtrip(spark, sf_dir):
-    """Packets to pcap bytes, one capture for each hour, and back."""
-    from flowlake.sources import capture
-
-    hour = F.floor(F.col("ts_ns") / HOUR).cast("string")
-    rows = crafted(spark, sf_dir).withColumn("path", hour)
-    back = capture.read_packets(capture.pcap_bytes(rows))
-    #: Frames are numbered within captures; the numbers of a capture's first frames are known.
-    first = rows.groupBy("path").agg(F.min("frame_no").alias("first"))
-    ip = F.substring("data", 15, 20)
-    return back.join(first, "path").select((F.col("first") + F.col("frame_no") - 1).alias("frame_no"), "ts_ns", "orig_len", F.length("data").cast("bigint").alias("cap_len"), fields.read(ip, "Ipv4.src").alias("src_ip"), fields.read(ip, "Ipv4.dst").alias("dst_ip"))
-
-
-# Headers of the other protocols: written field by field from a packet's columns, and read back.  The expressions are both Spark's and DuckDB's.
-HEADERS = {
-    "vlan": (4, {"Vlan.pcp": "frame_no % 8", "Vlan.vid": "frame_no % 4096", "Vlan.eth_type": "2048"}),
-    "llc": (8, {"Llc.dsap": "170", "Llc.ssap": "170", "Llc.control_u": "3", "Llc.protocol_id": "frame_no % 65536"}),
-    "sll": (16, {"Sll.packet_type": "frame_no % 5", "Sll.arphrd_type": "1", "Sll.link_layer_addr_len": "6", "Sll.protocol_type": "2048"}),
-    "mpls": (4, {"MplsEntry.label": "frame_no % 1048576", "MplsEntry.traffic_class": "frame_no % 8", "MplsEntry.bottom_of_stack": "1", "MplsEntry.ttl": "frame_no % 256"}),
-    "gre": (4, {"Gre.flags": "8192", "Gre.version": "frame_no % 8", "Gre.protocol_type": "2048"}),
-    "vxlan": (8, {"Vxlan.flags": "2048", "Vxlan.vni_id": "frame_no % 16777216", "Vxlan.reserved_2": "frame_no % 256"}),
-    "arp": (28, {"Arp.hardware_type": "1", "Arp.protocol_type": "2048", "Arp.hardware_len": "6", "Arp.protocol_len": "4", "Arp.operation": "1 + frame_no % 2", "Arp.sender_protocol_addr": "src_ip", "Arp.target_protocol_addr": "dst_ip"}),
-    "ipv6": (40, {"Ipv6.version": "6", "Ipv6.traffic_class": "frame_no % 256", "Ipv6.flow_label": "frame_no % 1048576", "Ipv6.payload_length": "payload % 65536", "Ipv6.next_header": "proto", "Ipv6.hop_limit": "64"}),
-    "icmp": (8, {"Icmp.message_type": "frame_no % 19", "Icmp.code": "frame_no % 16", "Icmp.checksum": "frame_no % 65536", "Icmp.identifier": "src_port", "Icmp.sequence": "dst_port"}),
-    "icmpv6": (8, {"Icmpv6.message_type": "128 + frame_no % 10", "Icmpv6.code": "0", "Icmpv6.identifier": "src_port", "Icmpv6.sequence": "dst_port"}),
-    "igmp": (8, {"Igmp.message_type": "22", "Igmp.max_resp_time": "frame_no % 256", "Igmp.group_addr": "3758096385 + frame_no % 100"}),
-    "sctp": (12, {"Sctp.src_port": "src_port", "Sctp.dst_port": "dst_port", "Sctp.verification_tag": "frame_no * 1000 % 4294967296", "Sctp.checksum": "frame_no"}),
-    "dhcp": (240, {"Dhcp.op": "1 + frame_no % 2", "Dhcp.htype": "1", "Dhcp.hlen": "6", "Dhcp.xid": "frame_no * 1000 % 4294967296", "Dhcp.flags": "32768", "Dhcp.ciaddr": "src_ip", "Dhcp.yiaddr": "dst_ip"}),
-    "dns": (12, {"Dns.id": "frame_no % 65536", "Dns.opcode": "frame_no % 7", "Dns.rcode": "frame_no % 6", "Dns.qdcount": "1", "Dns.ancount": "frame_no % 5"}),
-    "ntp": (48, {"Ntp.leap_indicator": "frame_no % 4", "Ntp.version": "4", "Ntp.mode": "frame_no % 8", "Ntp.stratum": "frame_no % 16", "Ntp.poll": "frame_no % 100", "Ntp.root_delay": "frame_no"}),
-    "tls": (5, {"Tls.content_type": "20 + frame_no % 5", "Tls.legacy_version": "771", "Tls.length": "payload % 65536"}),
-}
-
-
-def decoded(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    size, values = HEADERS[name]
-    rows = packets(spark, sf_dir).withColumn("h", F.lit(bytes(size)))
-    for f, value in values.items():
-        rows = rows.withColumn("h", fields.write(F.col("h"), f, F.expr(value)))
-    return rows.select("frame_no", *[fields.read(F.col("h"), f).cast("bigint").alias(f.split(".")[1]) for f in values])
-
-
-for _name, (_, _values) in HEADERS.items():
-    QUERIES[f"decode_{_name}"] = lambda spark, sf_dir, n=_name: decoded(spark, sf_dir, n)
-    SQL[f"decode_{_name}"] = PACKETS_SQL + " SELECT frame_no, " + ", ".join(f"CAST({v} AS BIGINT) AS {f.split('.')[1]}" for f, v in _values.items()) + " FROM pk"
+    columns = ("eth_type", "ip_proto", "tos", "ttl", "src_port", "dst_port", "tcp_flags", "tcp_window", "tcp_data_offset", "udp_length", "l3_len", "parsed")
+    return dissect.metadata(rows, names).select("frame_no", "layers", *[address_text(F.col(f"{s}_addr")).alias(f"{s}_ip") for s in ("src", "dst")], *columns)
+
+
+# Queries of their own modules.
+
+
+def _add_modules() -> None:
+    from flowlake.plans import fixtures, flow_sql, wire_queries
+
+    QUERIES["flow_timeout_features"], SQL["flow_timeout_features"] = flow_sql.flow_timeout_features, PACKETS_SQL + flow_sql.FLOW_SQL
+    for m in (wire_queries, fixtures):
+        QUERIES.update(m.QUERIES)
+        SQL.update(m.SQL)
+
+
+_add_modules()

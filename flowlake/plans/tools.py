@@ -205,6 +205,28 @@ def reordered_contents(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "file string, content binary")
 
 
+def reorder_files(spark, path: str, root: str, dry_run: bool = False, overwrite: bool = False) -> DataFrame:
+    """Captures at `path` with packets in time order, below root; one that is in order is copied as it is.
+
+    dry_run writes nothing: path, packets, misplaced, ordered.  A capture is never written over itself.
+    """
+    files = capture.read_binary(spark, path)
+    if dry_run:
+        packets = capture.read_packets(files).where("error is null")
+        return reorder.reorder_report(packets, ("path", "section"))
+    _, source = capture.store_of(path)
+    _, target = capture.store_of(root)
+    if source.rstrip("/") == target.rstrip("/") or source.rpartition("/")[0] == target.rstrip("/"):
+        raise ValueError(f"{path} can't be reordered in place")
+    return capture.write_files(reordered_contents(files), root, overwrite)
+
+
+def write_intervals(rows: DataFrame, path: str, kind: str = "csv", overwrite: bool = False) -> None:
+    """Interval statistics in the order of their starts, as CSV with a header or as Parquet."""
+    out = rows.orderBy("start_timestamp_ns").write.mode("overwrite" if overwrite else "errorifexists")
+    out.option("header", True).csv(path) if kind == "csv" else out.parquet(path)
+
+
 def dump_csv(meta: DataFrame, path: str, overwrite: bool = False, numeric_ip: bool = False) -> None:
     dissect.dump(meta, numeric_ip).write.mode("overwrite" if overwrite else "errorifexists").option("header", True).option("escape", '"').csv(path)
 

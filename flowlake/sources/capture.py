@@ -5,9 +5,10 @@
     packets.write.format("capture").mode("overwrite").save(d)  # pcap files, one for each partition
 
 A record's place follows from all records before it, so one file is one task; a folder of
-many files is many tasks.  Files are opened through pyarrow's file systems, so any store
-that pyarrow knows works; `read_binary` reads through Spark's own (binaryFile), for stores
-that only Spark knows and for digests.
+many files is many tasks.  A file of any size is read block by block, and rows leave as they
+are found.  Files are opened through pyarrow's file systems, so any store that pyarrow knows
+works; `read_binary` reads whole files through Spark's own (binaryFile, up to 2 GB each), for
+stores that only Spark knows and for digests.
 """
 
 from __future__ import annotations
@@ -35,17 +36,26 @@ def row(path: str, r: codec.Record) -> tuple:
     return path, r.frame_no, r.section, r.interface_id, r.ts_ns, r.orig_len, None if r.data is None else len(r.data), r.link_type, r.data, r.rec_offset, r.rec_len, r.error
 
 
-def batches(path: str, buf: bytes, options: dict, size: int = 8192) -> Iterator[pa.RecordBatch]:
-    held = []
-    for r in codec.records(buf, options.get("truncation", "error"), options.get("interfacescope", "section")):
+#: Packets and bytes of one batch of rows.
+BATCH_ROWS, BATCH_BYTES = 8192, 16 << 20
+
+
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW.types, strict=True)], schema=ARROW)
+
+
+def batches(path: str, source: bytes | codec.Feed, options: dict) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for r in codec.records(source, options.get("truncation", "error"), options.get("interfacescope", "section")):
         if r.error and options.get("mode", "permissive").lower() == "failfast":
             raise codec.CaptureError(r.error.split(":")[0], f"{path} at {r.rec_offset}")
         held.append(row(path, r))
-        if len(held) == size:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), ARROW.types, strict=True)], schema=ARROW)
-            held = []
+        size += r.rec_len
+        if len(held) == BATCH_ROWS or size > BATCH_BYTES:
+            yield batch_of(held)
+            held, size = [], 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), ARROW.types, strict=True)], schema=ARROW)
+        yield batch_of(held)
 
 
 def store_of(path: str):
@@ -55,21 +65,48 @@ def store_of(path: str):
 
 
 def discover(path: str, recursive: bool = False) -> list[str]:
-    """Capture files at a path, sorted: a file, a folder's files by their endings, or a glob."""
+    """Capture files at a path, sorted: a file, a folder's files by their endings, or a glob.
+
+    Any part of a path may hold *, ? or [..]; * and ? stay within a part.
+    """
+    return [i.path for i in found_files(path, recursive)]
+
+
+def part_pattern(part: str) -> str:
+    """One part of a glob as an expression: *, ?, [abc], [a-z], [!abc]; a bracket that isn't closed stands for itself."""
+    out, at = "", 0
+    while at < len(part):
+        c = part[at]
+        end = part.find("]", at + 2) if c == "[" else -1
+        if c == "[" and end > 0:
+            inside = part[at + 1 : end].replace("\\", "\\\\")
+            out += "[" + ("^/" + inside[1:] if inside[0] == "!" else inside) + "]"
+            at = end
+        else:
+            out += "[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c)
+        at += 1
+    return out
+
+
+def found_files(path: str, recursive: bool = False) -> list:
     from pyarrow import fs
 
-    if any(c in path for c in "*?["):
-        folder, _, pattern = path.rpartition("/")
-        match = re.compile("".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern) + "$")
-        store, base = store_of(folder)
-        return sorted(i.path for i in store.get_file_info(fs.FileSelector(base)) if i.is_file and match.match(i.base_name))
+    parts = path.split("/")
+    first = next((k for k, p in enumerate(parts) if any(c in p for c in "*?[")), None)
+    if first is not None:
+        store, base = store_of("/".join(parts[:first]) or "/")
+        depth = len(parts) - first
+        match = re.compile("/".join(map(part_pattern, parts[first:])) + "$")
+        files = [i for i in store.get_file_info(fs.FileSelector(base, recursive=depth > 1)) if i.is_file]
+        return sorted((i for i in files if match.match(i.path.removeprefix(base).lstrip("/"))), key=lambda i: i.path)
     store, base = store_of(path)
     info = store.get_file_info(base)
     if info.type == fs.FileType.File:
-        return [base]
+        return [info]
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
-    return sorted(i.path for i in store.get_file_info(fs.FileSelector(base, recursive=recursive)) if i.is_file and ENDINGS.search(i.path))
+    files = [i for i in store.get_file_info(fs.FileSelector(base, recursive=recursive)) if i.is_file]
+    return sorted((i for i in files if ENDINGS.search(i.path) and not i.base_name.startswith(".")), key=lambda i: i.path)
 
 
 class FilePartition(InputPartition):
@@ -89,30 +126,46 @@ class CaptureReader(DataSourceReader):
     def read(self, partition):
         store, _ = store_of(self.path.rpartition("/")[0] or "/")
         with store.open_input_stream(partition.path, compression=None) as f:
-            yield from batches(partition.path, f.read(), self.options)
+            yield from batches(partition.path, codec.Feed(f, store.get_file_info(partition.path).size), self.options)
 
 
-class CaptureStream(DataSourceStreamReader, CaptureReader):
-    """Files of a folder in the order of their names; a file is read once it is there, so files must appear whole (by renaming)."""
+class CaptureStream(CaptureReader, DataSourceStreamReader):
+    """Files of a folder, each read once, whatever its name; files must appear whole (by renaming).
+
+    An offset holds the newest modification time seen, and the names of all files seen that are
+    at most `maxFileAge` seconds (a week) older than it; files that appear older than that are
+    left out, as they can't be told from ones that were read.
+    """
+
+    def _files(self):
+        return [(i.mtime_ns or 0, i.path) for i in found_files(self.path, self.options.get("recursive", "false").lower() == "true")]
 
     def initialOffset(self):
-        return {"last": ""}
+        return {"newest": 0, "names": []}
 
     def latestOffset(self):
-        found = discover(self.path, self.options.get("recursive", "false").lower() == "true")
-        return {"last": found[-1] if found else ""}
+        files = self._files()
+        newest = max((t for t, _ in files), default=0)
+        oldest = newest - int(float(self.options.get("maxfileage", 604_800)) * 1_000_000_000)
+        return {"newest": newest, "names": sorted(p for t, p in files if t >= oldest)}
 
     def partitions(self, start, end):
-        return [FilePartition(p) for p in discover(self.path, self.options.get("recursive", "false").lower() == "true") if start["last"] < p <= end["last"]]
+        seen = set(start["names"])
+        return [FilePartition(p) for p in end["names"] if p not in seen]
 
 
 class FileMessage(WriterCommitMessage):
-    def __init__(self, part: str, name: str, packets: int):
-        self.part, self.name, self.packets = part, name, packets
+    def __init__(self, temps: list[str], names: list[str], packets: int):
+        self.temps, self.names, self.packets = temps, names, packets
 
 
 class CaptureWriter(DataSourceWriter):
-    """One pcap file for each partition, in the order of the rows; files get their names when the job commits."""
+    """pcap files, one for each partition and link type, in the order of the rows.
+
+    Files get their names when the job commits, and names hold the job's own id, so a job that
+    appends takes no file's place.  With overwrite the files that were there before are deleted
+    once the new ones have their names.
+    """
 
     def __init__(self, options: dict, overwrite: bool):
         self.options = {k.lower(): v for k, v in dict(options).items()}
@@ -127,37 +180,42 @@ class CaptureWriter(DataSourceWriter):
         part = TaskContext.get().partitionId()
         store, base = store_of(self.path)
         store.create_dir(base, recursive=True)
-        name, n, out = f"{base}/.{self.job}-{part}-{uuid.uuid4().hex}", 0, None
+        attempt, n, out = uuid.uuid4().hex, 0, {}
         for r in iterator:
-            if out is None:
-                out = store.open_output_stream(name, compression=None)
-                out.write(codec.pcap_file_header(r["link_type"] if r["link_type"] is not None else 1, self.snap, self.nanos, self.big))
-            out.write(codec.pcap_record(r["ts_ns"], r["orig_len"], bytes(r["data"]), self.snap, self.nanos, self.big))
+            link = r["link_type"] if r["link_type"] is not None else 1
+            if link not in out:
+                out[link] = store.open_output_stream(f"{base}/.{self.job}-{attempt}-{link}", compression=None)
+                out[link].write(codec.pcap_file_header(link, self.snap, self.nanos, self.big))
+            out[link].write(codec.pcap_record(r["ts_ns"], r["orig_len"], bytes(r["data"]), self.snap, self.nanos, self.big))
             n += 1
-        if out is not None:
-            out.close()
-        return FileMessage(name if out is not None else "", f"{base}/part-{part:05d}.pcap", n)
+        for f in out.values():
+            f.close()
+        return FileMessage([f".{self.job}-{attempt}-{link}" for link in out], [f"part-{part:05d}-{self.job}-{link}.pcap" for link in out], n)
 
     def commit(self, messages):
         store, base = store_of(self.path)
-        names = {m.name for m in messages if m}
-        if self.overwrite:
-            for old in discover(self.path):
-                if old not in names:
-                    store.delete_file(old)
+        before = [i.path for i in found_files(self.path)] if self.overwrite and messages else []
         for m in messages:
-            if m and m.part:
-                store.move(m.part, m.name)
+            for temp, name in zip(m.temps, m.names, strict=True) if m else ():
+                store.move(f"{base}/{temp}", f"{base}/{name}")
+        for old in before:
+            store.delete_file(old)
+        self._sweep(store, base)
 
     def abort(self, messages):
-        store, _ = store_of(self.path)
-        for m in messages:
-            if m and m.part:
-                store.delete_file(m.part)
+        self._sweep(*store_of(self.path))
+
+    def _sweep(self, store, base: str) -> None:
+        """Deletes what attempts of this job left behind that weren't committed."""
+        from pyarrow import fs
+
+        for i in store.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+            if i.is_file and i.base_name.startswith(f".{self.job}-"):
+                store.delete_file(i.path)
 
 
 class CaptureSource(DataSource):
-    """Options: path; mode permissive (damage is a row with `error`) or failfast; truncation error or eof; interfaceScope section or global; recursive; for writing snapLen, nanos, endian."""
+    """Options: path; mode permissive (damage is a row with `error`) or failfast; truncation error or eof; interfaceScope section or global; recursive; maxFileAge for streams; for writing snapLen, nanos, endian."""
 
     @classmethod
     def name(cls):
@@ -242,12 +300,24 @@ def digests(files: DataFrame) -> DataFrame:
 
 
 def pcap_record(snap_len: int = 65535) -> Column:
-    """A packet's record, with microseconds."""
+    """A packet's record, with microseconds; a time that has no place in it is an error."""
     from flowlake.functions.fields import to_bytes
 
     size = F.least(F.length("data"), F.lit(snap_len))
-    micros = F.floor(F.pmod("ts_ns", F.lit(1_000_000_000)) / 1000)
-    return F.concat(to_bytes(F.floor(F.col("ts_ns") / 1_000_000_000), 4), to_bytes(micros, 4), to_bytes(size, 4), to_bytes(F.col("orig_len"), 4), F.substring(F.col("data"), F.lit(1), size))
+    fits = (F.col("ts_ns") >= 0) & (F.col("ts_ns") < (1_000_000_000 << 32))
+    seconds = F.when(fits, F.expr("ts_ns div 1000000000")).otherwise(F.raise_error(F.concat(F.lit("Io: no place in a pcap record for the time "), F.col("ts_ns").cast("string"))).cast("bigint"))
+    micros = F.expr("ts_ns % 1000000000 div 1000")
+    return F.concat(to_bytes(seconds, 4), to_bytes(micros, 4), to_bytes(size, 4), to_bytes(F.col("orig_len"), 4), F.substring(F.col("data"), F.lit(1), size))
+
+
+def truncated() -> Column:
+    """Whether a packet was captured in part."""
+    return F.length("data") < F.col("orig_len")
+
+
+def seconds() -> Column:
+    """A packet's time in seconds."""
+    return F.col("ts_ns") / 1_000_000_000
 
 
 def write_parts(rows: DataFrame, root: str, order: tuple[str, ...], head: bytes = b"", overwrite: bool = False) -> DataFrame:
@@ -293,11 +363,10 @@ def write_parts(rows: DataFrame, root: str, order: tuple[str, ...], head: bytes
     return dealt.mapInArrow(run, "file string, parts long, bytes long")
 
 
-def pcap_bytes(packets: DataFrame, link_type: int = 1, snap_len: int = 65535) -> DataFrame:
-    """path, content: each capture as one pcap file's bytes, built by expressions, for captures that fit a row."""
-    rows = packets.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("frame_no", pcap_record(snap_len).alias("rec")))).alias("r"))
-    head = F.unhex(F.lit(codec.pcap_file_header(link_type, snap_len).hex()))
-    return rows.select("path", F.aggregate("r", head, lambda a, x: F.concat(a, x["rec"])).alias("content"))
+def write_pcaps(packets: DataFrame, root: str, link_type: int = 1, snap_len: int = 65535, overwrite: bool = False) -> DataFrame:
+    """One pcap file for each `path` of the packets, which names it below root, in the order of frame_no.  Returns file, parts, bytes."""
+    parts = packets.select(F.col("path").alias("file"), "frame_no", pcap_record(snap_len).alias("part"))
+    return write_parts(parts, root, ("frame_no",), codec.pcap_file_header(link_type, snap_len), overwrite)
 
 
 def write_files(rows: DataFrame, root: str, overwrite: bool = False) -> DataFrame:

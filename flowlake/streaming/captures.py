@@ -15,20 +15,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flowlake.operators import flows
+from flowlake.operators.keys import summary_key
 from flowlake.operators.summary import SECOND
 
 
 def with_event_time(packets: DataFrame, late: str = "1 minute") -> DataFrame:
-    return packets.withColumn("event_time", F.timestamp_micros(F.floor(F.col("ts_ns") / 1000).cast("bigint"))).withWatermark("event_time", late)
+    return packets.withColumn("event_time", F.timestamp_micros(F.expr("(ts_ns - pmod(ts_ns, 1000)) div 1000"))).withWatermark("event_time", late)
 
 
-def interval_stream(packets: DataFrame, width_us: int, late: str = "1 minute") -> DataFrame:
-    """Tumbling intervals of a whole number of microseconds: packets and bytes, emitted once the watermark has passed (append mode)."""
+def interval_stream(packets: DataFrame, width_us: int, late: str = "1 minute", unique: bool = False) -> DataFrame:
+    """Tumbling intervals of a whole number of microseconds: packets and bytes, emitted once the watermark has passed (append mode).
+
+    unique: also exact distinct counts of parsed packets, by a count for each interval and key
+    that is counted again; the state is one row for each interval and key.
+    """
+    every = with_event_time(packets, late)
     window = F.window("event_time", f"{width_us} microseconds")
-    rows = with_event_time(packets, late).groupBy(window).agg(F.count(F.lit(1)).alias("total_packets"), F.sum("orig_len").alias("total_l2_bytes"))
+    distinct = ("src_ip", "dst_ip", "flow")
+    if unique:
+        seen = lambda name, key: F.struct(F.lit(name).alias("kind"), F.when(F.col("parsed"), key).alias("key"))
+        keys = [seen("src_ip", F.col("src_ip").cast("string")), seen("dst_ip", F.col("dst_ip").cast("string")), seen("flow", F.to_json(summary_key()))]
+        rows = every.select("event_time", "orig_len", F.explode(F.array(*keys)).alias("k")).groupBy(window, "k.kind", "k.key").agg(F.count(F.lit(1)).alias("packets"), F.sum("orig_len").alias("bytes"))
+        first = F.col("kind") == distinct[0]
+        counts = [F.count_if((F.col("kind") == k) & F.col("key").isNotNull()).alias(f"unique_{k}s") for k in distinct]
+        rows = rows.groupBy(F.window(F.window_time("window"), f"{width_us} microseconds").alias("window")).agg(F.sum(F.when(first, F.col("packets"))).alias("total_packets"), F.sum(F.when(first, F.col("bytes"))).alias("total_l2_bytes"), *counts)
+    else:
+        rows = every.groupBy(window).agg(F.count(F.lit(1)).alias("total_packets"), F.sum("orig_len").alias("total_l2_bytes"))
     seconds = width_us / 1_000_000
     start = F.unix_micros("window.start") * 1000
-    return rows.select(start.alias("start_timestamp_ns"), (start + width_us * 1000).alias("end_timestamp_ns_exclusive"), "total_packets", "total_l2_bytes", (F.col("total_packets") / seconds).alias("packets_per_second"), (F.col("total_l2_bytes") / seconds).alias("bytes_per_second"))
+    return rows.select(start.alias("start_timestamp_ns"), (start + width_us * 1000).alias("end_timestamp_ns_exclusive"), "total_packets", "total_l2_bytes", (F.col("total_packets") / seconds).alias("packets_per_second"), (F.col("total_l2_bytes") / seconds).alias("bytes_per_second"), *([f"unique_{k}s" for k in distinct] if unique else []))
 
 
 def flow_stream(packets: DataFrame, timeout_ns: int = 120 * SECOND, activity_ns: int = 5 * SECOND, late: str = "1 minute") -> DataFrame:

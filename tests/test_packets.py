@@ -165,7 +165,10 @@ def test_craft_errors(spark):
         with pytest.raises(craft.CraftError) as e:
             make()
         assert e.value.kind == kind
-    assert one(spark, (craft.udp(length=9) / craft.raw(b"abc")).build()) is None
+    for kind, make in {"InvalidLength": craft.udp(length=9) / craft.raw(b"abc"), "LengthOverflow": craft.ipv4() / craft.raw(F.repeat(F.lit("x"), 65536).cast("binary"))}.items():
+        with pytest.raises(Exception, match=kind):
+            one(spark, make.build())
+    assert len(one(spark, (craft.ipv4() / craft.raw(F.repeat(F.lit("x"), 65515).cast("binary"))).build())) == 65535
     assert one(spark, (craft.custom(name="X", head=b"\x01\x02") / craft.raw(b"a")).build()) == b"\x01\x02a"
 
 

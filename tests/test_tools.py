@@ -49,9 +49,35 @@ def test_pcapng_records():
     assert list(codec.records(SHB[:-1] + b"\x1d"))[0].error.startswith("BlockTotalLengthMismatch")
     assert list(codec.records(SHB + EPB))[0].error.startswith("MissingPcapngIDB")
     assert codec.Interface(res_base=10, res_exp=9, ts_offset=2).nanoseconds(5) == 2_000_000_005
+    with pytest.raises(codec.CaptureError, match="TimestampOutOfRange"):
+        codec.Interface(res_base=10, res_exp=0).nanoseconds(1 << 40)
     assert codec.Interface(res_base=2, res_exp=30).nanoseconds(7) == 7 and codec.Interface(res_exp=12).nanoseconds(5_000) == 5
 
 
+@pytest.mark.parametrize("block", [1, 7, 64, 1 << 20])
+def test_blocks_of_any_size_read_alike(block):
+    import io
+
+    for whole in (PCAP_BE, PCAP_LE, SHB + IDB + EPB, section_le() + interface_le() + b"".join(packet_le(k) for k in range(50)), b"nonsense", PCAP_BE[:30], (SHB + IDB + EPB)[:-3]):
+        assert list(codec.records(codec.Feed(io.BytesIO(whole), len(whole), block))) == list(codec.records(whole))
+
+
+def test_a_cut_length_reads_nothing_big():
+    """A record that claims more bytes than the file has is damage, found without reading them."""
+    import io
+
+    class Counting(io.BytesIO):
+        most = 0
+
+        def read(self, n=-1):
+            Counting.most = max(Counting.most, n)
+            return super().read(n)
+
+    bad = PCAP_BE[:32] + b"\xff\xff\xff\xf0" + PCAP_BE[36:]
+    found = list(codec.records(codec.Feed(Counting(bad), len(bad), 64)))
+    assert found[0].error == "TruncatedCapture" and Counting.most <= 64
+
+
 def test_every_prefix_reads():
     for whole in (PCAP_BE, PCAP_LE, SHB + IDB + EPB):
         for n in range(len(whole)):
@@ -111,6 +137,84 @@ def test_pcap_writer():
         codec.pcap_record(-1, 4, b"")
 
 
+def pcaps(folder):
+    return [n for n in os.listdir(folder) if n.endswith(".pcap")]
+
+
+def test_appends_and_overwrites(spark, tmp_path):
+    """Appending keeps what is there, link types get files of their own, overwriting leaves only the new rows, and a failing job leaves what was there."""
+    spark.dataSource.register(capture.CaptureSource)
+    out = str(tmp_path / "caps")
+    rows = spark.range(20).select((F.col("id") * 1_000_000_000 + 1_704_067_199_999_999_990).alias("ts_ns"), F.lit(4).cast("long").alias("orig_len"), F.when(F.col("id") < 5, 101).otherwise(1).alias("link_type"), F.lit(b"abcd").alias("data")).coalesce(1)
+    write = lambda df, mode: df.write.format("capture").mode(mode).option("nanos", "true").save(out)
+    write(rows, "append")
+    write(rows, "append")
+    back = spark.read.format("capture").load(out)
+    assert back.count() == 40 and len(pcaps(out)) == 4 and back.where("link_type = 101").count() == 10
+    assert back.agg(F.min("ts_ns")).first()[0] == 1_704_067_199_999_999_990
+    with pytest.raises(Exception, match="no place in a pcap record"):
+        write(rows.withColumn("ts_ns", F.lit(-1).cast("long")), "overwrite")
+    assert spark.read.format("capture").load(out).count() == 40 and sorted(os.listdir(out)) == sorted(n for n in os.listdir(out) if not n.startswith(".") or n.endswith(".crc"))
+    write(rows, "overwrite")
+    assert spark.read.format("capture").load(out).count() == 20
+
+
+def test_record_expression(spark):
+    """Whole seconds of any size are exact, and times without a place are errors."""
+    df = lambda t: spark.createDataFrame([(t, 4, b"\1\2\3\4")], "ts_ns long, orig_len long, data binary").select(capture.pcap_record())
+    for t in (1_704_067_199_999_999_990, 0, (1 << 32) * 1_000_000_000 - 1):
+        assert bytes(df(t).first()[0]) == codec.pcap_record(t, 4, b"\1\2\3\4")
+    for t in (-1, (1 << 32) * 1_000_000_000):
+        with pytest.raises(Exception, match="no place in a pcap record"):
+            df(t).collect()
+
+
+def test_wide_rows_keep_their_places(spark):
+    """Rows of 512 bytes over many partitions, which adaptive execution joins as it likes."""
+    rows = spark.range(0, 30_000, 1, 16).select(F.lit("p").alias("path"), (F.col("id") + 1).alias("frame_no"), F.pmod(F.col("id") * 7919, F.lit(10_007)).alias("ts_ns"), F.lit(b"x" * 512).alias("data"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "32")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+        got = reorder.reordered(rows).withColumn("size", F.length("data")).drop("data").collect()
+        merged = reorder.merged([reorder.MergeInput(rows, parallel=2)]).withColumn("size", F.length("data")).drop("data").collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    want = sorted(((i * 7919) % 10_007, i + 1) for i in range(30_000))
+    assert sorted((r["place"], r["ts_ns"], r["frame_no"], r["size"]) for r in got) == [(k + 1, t, f, 512) for k, (t, f) in enumerate(want)]
+    assert sorted(r["place"] for r in merged) == list(range(1, 60_001)) and [r["ts_ns"] for r in sorted(merged, key=lambda r: r["place"])] == sorted(t for t, _ in want for _ in range(2))
+
+
+def test_reorder_sections_apart(spark):
+    rows = spark.createDataFrame([("a", 1, 5), ("a", 2, 3), (None, 1, 9), (None, 2, 9), ("b", 1, 1)], "path string, frame_no long, ts_ns long")
+    got = {(r["path"], r["frame_no"]): r["place"] for r in reorder.reordered(rows).collect()}
+    assert got == {("a", 2): 1, ("a", 1): 2, (None, 1): 1, (None, 2): 2, ("b", 1): 1}
+    assert {r["path"]: (r["misplaced"], r["ordered"]) for r in reorder.reorder_report(rows.where("path is not null")).collect()} == {"a": (1, False), "b": (0, True)}
+
+
+def test_reorder_refuses_its_own_place(spark, tmp_path):
+    (tmp_path / "x.pcap").write_bytes(PCAP_BE)
+    for target in (tmp_path, tmp_path / "x.pcap"):
+        with pytest.raises(ValueError, match="in place"):
+            tools.reorder_files(spark, str(tmp_path / "x.pcap"), str(target))
+    assert tools.reorder_files(spark, str(tmp_path), str(tmp_path / "out"), dry_run=True).first()["ordered"]
+    assert not (tmp_path / "out").exists()
+
+
+def test_streams_read_late_names(spark, tmp_path):
+    """A file whose name sorts before those that were read is read all the same, and none twice."""
+    spark.dataSource.register(capture.CaptureSource)
+    (tmp_path / "in").mkdir()
+    stream = lambda: spark.readStream.format("capture").load(str(tmp_path / "in")).select("path", "ts_ns").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).start()
+    for name in ("m", "a", "z", "b"):
+        (tmp_path / "in" / f"{name}.pcap").write_bytes(PCAP_BE)
+        q = stream()
+        q.processAllAvailable()
+        q.stop()
+    assert sorted(r[0].rpartition("/")[2] for r in spark.read.parquet(str(tmp_path / "out")).select("path").collect()) == ["a.pcap", "b.pcap", "m.pcap", "z.pcap"]
+
+
 def test_data_source(spark, sf, tmp_path):
     spark.dataSource.register(capture.CaptureSource)
     rows = crafted(spark, sf).repartitionByRange(3, "frame_no").sortWithinPartitions("frame_no")
@@ -118,7 +222,7 @@ def test_data_source(spark, sf, tmp_path):
     rows.select("ts_ns", "orig_len", "link_type", "data").write.format("capture").mode("append").option("nanos", "true").save(out)
     back = spark.read.format("capture").load(out)
     assert sorted(r[0] for r in back.select("ts_ns").collect()) == sorted(r[0] for r in rows.select("ts_ns").collect())
-    assert back.where("error is not null").count() == 0 and len(os.listdir(out)) == 3
+    assert back.where("error is not null").count() == 0 and len(pcaps(out)) == 3
     files = capture.read_binary(spark, out)
     assert capture.read_packets(files).count() == rows.count()
     assert capture.digests(files).where("length(sha256) = 64 and length(md5) = 32").count() == 3
@@ -137,6 +241,8 @@ def test_discovery(tmp_path):
     base = str(tmp_path)
     assert [p.rpartition("/")[2] for p in capture.discover(base)] == ["a.cap", "b.PCAP"]
     assert len(capture.discover(base, True)) == 3 and len(capture.discover(base + "/*.cap")) == 1
+    assert [p.rpartition("/")[2] for p in capture.discover(base + "/[ab].*")] == ["a.cap", "b.PCAP"] and len(capture.discover(base + "/[!a].*")) == 2
+    assert [p.rpartition("/")[2] for p in capture.discover(base + "/?/*.pcapng")] == ["e.pcapng"] and capture.discover(base + "/[x-z]*") == []
     assert capture.derived_path("/x/y.pcap", "intervals", "csv") == "/x/y.intervals.csv" and capture.derived_path("y.pcap", "reordered") == "y.reordered.pcap"
 
 
@@ -284,6 +390,15 @@ def test_split_files(spark, sf, tmp_path):
     assert len(tools.split_files(rows, str(tmp_path), "tuple5-sym", top=2, overwrite=True).collect()) == 2
 
 
+def test_plain_numbers(spark):
+    """Doubles without exponents, as they are, however small."""
+    values = [1e-20, -2.5e-7, 1.0, 0.1, 1e7, 1.25e10, 123456789.25, 0.0]
+    rows = spark.createDataFrame([(v,) for v in values], "x double")
+    names = {n: F.lit("t") if n in flows.TEXT else F.lit(1).cast("long") if n in flows.WHOLE else F.col("x") for n in flows.HEADER}
+    got = [r[0] for r in flows.as_text(rows.select(*[c.alias(n) for n, c in names.items()])).select("`Flow Bytes/s`").collect()]
+    assert got == ["0.00000000000000000001", "-0.00000025", "1", "0.1", "10000000", "12500000000", "123456789.25", "0"]
+
+
 def test_reports(spark, sf):
     import json
     import tomllib
