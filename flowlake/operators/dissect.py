@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -309,23 +310,92 @@ def parse(data: bytes, root: str | None = None, link_type: int | None = 1, regis
     return ctx.layers, None
 
 
+NAMES = tuple(PARSERS)
+CODES = {n: i for i, n in enumerate(NAMES)}
+
+
+class Common(NamedTuple):
+    """Layers of a batch's usual packets, found on whole columns: Ethernet, whole IPv4, TCP or UDP, then DNS, Raw or nothing.
+
+    rows: which packets these are; starts and sizes: of the IPv4, transport and last layers.
+    """
+
+    rows: np.ndarray
+    transport: np.ndarray
+    transport_at: np.ndarray
+    rest_at: np.ndarray
+    rest: np.ndarray
+    last: np.ndarray
+
+
+def common(data: pa.Array, link: np.ndarray, max_depth: int | None) -> Common:
+    """What parse() gives without a registry and with fallback, for the packets whose layers follow from a few bytes."""
+    data = data.cast(pa.large_binary())
+    ends = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+    buf = np.concatenate([np.frombuffer(data.buffers()[2] or b"", np.uint8), np.zeros(64, np.uint8)])
+    size = np.diff(ends)
+    rows = np.flatnonzero((link == 1) & (size >= 34))
+    start, size = ends[:-1][rows], size[rows]
+    byte = lambda at: buf[np.minimum(start + at, len(buf) - 1)].astype(np.int64)
+    word = lambda at: byte(at) << 8 | byte(at + 1)
+    at = 14 + 4 * (byte(14) & 15)
+    proto = byte(23)
+    good = (word(12) == 0x0800) & (at >= 34) & (word(20) & 0x1FFF == 0) & ((proto == 6) | (proto == 17))
+    tcp = proto == 6
+    header = np.where(tcp, 4 * (byte(at + 12) >> 4), 8)
+    good &= (size >= at + np.where(tcp, 20, 8)) & (header >= np.where(tcp, 20, 8)) & (size >= at + header)
+    src, dst = word(at), word(at + 2)
+    rest_at = at + header
+    rest = size - rest_at
+    has = lambda ports: np.isin(src, ports) | np.isin(dst, ports)
+    deep = max_depth is None or max_depth > 3
+    tls = tcp & has([*TLS_PORTS]) & (rest >= 5) & (byte(rest_at) >= 20) & (byte(rest_at) <= 24) & (byte(rest_at + 1) == 3) & (byte(rest_at + 2) <= 4)
+    other = ~tcp & ((dst == 4789) | has([p for p, n in UDP_PORTS if n != "Dns"]))
+    if deep:
+        good &= ~tls & ~other
+    dns = ~tcp & has([53]) & (rest >= 12) & deep
+    last = np.where(dns, CODES["Dns"], CODES["Raw"])
+    return Common(*(x[good] for x in (rows, np.where(tcp, CODES["Tcp"], CODES["Udp"]), at, rest_at, rest, last)))
+
+
 def dissect(packets: DataFrame, root: str | None = None, registry: Registry | None = None, max_depth: int | None = None, fallback: bool = True) -> DataFrame:
-    """Adds layers and dissect_error (null where the whole packet was parsed); packets: data, link_type (unless root is given)."""
+    """Adds layers and dissect_error (null where the whole packet was parsed); packets: data, link_type (unless root is given).
+
+    Usual packets are taken on whole columns, the others one by one.
+    """
     columns = packets.columns
+    whole = root is None and not (registry and registry.parsers) and fallback and (max_depth is None or max_depth >= 3)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         error = pa.struct([("kind", pa.string()), ("protocol", pa.string()), ("offset", pa.int32()), ("needed", pa.int32()), ("available", pa.int32())])
         for batch in it:
-            links = batch.column("link_type").to_pylist() if root is None else [None] * batch.num_rows
-            ends, flat, errors = [0], [], []
-            for data, link in zip(batch.column("data").to_pylist(), links, strict=True):
-                found, e = parse(data or b"", root, link, registry, max_depth, fallback)
-                flat += found
-                ends.append(len(flat))
-                errors.append(e and {"kind": e.kind, "protocol": e.protocol, "offset": e.offset, "needed": e.needed, "available": e.available})
-            names, offsets, sizes = zip(*flat, strict=True) if flat else ((), (), ())
-            items = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(offsets, pa.int32()), pa.array(sizes, pa.int32())], ["protocol", "offset", "len"])
-            layers = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
+            n, data = batch.num_rows, batch.column("data")
+            found, errors = [None] * n, [None] * n
+            count = np.zeros(n, np.int64)
+            easy = None
+            if whole and n and pa.types.is_binary(data.type):
+                link = batch.column("link_type").fill_null(-1).to_numpy(zero_copy_only=False)
+                easy = common(data.fill_null(b""), link, max_depth)
+                count[easy.rows] = 3 + (easy.rest > 0)
+            for i in np.flatnonzero(count == 0).tolist():
+                layers, e = parse(data[i].as_py() or b"", root, batch.column("link_type")[i].as_py() if root is None else None, registry, max_depth, fallback)
+                found[i], count[i] = layers, len(layers)
+                errors[i] = e and {"kind": e.kind, "protocol": e.protocol, "offset": e.offset, "needed": e.needed, "available": e.available}
+            ends = np.concatenate([[0], np.cumsum(count)])
+            names, offsets, sizes = (np.empty(ends[-1], t) for t in (object, np.int32, np.int32))
+            if easy is not None and len(easy.rows):
+                first = ends[:-1][easy.rows]
+                known = np.array(NAMES, object)
+                zero = np.zeros(len(first), np.int64)
+                for k, (name, at, size) in enumerate(((np.full(len(first), CODES["Eth"]), zero, zero + 14), (np.full(len(first), CODES["Ipv4"]), zero + 14, easy.transport_at - 14), (easy.transport, easy.transport_at, easy.rest_at - easy.transport_at))):
+                    names[first + k], offsets[first + k], sizes[first + k] = known[name], at, size
+                more = easy.rest > 0
+                names[first[more] + 3], offsets[first[more] + 3], sizes[first[more] + 3] = known[easy.last[more]], easy.rest_at[more], easy.rest[more]
+            for i, layers in enumerate(found):
+                for k, layer in enumerate(layers or ()):
+                    names[ends[i] + k], offsets[ends[i] + k], sizes[ends[i] + k] = layer
+            items = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(offsets), pa.array(sizes)], ["protocol", "offset", "len"])
+            layers = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), items)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], layers, pa.array(errors, error)], [*columns, "layers", "dissect_error"])
 
     kind = ", ".join(f"`{n}` {t}" for n, t in packets.dtypes)

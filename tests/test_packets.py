@@ -73,6 +73,32 @@ def test_links_and_special_cases():
     assert names(chain, link_type=229) == ["Ipv6", "Udp"]
 
 
+def test_columns_and_packets_agree():
+    """What is found on whole columns is what single packets give, for frames with any byte changed and any length."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    frames = []
+    for data in (UDP, VXLAN, TLS, DNS, GRE, MPLS, ICMPV6):
+        raw = bytes.fromhex(data)
+        for _ in range(400):
+            changed = bytearray(raw + bytes(rng.randrange(256) for _ in range(rng.choice([0, 0, 3, 20]))))
+            for _ in range(rng.randint(0, 3)):
+                changed[rng.randrange(12, len(changed))] = rng.choice([0, 1, 3, 5, 6, 8, 17, 22, 53, 0x45, 0x50, 0x60, 0xBB, rng.randrange(256)])
+            frames.append(bytes(changed[: rng.choice([len(changed), len(changed), rng.randint(0, len(changed))])]))
+    column = pa.array(frames, pa.binary())
+    for depth in (None, 3, 4):
+        easy = dissect.common(column, np.ones(len(frames), np.int64), depth)
+        assert len(easy.rows) > 300
+        for i, name, at, rest_at, rest, last in zip(*(x.tolist() for x in easy), strict=True):
+            want = [("Eth", 0, 14), ("Ipv4", 14, at - 14), (dissect.NAMES[name], at, rest_at - at)] + [(dissect.NAMES[last], rest_at, rest)] * (rest > 0)
+            layers, error = dissect.parse(frames[i], max_depth=depth)
+            assert error is None and [tuple(x) for x in layers] == want, frames[i].hex()
+
+
 def test_registry():
     def clock(ctx, at):
         ctx.require("Clock", at, 8)
