@@ -164,61 +164,107 @@ def split_files(dissected: DataFrame, root: str, granularity: str = "tuple5-sym"
     return capture.write_parts(parts, root, ("frame_no",), codec.pcap_file_header(link_type, snap_len), overwrite)
 
 
-def reordered_file(buf: bytes) -> bytes:
-    """A capture with each section's packets in time order, records and blocks copied as they are.
+def reordered_places(source: bytes | codec.Feed) -> list[tuple[int, int]]:
+    """(offset, bytes) of a capture's parts in their new order: each section's packets in time order, records and blocks as they are.
 
     pcapng: interfaces of a section come before its packets, other blocks keep their place
-    before or after the packets.  Simple packets have no time and are refused.
+    before or after the packets.  Simple packets have no time and are refused.  The file is read
+    block by block; what is held is a few numbers a packet.  Parts that follow each other are one,
+    so a capture that is in order is one part.
     """
-    if codec.sniff(buf) == "pcap":
-        records = sorted((r for r in codec.pcap_records(buf, "eof") if r.error is None), key=lambda r: (r.ts_ns, r.frame_no))
-        return buf[:24] + b"".join(buf[r.rec_offset : r.rec_offset + r.rec_len] for r in records)
+    feed = codec.feed_of(source)
+    if codec.sniff(feed.peek(4)) == "pcap":
+        records = sorted((r.ts_ns, r.frame_no, r.rec_offset, r.rec_len) for r in codec.pcap_records(feed, "eof") if r.error is None)
+        return joined_places([(0, 24), *[r[2:] for r in records]])
     sections: list[dict[str, list]] = []
-    for block, record in codec.PcapngWalk(buf).walk():
+    for block, record in codec.PcapngWalk(feed).walk():
         if block.error:
             raise codec.CaptureError(block.error.split(":")[0], block.error)
         if block.block_type == codec.SPB:
             raise codec.CaptureError("Io", "simple packets have no time to order by")
+        place = (block.rec_offset, len(block.raw))
         if block.role == "section":
-            sections.append({"head": [block.raw], "before": [], "packets": [], "after": []})
+            sections.append({"head": [place], "before": [], "packets": [], "after": []})
             continue
         own = sections[-1]
         if record:
-            own["packets"].append((record.ts_ns, record.frame_no, block.raw))
+            own["packets"].append((record.ts_ns, record.frame_no, *place))
         elif block.role == "interface" or not own["packets"]:
-            own["before"].append(block.raw)
+            own["before"].append(place)
         else:
-            own["after"].append(block.raw)
-    return b"".join(b"".join([*s["head"], *s["before"], *[p[2] for p in sorted(s["packets"])], *s["after"]]) for s in sections)
+            own["after"].append(place)
+    return joined_places([p for s in sections for p in [*s["head"], *s["before"], *[x[2:] for x in sorted(s["packets"])], *s["after"]]])
 
 
-def reordered_contents(files: DataFrame) -> DataFrame:
-    """file, content of path, content rows; a file in order already comes out as it is."""
-    import pyarrow as pa
+def joined_places(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for at, size in places:
+        if out and sum(out[-1]) == at:
+            out[-1] = (out[-1][0], out[-1][1] + size)
+        else:
+            out.append((at, size))
+    return out
 
-    def run(it):
-        for batch in it:
-            out = [reordered_file(b) for b in batch.column("content").to_pylist()]
-            names = [capture.derived_path(p.rpartition("/")[2], "reordered") for p in batch.column("path").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(out, pa.binary())], ["file", "content"])
 
-    return files.select("path", "content").mapInArrow(run, "file string, content binary")
+def reordered_file(buf: bytes) -> bytes:
+    """A capture's bytes with its packets in time order."""
+    return b"".join(buf[at : at + size] for at, size in reordered_places(buf))
+
+
+def copied(source, target, places: list[tuple[int, int]], block: int = 1 << 22) -> int:
+    """Copies the parts of a random-access file in their order, a block at a time."""
+    total = 0
+    for at, size in places:
+        source.seek(at)
+        while size:
+            part = source.read(min(size, block))
+            target.write(part)
+            size, total = size - len(part), total + len(part)
+    return total
 
 
 def reorder_files(spark, path: str, root: str, dry_run: bool = False, overwrite: bool = False) -> DataFrame:
-    """Captures at `path` with packets in time order, below root; one that is in order is copied as it is.
+    """Captures at `path` with packets in time order, each below root under its derived name; one that is in order is copied in one piece.  Returns file, bytes.
 
-    dry_run writes nothing: path, packets, misplaced, ordered.  A capture is never written over itself.
+    dry_run writes nothing: path, section, packets, misplaced, ordered.  A capture is never written over itself.
+    A file is one task, which reads it twice, by blocks and then by its parts.
     """
-    files = capture.read_binary(spark, path)
+    import uuid
+
+    import pyarrow as pa
+
     if dry_run:
-        packets = capture.read_packets(files).where("error is null")
+        spark.dataSource.register(capture.CaptureSource)
+        packets = spark.read.format("capture").load(path).where("error is null")
         return reorder.reorder_report(packets, ("path", "section"))
     _, source = capture.store_of(path)
     _, target = capture.store_of(root)
     if source.rstrip("/") == target.rstrip("/") or source.rpartition("/")[0] == target.rstrip("/"):
         raise ValueError(f"{path} can't be reordered in place")
-    return capture.write_files(reordered_contents(files), root, overwrite)
+    files = capture.discover(path)
+
+    def run(it):
+        from pyarrow import fs
+
+        (store, _), (out_store, base) = capture.store_of(path.rpartition("/")[0] or "/"), capture.store_of(root)
+        for batch in it:
+            done = []
+            for name in batch.column("path").to_pylist():
+                own = capture.derived_path(name.rpartition("/")[2], "reordered")
+                if not overwrite and out_store.get_file_info(f"{base}/{own}").type != fs.FileType.NotFound:
+                    raise FileExistsError(f"{base}/{own}")
+                with store.open_input_stream(name, compression=None) as f:
+                    places = reordered_places(codec.Feed(f, store.get_file_info(name).size))
+                out_store.create_dir(base, recursive=True)
+                temp = f"{base}/.{uuid.uuid4().hex}"
+                with store.open_input_file(name) as f, out_store.open_output_stream(temp, compression=None) as out:
+                    size = copied(f, out, places)
+                out_store.move(temp, f"{base}/{own}")
+                done.append({"file": own, "bytes": size})
+            yield pa.RecordBatch.from_pylist(done, pa.schema([("file", pa.string()), ("bytes", pa.int64())]))
+
+    rows = spark.createDataFrame([(p,) for p in files], "path string").repartition(max(1, len(files)))
+    return rows.mapInArrow(run, "file string, bytes long")
 
 
 def write_intervals(rows: DataFrame, path: str, kind: str = "csv", overwrite: bool = False) -> None:

@@ -215,7 +215,7 @@ def pcap_digests(spark, sf_dir):
     hours = crafted(spark, sf_dir).withColumn("path", F.concat(F.expr(f"ts_ns div {HOUR}").cast("string"), F.lit(".pcap")))
     root = scratch(spark, "hours")
     capture.write_pcaps(hours, root).count()
-    found = capture.digests(capture.read_binary(spark, root))
+    found = capture.file_digests(spark, root)
     return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "md5", "sha256", "length")
 
 

@@ -299,6 +299,30 @@ def digests(files: DataFrame) -> DataFrame:
     return files.select("path", F.md5("content").alias("md5"), F.sha1("content").alias("sha1"), F.sha2("content", 256).alias("sha256"), F.length("content").alias("length"))
 
 
+def file_digests(spark: SparkSession, path: str, recursive: bool = False, block: int = 1 << 22) -> DataFrame:
+    """As digests(), of files of any size, read block by block through pyarrow's file systems."""
+    import hashlib
+
+    files = discover(path, recursive)
+
+    def run(it):
+        store, _ = store_of(path.rpartition("/")[0] or "/")
+        for batch in it:
+            done = []
+            for name in batch.column("path").to_pylist():
+                sums, size = [hashlib.md5(), hashlib.sha1(), hashlib.sha256()], 0
+                with store.open_input_stream(name, compression=None) as f:
+                    while part := f.read(block):
+                        size += len(part)
+                        for s in sums:
+                            s.update(part)
+                done.append({"path": name, "md5": sums[0].hexdigest(), "sha1": sums[1].hexdigest(), "sha256": sums[2].hexdigest(), "length": size})
+            yield pa.RecordBatch.from_pylist(done, pa.schema([("path", pa.string()), ("md5", pa.string()), ("sha1", pa.string()), ("sha256", pa.string()), ("length", pa.int64())]))
+
+    rows = spark.createDataFrame([(p,) for p in files], "path string").repartition(max(1, len(files)))
+    return rows.mapInArrow(run, "path string, md5 string, sha1 string, sha256 string, length long")
+
+
 def pcap_record(snap_len: int = 65535) -> Column:
     """A packet's record, with microseconds; a time that has no place in it is an error."""
     from flowlake.functions.fields import to_bytes
