@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 
 # Code tables of the protocols.
 ETH_TYPE = {0x0800: "Ipv4", 0x0806: "Arp", 0x0808: "FrameRelayArp", 0x8100: "Vlan", 0x8137: "Novell8137", 0x8138: "Novell8138", 0x86DD: "Ipv6", 0x8847: "MplsUnicast", 0x8848: "MplsMulticast"}
-#: Protocol numbers from 0 in order.
-IP_PROTOCOL = dict(
-    enumerate(
-        """Hopopt Icmp Igmp Ggp Ipv4 St Tcp Cbt Egp Igp BbnRccMon NvpII Pup Argus Emcon Xnet Chaos Udp Mux DcnMeas Hmp Prm XnsIdp Trunk1 Trunk2 Leaf1 Leaf2 Rdp Irtp IsoTp4 Netblt MfeNsp MeritInp Dccp ThreePc Idpr Xtp Ddp IdprCmtp TpPlusPlus Il Ipv6 Sdrp Ipv6Route Ipv6Frag Idrp Rsvp Gre Dsr Bna Esp Ah INlsp Swipe Narp Mobile Tlsp Skip Ipv6Icmp Ipv6NoNxt Ipv6Opts AnyHostInternalProtocol Cftp AnyLocalNetwork SatExpak Kryptolan Rvd Ippc AnyDistributedFileSystem SatMon Visa Ipcv Cpnx Cphb Wsn Pvp BrSatMon SunNd WbMon WbExpak IsoIp Vmtp SecureVmtp Vines Iptm NsfnetIgp Dgp Tcf Eigrp Ospfigp SpriteRpc Larp Mtp Ax25 IpIp Micp SccSp Etherip Encap AnyPrivateEncryptionScheme Gmtp Ifmp Pnni Pim Aris Scps Qnx AN IpComp Snp CompaqPeer IpxInIp Vrrp Pgm Any0HopProtocol L2tp Ddx Iatp Stp Srp Uti Smp Sm Ptp IsisOverIpv4 Fire Crtp Crudp Sscopmce Iplt Sps Pipe Sctp Fc RsvpE2eIgnore MobilityHeader UdpLite MplsInIp Manet Hip Shim6 Wesp Rohc Ethernet Aggfrag Nsh""".split()
-    )
-)
+IP_PROTOCOL = {
+    0: "Hopopt", 1: "Icmp", 2: "Igmp", 3: "Ggp", 4: "Ipv4", 5: "St", 6: "Tcp", 7: "Cbt", 8: "Egp", 9: "Igp", 10: "BbnRccMon", 11: "NvpII", 12: "Pup", 13: "Argus", 14: "Emcon",
+    15: "Xnet", 16: "Chaos", 17: "Udp", 18: "Mux", 19: "DcnMeas", 20: "Hmp", 21: "Prm", 22: "XnsIdp", 23: "Trunk1", 24: "Trunk2", 25: "Leaf1", 26: "Leaf2", 27: "Rdp", 28: "Irtp",
+    29: "IsoTp4", 30: "Netblt", 31: "MfeNsp", 32: "MeritInp", 33: "Dccp", 34: "ThreePc", 35: "Idpr", 36: "Xtp", 37: "Ddp", 38: "IdprCmtp", 39: "TpPlusPlus", 40: "Il", 41: "Ipv6",
+    42: "Sdrp", 43: "Ipv6Route", 44: "Ipv6Frag", 45: "Idrp", 46: "Rsvp", 47: "Gre", 48: "Dsr", 49: "Bna", 50: "Esp", 51: "Ah", 52: "INlsp", 53: "Swipe", 54: "Narp", 55: "Mobile",
+    56: "Tlsp", 57: "Skip", 58: "Ipv6Icmp", 59: "Ipv6NoNxt", 60: "Ipv6Opts", 61: "AnyHostInternalProtocol", 62: "Cftp", 63: "AnyLocalNetwork", 64: "SatExpak", 65: "Kryptolan",
+    66: "Rvd", 67: "Ippc", 68: "AnyDistributedFileSystem", 69: "SatMon", 70: "Visa", 71: "Ipcv", 72: "Cpnx", 73: "Cphb", 74: "Wsn", 75: "Pvp", 76: "BrSatMon", 77: "SunNd",
+    78: "WbMon", 79: "WbExpak", 80: "IsoIp", 81: "Vmtp", 82: "SecureVmtp", 83: "Vines", 84: "Iptm", 85: "NsfnetIgp", 86: "Dgp", 87: "Tcf", 88: "Eigrp", 89: "Ospfigp",
+    90: "SpriteRpc", 91: "Larp", 92: "Mtp", 93: "Ax25", 94: "IpIp", 95: "Micp", 96: "SccSp", 97: "Etherip", 98: "Encap", 99: "AnyPrivateEncryptionScheme", 100: "Gmtp", 101: "Ifmp",
+    102: "Pnni", 103: "Pim", 104: "Aris", 105: "Scps", 106: "Qnx", 107: "AN", 108: "IpComp", 109: "Snp", 110: "CompaqPeer", 111: "IpxInIp", 112: "Vrrp", 113: "Pgm",
+    114: "Any0HopProtocol", 115: "L2tp", 116: "Ddx", 117: "Iatp", 118: "Stp", 119: "Srp", 120: "Uti", 121: "Smp", 122: "Sm", 123: "Ptp", 124: "IsisOverIpv4", 125: "Fire",
+    126: "Crtp", 127: "Crudp", 128: "Sscopmce", 129: "Iplt", 130: "Sps", 131: "Pipe", 132: "Sctp", 133: "Fc", 134: "RsvpE2eIgnore", 135: "MobilityHeader", 136: "UdpLite",
+    137: "MplsInIp", 138: "Manet", 139: "Hip", 140: "Shim6", 141: "Wesp", 142: "Rohc", 143: "Ethernet", 144: "Aggfrag", 145: "Nsh",
+}
 ARPHRD = {0: "NETROM", 1: "ETHER", 2: "EETHER", 3: "AX25", 4: "PRONET", 5: "CHAOS", 6: "IEEE802", 7: "ARCNET", 8: "APPLETLK", 15: "DLCI", 19: "ATM", 23: "METRICOM", 24: "IEEE1394", 27: "EUI64", 32: "INFINIBAND", 256: "SLIP", 257: "CSLIP", 258: "SLIP6", 259: "CSLIP6", 260: "RSRVD", 264: "ADAPT", 270: "ROSE", 271: "X25", 272: "HWX25", 280: "CAN", 290: "MCTP", 512: "PPP", 513: "CISCOHDLC", 516: "LAPB", 517: "DDCMP", 518: "RAWHDLC", 519: "RAWIP", 768: "TUNNEL", 769: "TUNNEL6", 770: "FRAD", 771: "SKIP", 772: "LOOPBACK", 773: "LOCALTLK", 774: "FDDI", 775: "BIF", 776: "SIT", 777: "IPDDP", 778: "IPGRE", 779: "PIMREG", 780: "HIPPI", 781: "ASH", 782: "ECONET", 783: "IRDA", 784: "FCPP", 785: "FCAL", 786: "FCPL", 787: "FCFABRIC", 800: "IEEE802TR", 801: "IEEE80211", 802: "IEEE80211PRISM", 803: "IEEE80211RADIOTAP", 804: "IEEE802154", 805: "IEEE802154PHY", 0xFFFE: "NONE", 0xFFFF: "VOID"}
 ARP_OPERATION = {0: "Reserved", 1: "Request", 2: "Reply", 3: "RequestReverse", 4: "ReplyReverse", 5: "DrarpRequest", 6: "DrarpReply", 7: "DrarpError", 8: "InArpRequest", 9: "InArpReply", 10: "ArpNak", 11: "MarsRequest", 12: "MarsMulti", 13: "MarsMServ", 14: "MarsJoin", 15: "MarsLeave", 16: "MarsNak", 17: "MarsUnserv", 18: "MarsSJoin", 19: "MarsSLeave", 20: "MarsGrouplistRequest", 21: "MarsGrouplistReply", 22: "MarsRedirectMap", 23: "MaposUnarp", 24: "OpExp1", 25: "OpExp2"}
 ARP_HARDWARE = {0: "Reserved", 1: "Ethernet", 2: "ExperimentalEthernet", 3: "AmateurRadioAx25", 4: "ProteonPronetTokenRing", 5: "Chaos", 6: "Ieee802Networks", 7: "Arcnet", 8: "Hyperchannel", 9: "Lanstar", 10: "AutonetShortAddress", 11: "Localtalk", 12: "Localnet", 13: "Ultralink", 14: "Smds", 15: "FrameRelay", 16: "Atm16", 17: "Hdlc", 18: "FibreChannel", 19: "Atm19", 20: "SerialLine", 21: "Atm21", 22: "MilStd188220", 23: "Metricom", 24: "Ieee1394", 25: "Mapos", 26: "Twinaxial", 27: "Eui64", 28: "Hiparp", 29: "Iso7816_3", 30: "ArpSec", 31: "IpsecTunnel", 32: "InfiniBand", 33: "Tia102", 34: "WiegandInterface", 35: "PureIp", 36: "HwExp1", 37: "Hfi", 38: "UnifiedBus", 256: "HwExp2", 257: "AEthernet"}
