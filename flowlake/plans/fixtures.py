@@ -78,8 +78,8 @@ FIELDS = {
 
 
 
-def _literal(v: str | None) -> str:
-    return "CAST(NULL AS VARCHAR)" if v is None else "'" + v.replace("'", "''") + "'"
+def _literal(v: str) -> str:
+    return "'" + v.replace("'", "''") + "'"
 
 
 def expected(rows: list[tuple], names: str) -> str:
@@ -127,14 +127,14 @@ def _json(value: Column) -> Column:
 
 
 # Option areas and single options: bytes, what reads them, and the text of what is read.
-OPTIONS: dict[str, tuple[str, Callable[[Column], Column], str | None]] = {
+OPTIONS: dict[str, tuple[str, Callable[[Column], Column], str]] = {
     "ipv4 options": (_V4, lambda h: _kinds(options.ipv4_options(h)), "1:1 148:4 0:1"),
     "tcp options": (_TCP, lambda h: _kinds(options.tcp_options(h)), "2:4 1:1 3:3 4:2 0:1"),
     "tcp options cut": ("0050006000000000000000006002200000000000" + "02090000", lambda h: _kinds(options.tcp_options(h)), "2:4!"),
     "dhcp options": ("00" * 240 + "3501010032040a00000bff", lambda h: _kinds(options.dhcp_options(h)), "53:1 0:1 50:4 255:1"),
     "sctp chunks": (_SCTP, lambda h: _kinds(options.sctp_chunks(h)), "0:16 6:5"),
     "segment size": ("05b4", lambda d: options.maximum_segment_size(d).cast("string"), "1460"),
-    "segment size cut": ("05", lambda d: options.maximum_segment_size(d).cast("string"), None),
+    "segment size cut": ("05", lambda d: options.maximum_segment_size(d).cast("string"), "none"),
     "window scale": ("07", lambda d: options.window_scale(d).cast("string"), "7"),
     "sack": ("00000001000000020000000300000004", lambda d: _json(options.sack_blocks(d)), '[{"left":1,"right":2},{"left":3,"right":4}]'),
     "timestamp": ("0000000100000002", lambda d: _json(options.tcp_timestamp(d)), '{"value":1,"echo":2}'),
@@ -142,7 +142,7 @@ OPTIONS: dict[str, tuple[str, Callable[[Column], Column], str | None]] = {
     "authentication": ("0102aabbccdd", lambda d: F.concat_ws("/", options.tcp_authentication(d)["key_id"].cast("string"), options.tcp_authentication(d)["next_key_id"].cast("string"), F.hex(options.tcp_authentication(d)["mac"])), "1/2/AABBCCDD"),
     "multipath": ("1001", lambda d: F.concat_ws("/", options.multipath(d)["subtype"].cast("string"), options.multipath(d)["low"].cast("string"), F.hex(options.multipath(d)["body"])), "1/0/01"),
     "fast open": ("01020304", lambda d: F.hex(options.fast_open_cookie(d)), "01020304"),
-    "fast open odd": ("0102030405", lambda d: F.hex(options.fast_open_cookie(d)), None),
+    "fast open odd": ("0102030405", lambda d: F.hex(options.fast_open_cookie(d)), "none"),
     "router alert": ("0000", lambda d: options.router_alert(d).cast("string"), "0"),
     "stream id": ("002a", lambda d: options.stream_id(d).cast("string"), "42"),
     "mtu": ("05dc", lambda d: options.mtu(d).cast("string"), "1500"),
@@ -165,7 +165,7 @@ SQL["fixture_options"] = expected([(n, v) for n, (_, _, v) in OPTIONS.items()],
 
 def fixture_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Options, chunks and messages of known bytes."""
-    parts = [spark.createDataFrame([(n, bytearray.fromhex(h))], "name string, h binary").select("name", f(F.col("h")).alias("value")) for n, (h, f, _) in OPTIONS.items()]
+    parts = [spark.createDataFrame([(n, bytearray.fromhex(h))], "name string, h binary").select("name", F.coalesce(f(F.col("h")), F.lit("none")).alias("value")) for n, (h, f, _) in OPTIONS.items()]
     return reduce(DataFrame.unionByName, parts)
 
 

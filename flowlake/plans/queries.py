@@ -295,21 +295,21 @@ def flow_full_features(spark, sf_dir):
 #: UDP packets here go to or from port 53, so 12 bytes of payload or more read as DNS.
 METADATA_SQL = f""" SELECT frame_no, 'Eth,Ipv4,' || CASE WHEN proto = 6 THEN 'Tcp' ELSE 'Udp' END || CASE WHEN payload = 0 THEN '' WHEN proto = 17 AND payload >= 12 THEN ',Dns' ELSE ',Raw' END AS layers,
     CAST(2048 AS BIGINT) AS eth_type, {_IP.format('src_ip')} AS src_ip, {_IP.format('dst_ip')} AS dst_ip, proto AS ip_proto, CAST(0 AS BIGINT) AS tos, CAST(frame_no % 200 + 20 AS BIGINT) AS ttl, src_port, dst_port,
-    CASE WHEN proto = 6 THEN tcp_flags END AS tcp_flags, CASE WHEN proto = 6 THEN CAST(4096 AS BIGINT) END AS tcp_window, CASE WHEN proto = 6 THEN CAST(5 AS BIGINT) END AS tcp_data_offset,
-    CASE WHEN proto = 17 THEN CAST(payload + 8 AS BIGINT) END AS udp_length, CAST(payload + header_len + 20 AS BIGINT) AS l3_len, true AS parsed
+    CASE WHEN proto = 6 THEN tcp_flags ELSE -1 END AS tcp_flags, CAST(CASE WHEN proto = 6 THEN 4096 ELSE -1 END AS BIGINT) AS tcp_window, CAST(CASE WHEN proto = 6 THEN 5 ELSE -1 END AS BIGINT) AS tcp_data_offset,
+    CAST(CASE WHEN proto = 17 THEN payload + 8 ELSE -1 END AS BIGINT) AS udp_length, CAST(payload + header_len + 20 AS BIGINT) AS l3_len, true AS parsed
   FROM pk"""
 
 
 @query(METADATA_SQL)
 def dissect_metadata(spark, sf_dir):
-    """The report's columns of every packet, TCP and UDP, and the names of its layers."""
+    """The report's columns of every packet, TCP and UDP, and the names of its layers; -1 stands for what a packet doesn't have."""
     from flowlake.functions.net import address_text
     from flowlake.operators import dissect
 
     rows = dissect.dissect(crafted(spark, sf_dir).select("path", "frame_no", "ts_ns", "orig_len", "data", "link_type"))
     names = F.array_join(F.col("layers.protocol"), ",").alias("layers")
-    columns = ("eth_type", "ip_proto", "tos", "ttl", "src_port", "dst_port", "tcp_flags", "tcp_window", "tcp_data_offset", "udp_length", "l3_len", "parsed")
-    return dissect.metadata(rows, names).select("frame_no", "layers", *[address_text(F.col(f"{s}_addr")).alias(f"{s}_ip") for s in ("src", "dst")], *columns)
+    numbers = [F.coalesce(c, F.lit(-1)).alias(c) for c in ("eth_type", "ip_proto", "tos", "ttl", "src_port", "dst_port", "tcp_flags", "tcp_window", "tcp_data_offset", "udp_length", "l3_len")]
+    return dissect.metadata(rows, names).select("frame_no", "layers", *[address_text(F.col(f"{s}_addr")).alias(f"{s}_ip") for s in ("src", "dst")], *numbers, "parsed")
 
 
 # Queries of their own modules.

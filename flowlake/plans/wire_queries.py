@@ -272,8 +272,8 @@ def pcapng_packets(spark, sf_dir):
 
 @query(
     f""" , p AS (SELECT {_PART} AS file, count(*) AS n, CAST(sum(frame_no % 4) AS BIGINT) AS flags, CAST(sum(44 + length(frame) // 2 + (-(length(frame) // 2)) % 4 + CASE WHEN length(frame) // 2 % 4 > 0 THEN 4 ELSE 0 END) AS BIGINT) AS bytes FROM fr GROUP BY 1)
-  SELECT file, 'packet' AS role, CAST(6 AS BIGINT) AS block_type, n AS blocks, flags, bytes, CAST(NULL AS VARCHAR) AS name FROM p
-  UNION ALL SELECT file, role, CAST(kind AS BIGINT), CAST(1 AS BIGINT), CAST(NULL AS BIGINT), CAST(size AS BIGINT), name FROM p, (VALUES ('section', 168627466, 44, 'bench'), ('interface', 1, 40, 'eth0'), ('interface', 1, 32, 'eth1'), ('other', 2989, 16, NULL)) AS t(role, kind, size, name)""",
+  SELECT file, 'packet' AS role, CAST(6 AS BIGINT) AS block_type, n AS blocks, flags, bytes, '' AS name FROM p
+  UNION ALL SELECT file, role, CAST(kind AS BIGINT), CAST(1 AS BIGINT), CAST(0 AS BIGINT), CAST(size AS BIGINT), name FROM p, (VALUES ('section', 168627466, 44, 'bench'), ('interface', 1, 40, 'eth0'), ('interface', 1, 32, 'eth1'), ('other', 2989, 16, '')) AS t(role, kind, size, name)""",
     FRAMES_SQL,
 )
 def pcapng_blocks(spark, sf_dir):
@@ -283,8 +283,8 @@ def pcapng_blocks(spark, sf_dir):
     files = capture.read_binary(spark, pcapng_files(spark, sf_dir))
     rows = capture.read_blocks(files).where("error is null")
     first = lambda k: F.try_element_at("options", F.lit(k))[0]
-    rows = rows.select(file_of().alias("file"), "role", "block_type", F.length("raw").cast("bigint").alias("size"), fields.unsigned(first("flags")).alias("flag"), F.coalesce(first("name"), first("hardware")).cast("string").alias("name"))
-    return rows.groupBy("file", "role", "block_type", "name").agg(F.count(F.lit(1)).alias("blocks"), F.sum("flag").alias("flags"), F.sum("size").alias("bytes")).select("file", "role", "block_type", "blocks", "flags", "bytes", "name")
+    rows = rows.select(file_of().alias("file"), "role", "block_type", F.length("raw").cast("bigint").alias("size"), fields.unsigned(first("flags")).alias("flag"), F.coalesce(first("name").cast("string"), first("hardware").cast("string"), F.lit("")).alias("name"))
+    return rows.groupBy("file", "role", "block_type", "name").agg(F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum("flag"), F.lit(0)).alias("flags"), F.sum("size").alias("bytes")).select("file", "role", "block_type", "blocks", "flags", "bytes", "name")
 
 
 @query(f" SELECT DISTINCT {_PART} AS file, 0 AS section, i AS interface_id, 1 AS link_type, s AS snap_len, 10 AS res_base, r AS res_exp, CAST(1 AS INTEGER) AS major, CAST(0 AS INTEGER) AS minor, CAST(-1 AS BIGINT) AS length, 'bench' AS hardware FROM fr, (VALUES (0, CAST(4096 AS BIGINT), 9), (1, CAST(8192 AS BIGINT), 6)) AS t(i, s, r)", FRAMES_SQL)
@@ -323,11 +323,7 @@ DAMAGED = {
 }
 
 
-def _literal(v) -> str:
-    return "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v + "'"
-
-
-SQL["damaged_captures"] = "SELECT name, CAST(packets AS BIGINT) AS packets, CAST(last_ns AS BIGINT) AS last_ns, error FROM (VALUES " + ", ".join(f"('{n}', {p}, {_literal(t)}, CAST({_literal(e)} AS VARCHAR))" for n, (_, p, t, e) in DAMAGED.items()) + ") AS t(name, packets, last_ns, error)"
+SQL["damaged_captures"] = "SELECT name, CAST(packets AS BIGINT) AS packets, CAST(last_ns AS BIGINT) AS last_ns, error FROM (VALUES " + ", ".join(f"('{n}', {p}, {-1 if t is None else t}, '{e or ''}')" for n, (_, p, t, e) in DAMAGED.items()) + ") AS t(name, packets, last_ns, error)"
 
 
 def damaged_captures(spark, sf_dir):
@@ -337,7 +333,7 @@ def damaged_captures(spark, sf_dir):
     rows = capture.read_packets(files)
     bad = F.col("error").isNotNull()
     counts = rows.groupBy(F.col("path").alias("name")).agg(F.count_if(~bad).alias("packets"), F.max(F.when(~bad, F.col("ts_ns"))).alias("last_ns"), F.max(F.split_part("error", F.lit(":"), F.lit(1))).alias("error"))
-    return files.select(F.col("path").alias("name")).join(counts, "name", "left").select("name", F.coalesce("packets", F.lit(0)).alias("packets"), "last_ns", "error")
+    return files.select(F.col("path").alias("name")).join(counts, "name", "left").select("name", F.coalesce("packets", F.lit(0)).alias("packets"), F.coalesce("last_ns", F.lit(-1)).alias("last_ns"), F.coalesce("error", F.lit("")).alias("error"))
 
 
 QUERIES["damaged_captures"] = damaged_captures
