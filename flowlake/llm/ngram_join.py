@@ -329,20 +329,27 @@ def candidates(entries: DataFrame, block: int, percent: int, lot: int = LOT) ->
 
 
 def searched_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The merge of one document's lists after the other's; rows come sorted by document and part."""
+    """The merge of one document's lists after the other's; rows come sorted by document and part.
+
+    Entries stay in Arrow's buffers until their document's turn, so one document's part is all that is held as objects.
+    """
     now, k, lists = None, 0, []
 
     def found() -> pa.RecordBatch:
-        docs = merge_short(lists, k)
+        docs = merge_short([list(zip(d.tolist(), n.tolist(), strict=True)) for d, n in lists], k)
         return pa.RecordBatch.from_arrays([pa.array([now[0]] * len(docs), pa.int64()), pa.array(docs, pa.int64())], ["a", "b"])
 
     for batch in batches:
-        for a, part, own, docs, ks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (a, part) != now:
+        a, part, own = (batch.column(c).to_numpy() for c in ("a", "part", "k"))
+        docs, ks = (batch.column(c) for c in ("docs", "ks"))
+        ends = docs.offsets.to_numpy()
+        values = [x.values.to_numpy() for x in (docs, ks)]
+        for i in range(batch.num_rows):
+            if (a[i], part[i]) != now:
                 if lists:
                     yield found()
-                now, k, lists = (a, part), own, []
-            lists.append(list(zip(docs, ks, strict=True)))
+                now, k, lists = (a[i], part[i]), int(own[i]), []
+            lists.append(tuple(v[ends[i] : ends[i + 1]].copy() for v in values))
     if lists:
         yield found()
 
