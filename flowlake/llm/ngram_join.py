@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlake.llm import windows
-from flowlake.llm.common import texts, written
+from flowlake.llm.common import SCRATCH, drop_scratch, texts, written, written_at
 from flowlake.llm.components import components
 from flowlake.llm.windows import U
 
@@ -357,7 +357,8 @@ def searched_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, chunk_bytes: int = 4 << 20, block: int = 512, lot: int = LOT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included)."""
     docs = texts(docs)
-    sets = written(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(signatures(n), "doc_id long, n long, d1 long, d2 long"), "gram-sets")
+    since = len(SCRATCH)
+    sets, sets_path = written_at(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(signatures(n), "doc_id long, n long, d1 long, d2 long"), "gram-sets")
     classes = sets.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     shape = windows.shape(docs, chunk_bytes, 6)
     chunks, buckets = shape.chunks, shape.buckets
@@ -375,12 +376,13 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, chunk_bytes: int
     entries = entries.select("gram", "doc", "n", "k", ((F.col("n") - overlap + F.col("k") - F.col("p")) + F.col("i")).cast("long").alias("at"))
     #: Rows that repeat a doc_id are one node, so it links the classes of its texts.
     repeated = sets.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
-    tied = written(sets.where("n > 0").join(repeated, "doc_id").join(classes, ["n", "d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "gram-repeats")
+    tied, tied_path = written_at(sets.where("n > 0").join(repeated, "doc_id").join(classes, ["n", "d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "gram-repeats")
     near = written(linked(leaders(entries), searched, percent).unionByName(tied), "gram-leaders")
     found = components(near, "gram-components")
     grouped = entries.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     rest = linked(candidates(grouped, block, percent, lot), searched, percent)
     final = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest), "gram-components")
+    drop_scratch(docs.sparkSession, since, keep=(sets_path, tied_path, SCRATCH[-1]))  # the last one is `final`
     named = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
     # A null-safe order of joins: classes are one row a set, so the large side only meets one.
     out = sets.where("n > 0 or doc_id is null").join(named, ["n", "d1", "d2"], "left").select("doc_id", "n", "component")
