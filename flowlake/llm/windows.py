@@ -589,17 +589,18 @@ def shape(docs: DataFrame, chunk_bytes: int, token_bytes: int) -> Shape:
     return Shape(max(2 * n, chunks), max(n, math.ceil(size / token_bytes / (1 << 22))), math.ceil(size / TASK_BYTES))
 
 
-def earliest(rows: DataFrame, keys: tuple[str, ...], salts: int, *more) -> tuple[DataFrame, DataFrame]:
-    """Rows with their rank among those of equal keys, by place: (rows that aren't hot, hot ones).
+def earliest(rows: DataFrame, keys: tuple[str, ...], salts: int, *more) -> DataFrame:
+    """Rows with their rank among those of equal keys, by place, and the columns in more.
 
     All rows of a key meet in one task, but hot ones first in `salts` parts, of which only the first of each goes on.
+    Conditions name the rank, so that none moves below the exchange and both branches read the same one.
     """
     place = ("doc", "pos", "chunk")
     parts = rows.withColumn("salt", F.when(F.col("hot"), F.pmod("chunk", F.lit(salts)) + 1).otherwise(0)).repartition(keys[0], "salt")
     first = parts.select("*", F.row_number().over(Window.partitionBy(*keys, "salt").orderBy(*place)).alias("rank"), *more)
-    again = first.where("salt > 0 and rank > 1").drop("salt")
-    last = first.where("salt > 0 and rank = 1").withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*place))).drop("salt")
-    return first.where("salt = 0").drop("salt"), again.unionByName(last)
+    done = first.where(F.when(F.col("rank") > 1, True).otherwise(F.col("salt") == 0))
+    left = first.where(F.when(F.col("rank") > 1, False).otherwise(F.col("salt") > 0))
+    return done.unionByName(left.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*place)))).drop("salt")
 
 
 def repeats(rows: DataFrame, matched: DataFrame, spec: Spec, buckets: int, live_from: int = 0, hot: int = HOT, salts: int = SALTS) -> DataFrame:
@@ -612,8 +613,7 @@ def repeats(rows: DataFrame, matched: DataFrame, spec: Spec, buckets: int, live_
     stretch = keyed.cogroup(matched.groupBy("chunk")).applyInArrow(lean(lambda a, b: candidates(a, b, spec, buckets, live_from)), STRETCH)
     alike = Window.partitionBy("h", "salt")
     unlike = (F.max("state").over(alike) > ONE) | (F.min("r1").over(alike) != F.max("r1").over(alike)) | (F.min("r2").over(alike) != F.max("r2").over(alike))
-    calm, hot_ones = earliest(stretch, ("h", "r1", "r2"), salts, unlike.alias("open"))
-    ranked = calm.where("rank > 1 or open").unionByName(hot_ones)
+    ranked = earliest(stretch, ("h", "r1", "r2"), salts, unlike.alias("open")).where("rank > 1 or open or hot")
     known = ranked.select("chunk", F.when((F.col("rank") > 1) | (F.col("state") == AGAIN), REPEAT).otherwise(OPEN).alias("kind"), "doc", "pos", "n")
     prints = keyed.cogroup(known.groupBy("chunk")).applyInArrow(lean(lambda a, b: window_fingerprints(a, b, spec, buckets)), PRINTS)
     seen = prints.groupBy("bucket").applyInArrow(match(hot), MATCHED)
@@ -621,6 +621,5 @@ def repeats(rows: DataFrame, matched: DataFrame, spec: Spec, buckets: int, live_
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("bucket", "long"), ("fps", "binary"), ("hot", "binary"))]
     both = known.select("*", *nothing).unionByName(seen.select("chunk", *none, "bucket", "fps", "hot"))
     window = keyed.cogroup(both.groupBy("chunk")).applyInArrow(lean(lambda a, b: repeated_windows(a, b, spec, buckets)), "w1 long, w2 long, doc long, pos long, chunk long, hot boolean")
-    calm, hot_ones = earliest(window, ("w1", "w2"), salts)
-    twice = calm.unionByName(hot_ones).where("rank > 1")
+    twice = earliest(window, ("w1", "w2"), salts).where("rank > 1")
     return known.unionByName(twice.select("chunk", F.lit(REPEAT).alias("kind"), "doc", "pos", F.lit(1).cast("long").alias("n")))
