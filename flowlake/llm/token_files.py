@@ -19,7 +19,8 @@ place among all ids follows from file totals, one row per file.
 `read_token_files` gives documents back; `read_document` reads one document by its offset.
 
 Tokens: texts are cut at ASCII white space, which no pre-token of the tokenizer spans, and
-each distinct piece of a block is encoded by the tokenizers library once (`Encoder`).
+each distinct piece of a block is encoded by the tokenizers library once and held (`Encoder`).
+When the table is full, pieces that came in one block only are dropped first.
 Texts for which that might differ (non-ASCII white space, the vocabulary's special
 strings, characters that compose across a cut) are encoded whole.
 
@@ -37,9 +38,12 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import islice
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,14 +57,21 @@ SAMPLE_BYTES = 16_384
 HELD_CHARS = 48
 #: Texts of characters up to U+00FF are cut and lowered by Python; these have another meaning there, or are the separator or a special's begin.
 UNSAFE_LATIN = "\x01\x1c\x1d\x1e\x1f\x85\xa0"
-#: In other texts also white space that str.split() and the tokenizer treat unlike, and marks that compose with a space before them.
+#: In other texts also white space at which they are not cut, and marks that compose with a space before them.
 UNSAFE = re.compile("[\x01\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|[ \t-\r][\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u3099-\u309c\ufe20-\ufe2f]|<\\|")
 #: Punctuation before a comma or point: the run is one pre-token and stays uncut.
-RUN = re.compile(r"[^\w\s][.,]|_[.,]")
+RUN = re.compile(r"[.,](?<=[\W_].)(?<=\S.)")
+#: Punctuation that ends a piece is a pre-token of its own. An apostrophe is not: it may begin a clitic.
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The parts of a tokenizer file under which texts may be cut at white space.
 SHAPE = {"normalizer": ["NFC", "Replace", "Lowercase"], "pre_tokenizer": ["Split", "ByteLevel"]}
 
 
+def is_word(piece: str) -> bool:
+    """Small letters up to U+00FF alone: one pre-token, which the normalizer leaves as it is."""
+    return piece.isalpha() and piece.islower() and (piece.isascii() or max(piece) <= "\xff")
+
+
 class Encoder:
     """Encodes texts by their pieces where the tokenizer's parts allow that, else whole."""
 
@@ -71,43 +82,46 @@ class Encoder:
         self.wide = self.library.get_vocab_size() > 1 << 16
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         self.size, self.ids = held, {}
+        #: Pieces of more than one block since the table was last full.
+        self.again: set[str] = set()
         parts = json.loads(self.library.to_str())
         shape = {"normalizer": [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", [])], "pre_tokenizer": [x["type"] for x in (parts["pre_tokenizer"] or {}).get("pretokenizers", [])]}
-        suffix = parts["model"].get("end_of_word_suffix")
         mark = self.library.encode(SEPARATOR, add_special_tokens=False).ids
-        self.cuts = shape == SHAPE and bool(suffix) and len(mark) == 1
+        self.cuts = shape == SHAPE and len(mark) == 1
         if self.cuts:
             self.mark = mark[0]
-            #: Whole words need no pattern and no normalizer; the ids that end a word divide them.
-            self.words = Tokenizer(self.library.model)
-            self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-            self.ends = np.zeros(self.library.get_vocab_size(), bool)
-            self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith(suffix)]] = True
+            #: Whole words need no pattern and no normalizer: the model alone encodes them, spelled in its letters for bytes.
+            self.model, level = self.library.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.letters = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in map(chr, range(256)) if c.isalpha()})
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def pieces(self, text: str) -> list[str] | None:
-        """Parts of the text whose ids, joined, are the text's; None if it is to be encoded whole."""
+    def spaced(self, text: str) -> str | None:
+        """The text with white space between parts whose ids, joined, are the text's; None if it is to be encoded whole."""
         if not self.cuts or "<|" in text:
             return None
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return None if UNSAFE.search(text) else text.split()
+            return None if UNSAFE.search(text) else text
         if any(c in text for c in UNSAFE_LATIN):
             return None
         text = text.lower()
-        return text.split() if RUN.search(text) else (text + " ").replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ").split()
+        return text if RUN.search(text) else (text + " ").replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
 
     def _divided(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
         w = self.dtype.itemsize
         return [raw[a:b] for a, b in zip((starts * w).tolist(), (ends * w).tolist(), strict=True)]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        return self._divided(ids.tobytes(), np.concatenate([[0], ends[:-1]]), ends)
+        tokenize, number = self.model.tokenize, attrgetter("id")
+        ids, ends = [], [0]
+        for w in words:
+            ids.extend(map(number, tokenize(w if w.isascii() else w.translate(self.letters))))
+            ends.append(len(ids))
+        places = np.array(ends)
+        return self._divided(np.array(ids, self.dtype).tobytes(), places[:-1], places[1:])
 
     def _others(self, pieces: list[str]) -> list[bytes]:
         ids = np.array(self.library.encode_batch_fast([f" {SEPARATOR} ".join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
@@ -116,26 +130,42 @@ class Encoder:
             return [self.whole(p) for p in pieces]
         return self._divided(ids.tobytes(), np.concatenate([[0], cuts + 1]), np.append(cuts, len(ids)))
 
-    def _learn(self, pieces: set[str]) -> None:
-        words, others = [], []
+    def _learned(self, pieces: list[str]) -> dict[str, bytes]:
+        words, others, tailed = [], [], []
         for p in pieces:
-            (words if p.isalpha() and p == p.lower() and (p.isascii() or max(p) <= "\xff") else others).append(p)
-        for kind, encode in ((words, self._words), (others, self._others)):
-            if kind:
-                self.ids.update(zip(kind, encode(kind), strict=True))
+            if is_word(p):
+                words.append(p)
+            elif is_word(head := p.rstrip(TAIL)):
+                tailed.append((p, head, p[len(head) :]))
+            else:
+                others.append(p)
+        found = dict(zip(words, self._words(words), strict=True))
+        more = {p: self.ids.get(p) or found.get(p) for _, *parts in tailed for p in parts}
+        heads = [p for p, ids in more.items() if ids is None and is_word(p)]
+        others += {p for p, ids in more.items() if ids is None and not is_word(p)}.difference(others)
+        more.update(zip(heads, self._words(heads), strict=True))
+        if others:
+            more.update(zip(others, self._others(others), strict=True))
+        found.update((p, more[head] + more[tail]) for p, head, tail in tailed)
+        return {p: found.get(p) or more[p] for p in pieces}
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        split = [self.pieces(t) for t in batch]
-        every = set().union(*filter(None, split))
-        new = every.difference(self.ids)
+        spaced = [self.spaced(t) for t in batch]
+        lists = pc.ascii_split_whitespace(pa.array([t or "" for t in spaced], pa.large_string()))
+        pieces = lists.flatten().dictionary_encode()
+        every = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.ids.get, every))
+        new = [p for p, known in zip(every, ids, strict=True) if known is None]
+        self.again.update(p for p, known in zip(every, ids, strict=True) if known is not None)
         if len(self.ids) + len(new) > self.size:
-            self.ids, new = {}, every
-        self._learn(new)
-        out = [self.whole(t) if pieces is None else b"".join(map(self.ids.__getitem__, pieces)) for t, pieces in zip(batch, split, strict=True)]
-        for p in new:
-            if len(p) > HELD_CHARS:
-                del self.ids[p]
-        return out
+            kept = islice(self.again, self.size // 2)
+            self.ids, self.again = {p: self.ids[p] for p in kept}, set()
+        learned = self._learned(new)
+        self.ids.update((p, x) for p, x in learned.items() if len(p) <= HELD_CHARS)
+        joined = pa.array([learned[p] if known is None else known for p, known in zip(every, ids, strict=True)], pa.large_binary()).take(pieces.indices)
+        places = np.frombuffer(joined.buffers()[1], "<i8", len(joined) + 1)[lists.offsets.to_numpy()].tolist()
+        raw = memoryview(joined.buffers()[2] or b"")
+        return [self.whole(t) if s is None else raw[a:b].tobytes() for t, s, a, b in zip(batch, spaced, places, places[1:], strict=False)]
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -565,6 +565,30 @@ def test_pieces_of_words_are_the_whole_text():
         assert enc.encode(cases[k : k + 9]) == [enc.whole(t) for t in cases[k : k + 9]]
 
 
+def test_words_and_their_tails_are_the_whole_text():
+    enc = token_files.Encoder(tokenizer_path("word_bpe_49k.json"), held=60)
+    rng = random.Random(3)
+    letters = [c for c in map(chr, range(256)) if c.isalpha()]
+    tails = ["", "", "###", ",%%%", ".***", "!!", "'", "'s", ".'", "_", "-", "\"", ")", "~^`", "&&&.", ",,", "²", "1."]
+    word = lambda: rng.choice(["", "", "(", "'"]) + "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 4, 60]))) + rng.choice(tails)
+    cases = [*letters, "".join(letters), "", " ", *(rng.choice([" ", "\n", "\f\v "]).join(word() for _ in range(rng.randint(0, 9))) + rng.choice(["", " ", " Ж"]) for _ in range(900))]
+    for k in range(0, len(cases), 11):
+        assert enc.encode(cases[k : k + 11]) == [enc.whole(t) for t in cases[k : k + 11]]
+
+
+def test_full_table_keeps_usual_words():
+    enc = token_files.Encoder(tokenizer_path("word_bpe_49k.json"), held=100)
+    learned, words = [], enc._words
+    enc._words = lambda w: learned.extend(w) or words(w)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    usual = ["usual" + c for c in alphabet]
+    for k in range(20):
+        text = " ".join(usual + ["rare" + alphabet[k] + c for c in alphabet])
+        assert enc.encode([text]) == [enc.whole(text)]
+        assert len(enc.ids) <= 100
+    assert sum(w in usual for w in learned) == len(usual)
+
+
 # op9
 
 
