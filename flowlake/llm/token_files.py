@@ -38,7 +38,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
-from itertools import islice
+from itertools import compress, islice
 from operator import attrgetter
 
 import numpy as np
@@ -53,6 +53,8 @@ MAGIC = b"FLTOK1\n"
 SEPARATOR = "\x01"
 #: Only texts up to this size serve to train the dictionary.
 SAMPLE_BYTES = 16_384
+#: Texts are encoded in blocks of about this size.
+BLOCK_BYTES = 8_000_000
 #: Longer pieces are encoded when they occur and not held.
 HELD_CHARS = 48
 #: Texts of characters up to U+00FF are cut and lowered by Python; these have another meaning there, or are the separator or a special's begin.
@@ -156,7 +158,7 @@ class Encoder:
         every = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
         ids = list(map(self.ids.get, every))
         new = [p for p, known in zip(every, ids, strict=True) if known is None]
-        self.again.update(p for p, known in zip(every, ids, strict=True) if known is not None)
+        self.again.update(compress(every, ids))
         if len(self.ids) + len(new) > self.size:
             kept = islice(self.again, self.size // 2)
             self.ids, self.again = {p: self.ids[p] for p in kept}, set()
@@ -233,6 +235,17 @@ class _Shard:
         return foot
 
 
+def blocks(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
+    """The rows (doc_id, text) in blocks: one ends with the row in which its texts pass BLOCK_BYTES."""
+    cuts, size = [0], 0
+    for at, n in enumerate(pc.binary_length(batch.column(1)).to_pylist(), 1):
+        size += n
+        if size > BLOCK_BYTES:
+            cuts.append(at)
+            size = 0
+    return [batch.slice(a, b - a) for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True) if b > a]
+
+
 def write_token_files(docs: DataFrame, root: str, tokenizer: str, end_id: int = 1, files: int | None = None, level: int = 3, sample_docs: int = 400, dictionary_bytes: int = 65_536) -> DataFrame:
     """Writes the files and returns the manifest: file, part, docs, tokens, dictionary_sha256 (one row a file).
 
@@ -254,8 +267,7 @@ def write_token_files(docs: DataFrame, root: str, tokenizer: str, end_id: int =
         shard = None
         end = np.array([end_id], enc.dtype).tobytes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for batch in blocks(whole):
                 shard = shard or _Shard(root, f"part-{part:06d}.fltok", held.value, level, enc.dtype.itemsize)
                 for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
                     shard.add(doc_id, ids + end)

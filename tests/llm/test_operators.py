@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -576,6 +577,14 @@ def test_words_and_their_tails_are_the_whole_text():
         assert enc.encode(cases[k : k + 11]) == [enc.whole(t) for t in cases[k : k + 11]]
 
 
+def test_blocks_end_by_bytes(monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK_BYTES", 10)
+    texts = ["éé", "é" * 9, "", "", "abc", "abcdefgh", "x" * 99, "y" * 10, ""]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    assert [b.column(1).to_pylist() for b in token_files.blocks(batch)] == [texts[:2], texts[2:6], texts[6:7], texts[7:]]
+    assert token_files.blocks(batch.slice(0, 0)) == []
+
+
 def test_full_table_keeps_usual_words():
     enc = token_files.Encoder(tokenizer_path("word_bpe_49k.json"), held=100)
     learned, words = [], enc._words
