@@ -54,7 +54,7 @@ SEPARATOR = "\x01"
 #: Only texts up to this size serve to train the dictionary.
 SAMPLE_BYTES = 16_384
 #: Texts are encoded in blocks of about this size.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 #: Longer pieces are encoded when they occur and not held.
 HELD_CHARS = 48
 #: Texts of characters up to U+00FF are cut and lowered by Python; these have another meaning there, or are the separator or a special's begin.
