@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlake.functions import fields
@@ -198,10 +198,12 @@ def pcap_roundtrip(spark, sf_dir):
     hours = crafted(spark, sf_dir).withColumn("path", F.concat(F.expr(f"ts_ns div {HOUR}").cast("string"), F.lit(".pcap")))
     root = scratch(spark, "hours")
     capture.write_pcaps(hours, root).count()
-    #: Frames are numbered within captures; the numbers of a capture's first frames are known, as every hour is a run of frames.
-    first = hours.groupBy(F.col("path").alias("name")).agg(F.min("frame_no").alias("first"))
-    back = registered(spark).read.format("capture").load(root).withColumn("name", F.element_at(F.split("path", "/"), -1))
-    return back.join(first, "name").select((F.col("first") + F.col("frame_no") - 1).alias("frame_no"), "ts_ns", "orig_len", F.col("cap_len").cast("bigint").alias("cap_len"), F.sha2("data", 256).alias("data_sha256"))
+    #: Frames are numbered within captures, where an hour's frames lie in order; they needn't follow each other in the table.
+    place = F.row_number().over(Window.partitionBy("path").orderBy("frame_no")).cast("bigint")
+    numbers = hours.select(F.col("path").alias("name"), place.alias("place"), "frame_no")
+    back = registered(spark).read.format("capture").load(root)
+    back = back.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("frame_no").alias("place"), "ts_ns", "orig_len", F.col("cap_len").cast("bigint").alias("cap_len"), F.sha2("data", 256).alias("data_sha256"))
+    return back.join(numbers, ["name", "place"]).select("frame_no", "ts_ns", "orig_len", "cap_len", "data_sha256")
 
 
 _PCAP = f"'A1B2C3D40002000400000000000000000000FFFF00000001' || string_agg({hexed('ts_ns // 1000000000', 8)} || {hexed('ts_ns % 1000000000 // 1000', 8)} || {hexed('length(frame) // 2', 8)} || {hexed('orig_len', 8)} || frame, '' ORDER BY frame_no)"
