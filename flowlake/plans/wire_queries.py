@@ -282,7 +282,7 @@ def pcapng_blocks(spark, sf_dir):
     """Blocks by kind, their bytes and what their options hold."""
     from flowlake.sources import capture
 
-    files = capture.read_binary(spark, pcapng_files(spark, sf_dir))
+    files = capture.listed(spark, pcapng_files(spark, sf_dir))
     rows = capture.read_blocks(files).where("error is null")
     first = lambda k: F.try_element_at("options", F.lit(k))[0]
     rows = rows.select(file_of().alias("file"), "role", "block_type", F.length("raw").cast("bigint").alias("size"), fields.unsigned(first("flags")).alias("flag"), F.coalesce(first("name").cast("string"), first("hardware").cast("string"), F.lit("")).alias("name"))

@@ -7,8 +7,9 @@
 A record's place follows from all records before it, so one file is one task; a folder of
 many files is many tasks.  A file of any size is read block by block, and rows leave as they
 are found.  Files are opened through pyarrow's file systems, so any store that pyarrow knows
-works; `read_binary` reads whole files through Spark's own (binaryFile, up to 2 GB each), for
-stores that only Spark knows and for digests.
+works, and `listed` names them for the readers of blocks, interfaces and sections; `read_binary`
+reads whole files through Spark's own (binaryFile, up to 2 GB each), for stores that only Spark
+knows and for digests.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ INTERFACES = "path string, section int, interface_id int, link_type int, snap_le
 ENDINGS = re.compile(r"\.(pcap|pcapng|cap)$", re.IGNORECASE)
 
 ARROW = pa.schema([("path", pa.string()), ("frame_no", pa.int64()), ("section", pa.int32()), ("interface_id", pa.int32()), ("ts_ns", pa.int64()), ("orig_len", pa.int64()), ("cap_len", pa.int32()), ("link_type", pa.int32()), ("data", pa.binary()), ("rec_offset", pa.int64()), ("rec_len", pa.int32()), ("error", pa.string())])
+BLOCK_ARROW = pa.schema([("path", pa.string()), ("block_index", pa.int64()), ("section", pa.int32()), ("block_type", pa.int64()), ("role", pa.string()), ("interface_id", pa.int32()), ("ts_ns", pa.int64()), ("frame_no", pa.int64()), ("rec_offset", pa.int64()), ("raw", pa.binary()), ("error", pa.string()), ("options", pa.map_(pa.string(), pa.list_(pa.binary())))])
 
 
 def row(path: str, r: codec.Record) -> tuple:
@@ -40,8 +42,8 @@ def row(path: str, r: codec.Record) -> tuple:
 BATCH_ROWS, BATCH_BYTES = 8192, 16 << 20
 
 
-def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW.types, strict=True)], schema=ARROW)
+def batch_of(rows: list[tuple], schema: pa.Schema = ARROW) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
 def batches(path: str, source: bytes | codec.Feed, options: dict) -> Iterator[pa.RecordBatch]:
@@ -251,39 +253,68 @@ def read_packets(files: DataFrame, **options) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, PACKETS)
 
 
+def listed(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """path, store of capture files, one a task.  Readers of blocks, interfaces and sections open them and read them block by block, so files of any size need no memory."""
+    files = [(p, path.rpartition("/")[0] or "/") for p in discover(path, recursive)]
+    return spark.createDataFrame(spark.sparkContext.parallelize(files, max(1, len(files))), "path string, store string")
+
+
+def sources(files: DataFrame) -> DataFrame:
+    return files.select("path", "content" if "content" in files.columns else "store")
+
+
+def feeds(batch: pa.RecordBatch) -> Iterator[tuple[str, codec.Feed]]:
+    """The files of a batch of sources(), one after another."""
+    if "content" in batch.schema.names:
+        for path, buf in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            yield path, codec.Feed(buf)
+        return
+    for path, root in zip(batch.column("path").to_pylist(), batch.column("store").to_pylist(), strict=True):
+        store, _ = store_of(root)
+        with store.open_input_stream(path, compression=None) as f:
+            yield path, codec.Feed(f, store.get_file_info(path).size)
+
+
 def read_blocks(files: DataFrame, interface_scope: str = "section") -> DataFrame:
-    """All pcapng blocks of path, content rows, packets or not, with the options of section headers, interfaces and packets by name."""
+    """All pcapng blocks of files (path, content, or listed()), packets or not, with the options of section headers, interfaces and packets by name."""
 
     def run(it):
         for batch in it:
-            for path, buf in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows = [{"path": path, "block_index": b.index, "section": b.section, "block_type": b.block_type, "role": b.role, "interface_id": b.interface_id, "ts_ns": b.ts_ns, "frame_no": b.frame_no, "rec_offset": b.rec_offset, "raw": b.raw, "error": b.error, "options": list(b.options.items())} for b, _ in codec.PcapngWalk(buf, interface_scope).walk()]
-                if rows:
-                    kinds = {"path": pa.string(), "block_index": pa.int64(), "section": pa.int32(), "block_type": pa.int64(), "role": pa.string(), "interface_id": pa.int32(), "ts_ns": pa.int64(), "frame_no": pa.int64(), "rec_offset": pa.int64(), "raw": pa.binary(), "error": pa.string(), "options": pa.map_(pa.string(), pa.list_(pa.binary()))}
-                    yield pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
+            for path, feed in feeds(batch):
+                held, size = [], 0
+                for b, _ in codec.PcapngWalk(feed, interface_scope).walk():
+                    held.append((path, b.index, b.section, b.block_type, b.role, b.interface_id, b.ts_ns, b.frame_no, b.rec_offset, b.raw, b.error, list(b.options.items())))
+                    size += len(b.raw)
+                    if len(held) == BATCH_ROWS or size > BATCH_BYTES:
+                        yield batch_of(held, BLOCK_ARROW)
+                        held, size = [], 0
+                if held:
+                    yield batch_of(held, BLOCK_ARROW)
 
-    return files.select("path", "content").mapInArrow(run, BLOCKS)
+    return sources(files).mapInArrow(run, BLOCKS)
 
 
 def read_interfaces(files: DataFrame) -> DataFrame:
+    """Interfaces of files (path, content, or listed())."""
+
     def run(it):
         for batch in it:
-            rows = [(path, i.section, i.interface_id, i.link_type, i.snap_len, i.res_base, i.res_exp) for path, buf in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True) for i in codec.interfaces(buf)]
+            rows = [(path, i.section, i.interface_id, i.link_type, i.snap_len, i.res_base, i.res_exp) for path, feed in feeds(batch) for i in codec.interfaces(feed)]
             if rows:
                 kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "section", "interface_id", "link_type", "snap_len", "res_base", "res_exp"])
 
-    return files.select("path", "content").mapInArrow(run, INTERFACES)
+    return sources(files).mapInArrow(run, INTERFACES)
 
 
 def read_sections(files: DataFrame) -> DataFrame:
-    """path, section, major, minor, length, hardware, os, application of pcapng files."""
+    """path, section, major, minor, length, hardware, os, application of pcapng files (path, content, or listed())."""
 
     def run(it):
         for batch in it:
             rows = []
-            for path, buf in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                walk = codec.PcapngWalk(buf)
+            for path, feed in feeds(batch):
+                walk = codec.PcapngWalk(feed)
                 for _ in walk.walk():
                     pass
                 rows += [{"path": path, "section": k} | s for k, s in enumerate(walk.sections)]
@@ -291,7 +322,7 @@ def read_sections(files: DataFrame) -> DataFrame:
                 text = {n: pa.string() for n in codec.SECTION_OPTIONS.values()}
                 yield pa.RecordBatch.from_pylist(rows, pa.schema({"path": pa.string(), "section": pa.int32(), "major": pa.int32(), "minor": pa.int32(), "length": pa.int64()} | text))
 
-    return files.select("path", "content").mapInArrow(run, "path string, section int, major int, minor int, length long, hardware string, os string, application string")
+    return sources(files).mapInArrow(run, "path string, section int, major int, minor int, length long, hardware string, os string, application string")
 
 
 def digests(files: DataFrame) -> DataFrame:

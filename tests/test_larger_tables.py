@@ -29,3 +29,37 @@ def test_repeated_hours(spark, sf, tmp_path, name):
     """An hour's frames don't follow each other in the table."""
     got, want = both(spark, repeated(sf, tmp_path / "events"), name)
     assert got == want
+
+
+def pcapng(packets):
+    from flowlake.plans.wire_queries import block, pcapng_head
+
+    body = bytes(8) + (7).to_bytes(4, "big") + (8).to_bytes(4, "big") * 2 + b"abcdefgh"
+    return pcapng_head() + block(6, body) * packets
+
+
+def test_blocks_in_batches(tmp_path, monkeypatch):
+    """A file's blocks leave in batches as they are found, so a reader holds few of them whatever the file's size."""
+    import pyarrow as pa
+
+    from flowlake.sources import capture
+
+    (tmp_path / "a.pcapng").write_bytes(pcapng(3 * capture.BATCH_ROWS))
+    runs, Files = [], type("Files", (), {"columns": ["path", "store"], "select": lambda self, *_: self, "mapInArrow": lambda self, run, _: runs.append(run)})
+    capture.read_blocks(Files())
+    batches = list(runs[0](iter([pa.RecordBatch.from_pydict({"path": [str(tmp_path / "a.pcapng")], "store": [str(tmp_path)]})])))
+    assert [b.num_rows for b in batches] == [capture.BATCH_ROWS] * 3 + [4]
+
+
+def test_listed_files(spark, tmp_path):
+    """Files that are opened by their paths give the rows that their contents give."""
+    from flowlake.sources import capture
+
+    for n in range(3):
+        (tmp_path / f"{n}.pcapng").write_bytes(pcapng(n) + b"cut"[:n])
+    (tmp_path / "3.pcap").write_bytes(b"nonsense")
+    read, listed = capture.read_binary(spark, str(tmp_path)), capture.listed(spark, str(tmp_path))
+    rows = lambda df: sorted((r[0].rpartition("/")[2], repr(r[1:])) for r in df.collect())
+    for f in (capture.read_blocks, capture.read_interfaces, capture.read_sections):
+        assert rows(f(read)) == rows(f(listed)) and rows(f(read))
+    assert listed.rdd.getNumPartitions() == 4
