@@ -557,7 +557,11 @@ def flow_packets(dissected: DataFrame) -> DataFrame:
 
 def split_packets(dissected: DataFrame) -> DataFrame:
     """IPv4 packets with the integer addresses, ports (0 where there are none) and protocol that splitting keys on."""
-    tcp = nth_layer("Tcp").isNotNull()
-    rows = dissected.where(nth_layer("Ipv4").isNotNull())
-    port = lambda p: F.coalesce(F.when(tcp, field(f"Tcp.{p}")).otherwise(field(f"Udp.{p}")), F.lit(0).cast("bigint"))
-    return rows.select("*", field("Ipv4.src").alias("src_ip"), field("Ipv4.dst").alias("dst_ip"), port("src_port").alias("src_port"), port("dst_port").alias("dst_port"), field("Ipv4.protocol").alias("proto"))
+    #: Layers are looked for once and their headers cut once; the names stay apart, so that projections aren't merged.
+    found = dissected.select("*", *[nth_layer(n).alias(f"_{n}") for n in ("Ipv4", "Tcp", "Udp")]).where("_Ipv4 is not null")
+    cut = lambda n, size: F.substring(F.col("data"), F.col(f"_{n}.offset") + 1, F.least(F.col(f"_{n}.len"), F.lit(size)))
+    rows = found.select(*dissected.columns, cut("Ipv4", 20).alias("_ip"), F.when(F.col("_Tcp").isNotNull(), cut("Tcp", 4)).otherwise(cut("Udp", 4)).alias("_ports"))
+    #: TCP's and UDP's ports lie alike.
+    port = lambda p: F.coalesce(fields.read(F.col("_ports"), f"Udp.{p}"), F.lit(0).cast("bigint"))
+    ip = lambda n: fields.read(F.col("_ip"), f"Ipv4.{n}")
+    return rows.select(*dissected.columns, ip("src").alias("src_ip"), ip("dst").alias("dst_ip"), port("src_port").alias("src_port"), port("dst_port").alias("dst_port"), ip("protocol").alias("proto"))

@@ -66,13 +66,17 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crafted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packets with their frames."""
+    return frames(packets(spark, sf_dir))
+
+
+def frames(rows: DataFrame) -> DataFrame:
     """Packet rows with `data`, Ethernet frames of these packets with whole payloads, and link_type.
 
     A payload is the frame's number in eight digits, cut or filled with dots to its length.
     """
     from flowlake.operators.craft import eth, ipv4, raw, tcp, udp
 
-    rows = packets(spark, sf_dir)
     body = F.encode(F.rpad(F.lpad(F.col("frame_no").cast("string"), 8, "0"), F.col("payload").cast("int"), F.lit(".")), "utf-8")
     ip = ipv4(src=F.col("src_ip"), dst=F.col("dst_ip"), ttl=F.col("frame_no") % 200 + 20, identification=F.col("frame_no") % 65536)
     ends = {"src_port": F.col("src_port"), "dst_port": F.col("dst_port")}

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlake.functions import fields
-from flowlake.plans.packets import FRAMES_SQL, PACKETS_SQL, crafted, hexed, packets
+from flowlake.plans.packets import FRAMES_SQL, PACKETS_SQL, crafted, frames, hexed, packets
 from flowlake.scratch import scratch
 
 HOUR = 3_600_000_000_000
@@ -174,9 +174,12 @@ NANOS = "ts_ns + frame_no % 1000"
 def nanos_files(spark: SparkSession, sf_dir: str) -> str:
     """The frames as pcap files with nanoseconds, written through the data source in two appends; returns their folder."""
     root = scratch(registered(spark), "captures")
-    rows = crafted(spark, sf_dir).withColumn("ts_ns", F.expr(NANOS))
+    rows = packets(spark, sf_dir).withColumn("ts_ns", F.expr(NANOS))
+    #: A file is one task when it is read, so there are as many as can be read at once.
+    files = max(4, spark.sparkContext.defaultParallelism)
     for part in (0, 1):
-        own = rows.where(F.col("frame_no") % 2 == part).repartitionByRange(4, "frame_no").sortWithinPartitions("frame_no")
+        #: Frames are crafted once they are dealt, so the sample that finds the ranges doesn't craft them too.
+        own = frames(rows.where(F.col("frame_no") % 2 == part).repartitionByRange(files, "frame_no").sortWithinPartitions("frame_no"))
         own.select("ts_ns", "orig_len", "link_type", "data").write.format("capture").mode("append").option("nanos", "true").option("endian", "little" if part else "big").save(root)
     return root
 
@@ -383,9 +386,24 @@ def metadata_dump(spark, sf_dir):
 # Streams, run once over what is there; intervals and flows that the watermark hasn't passed stay in state.
 
 
+#: State on disk and in a bounded cache instead of the executors' heaps, which it would fill: it has a row for each interval and key.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+}
+
+
 def once(stream: DataFrame, spark: SparkSession, label: str) -> DataFrame:
     root = scratch(spark, label)
-    q = stream.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/state").start()
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
+    try:
+        q = stream.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/state").start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     try:
         q.processAllAvailable()
     finally:

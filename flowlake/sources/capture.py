@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 from flowlake.sources import codec
 
@@ -161,7 +161,7 @@ class FileMessage(WriterCommitMessage):
         self.temps, self.names, self.packets = temps, names, packets
 
 
-class CaptureWriter(DataSourceWriter):
+class CaptureWriter(DataSourceArrowWriter):
     """pcap files, one for each partition and link type, in the order of the rows.
 
     Files get their names when the job commits, and names hold the job's own id, so a job that
@@ -183,13 +183,14 @@ class CaptureWriter(DataSourceWriter):
         store, base = store_of(self.path)
         store.create_dir(base, recursive=True)
         attempt, n, out = uuid.uuid4().hex, 0, {}
-        for r in iterator:
-            link = r["link_type"] if r["link_type"] is not None else 1
-            if link not in out:
-                out[link] = store.open_output_stream(f"{base}/.{self.job}-{attempt}-{link}", compression=None)
-                out[link].write(codec.pcap_file_header(link, self.snap, self.nanos, self.big))
-            out[link].write(codec.pcap_record(r["ts_ns"], r["orig_len"], bytes(r["data"]), self.snap, self.nanos, self.big))
-            n += 1
+        for batch in iterator:
+            for ts_ns, orig_len, link, data in zip(*[batch.column(c).to_pylist() for c in ("ts_ns", "orig_len", "link_type", "data")], strict=True):
+                link = 1 if link is None else link
+                if link not in out:
+                    out[link] = store.open_output_stream(f"{base}/.{self.job}-{attempt}-{link}", compression=None)
+                    out[link].write(codec.pcap_file_header(link, self.snap, self.nanos, self.big))
+                out[link].write(codec.pcap_record(ts_ns, orig_len, data, self.snap, self.nanos, self.big))
+            n += batch.num_rows
         for f in out.values():
             f.close()
         return FileMessage([f".{self.job}-{attempt}-{link}" for link in out], [f"part-{part:05d}-{self.job}-{link}.pcap" for link in out], n)

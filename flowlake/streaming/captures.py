@@ -33,11 +33,15 @@ def interval_stream(packets: DataFrame, width_us: int, late: str = "1 minute", u
     window = F.window("event_time", f"{width_us} microseconds")
     distinct = ("src_ip", "dst_ip", "flow")
     if unique:
-        seen = lambda name, key: F.struct(F.lit(name).alias("kind"), F.when(F.col("parsed"), key).alias("key"))
-        keys = [seen("src_ip", F.col("src_ip").cast("string")), seen("dst_ip", F.col("dst_ip").cast("string")), seen("flow", F.to_json(summary_key()))]
-        rows = every.select("event_time", "orig_len", F.explode(F.array(*keys)).alias("k")).groupBy(window, "k.kind", "k.key").agg(F.count(F.lit(1)).alias("packets"), F.sum("orig_len").alias("bytes"))
-        first = F.col("kind") == distinct[0]
-        counts = [F.count_if((F.col("kind") == k) & F.col("key").isNotNull()).alias(f"unique_{k}s") for k in distinct]
+        #: Keys are the flow's five parts, which cost less to make and to keep than one text; an address alone is the first of them.
+        flow, parsed = summary_key(), F.col("parsed")
+        parts = ("a", "a_port", "b", "b_port", "proto")
+        seen = lambda kind, values: F.struct(F.lit(kind).alias("kind"), *[F.when(parsed, v).alias(n) for n, v in zip(parts, values, strict=True)])
+        alone = lambda address: [F.col(address), *[F.when(F.lit(False), flow[n]) for n in parts[1:]]]
+        keys = [seen(0, alone("src_ip")), seen(1, alone("dst_ip")), seen(2, [flow[n] for n in parts])]
+        rows = every.select("event_time", "orig_len", F.explode(F.array(*keys)).alias("k")).groupBy(window, "k.kind", *[f"k.{n}" for n in parts]).agg(F.count(F.lit(1)).alias("packets"), F.sum("orig_len").alias("bytes"))
+        first = F.col("kind") == 0
+        counts = [F.count_if((F.col("kind") == i) & F.col("a").isNotNull()).alias(f"unique_{k}s") for i, k in enumerate(distinct)]
         rows = rows.groupBy(F.window(F.window_time("window"), f"{width_us} microseconds").alias("window")).agg(F.sum(F.when(first, F.col("packets"))).alias("total_packets"), F.sum(F.when(first, F.col("bytes"))).alias("total_l2_bytes"), *counts)
     else:
         rows = every.groupBy(window).agg(F.count(F.lit(1)).alias("total_packets"), F.sum("orig_len").alias("total_l2_bytes"))

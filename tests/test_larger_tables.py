@@ -63,3 +63,44 @@ def test_listed_files(spark, tmp_path):
     for f in (capture.read_blocks, capture.read_interfaces, capture.read_sections):
         assert rows(f(read)) == rows(f(listed)) and rows(f(read))
     assert listed.rdd.getNumPartitions() == 4
+
+
+def test_stream_state_on_disk(spark, sf):
+    """A stream's state, a row for each interval and key, is no map in the executors' heaps; the session keeps its own store."""
+    from pathlib import Path
+
+    from flowlake import scratch
+
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before, made = spark.conf.get(provider, None), len(scratch.SCRATCH)
+    assert registry.QUERIES["stream_intervals"](spark, sf).count() > 0
+    assert spark.conf.get(provider, None) == before
+    state = next(Path(p.removeprefix("file://")) for p in scratch.SCRATCH[made:] if "stream-intervals" in p) / "state"
+    assert list(state.rglob("*.zip")) and not list(state.rglob("*.delta"))
+
+
+def test_files_are_crafted_after_dealing(spark, sf, monkeypatch):
+    """Frames are made of rows that are dealt and sorted already, so the sample that finds the ranges makes none."""
+    from flowlake.plans import wire_queries
+
+    plans, real = [], wire_queries.frames
+    monkeypatch.setattr(wire_queries, "frames", lambda rows: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or real(rows))
+    root = wire_queries.nanos_files(spark, sf)
+    assert len(plans) == 2 and all("RepartitionByExpression" in p for p in plans)
+    assert spark.read.format("capture").load(root).count() == 1000
+
+
+def test_unique_keys_of_a_stream(spark, tmp_path):
+    """Distinct counts leave out what isn't parsed and keys that are missing, and count other protocols' flows without ports."""
+    from flowlake.streaming import captures
+
+    kind = "ts_ns long, orig_len long, src_ip long, dst_ip long, src_port long, dst_port long, proto long, parsed boolean"
+    second = 1_000_000_000
+    rows = [(second, 10, 1, 2, 5, 6, 6, True), (second, 10, 2, 1, 6, 5, 6, True), (second, 10, 1, 2, 5, 6, 17, True), (second, 10, 1, 2, 0, 0, 1, True), (second, 10, 2, 1, 9, 9, 1, True)]
+    rows += [(second, 10, 3, 4, 5, 6, 6, False), (second, 10, None, 5, None, None, None, True), (100 * second, 1, 1, 2, 5, 6, 6, True)]
+    spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = captures.interval_stream(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), 10_000_000, "0 seconds", unique=True)
+    q = stream.writeStream.format("memory").queryName("unique_keys").option("checkpointLocation", str(tmp_path / "state")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert [tuple(r) for r in spark.table("unique_keys").select("total_packets", "total_l2_bytes", "unique_src_ips", "unique_dst_ips", "unique_flows").collect()] == [(7, 70, 2, 3, 3)]
