@@ -104,3 +104,13 @@ def test_unique_keys_of_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("unique_keys").select("total_packets", "total_l2_bytes", "unique_src_ips", "unique_dst_ips", "unique_flows").collect()] == [(7, 70, 2, 3, 3)]
+
+
+@pytest.mark.parametrize("name", ["crafted_frames", "decode_icmp", "pcap_roundtrip"])
+def test_ports_beyond_16_bits(spark, sf, tmp_path, name):
+    """Packets whose client port fits a header equal the SQL; no header holds the others'."""
+    folder = repeated(sf, tmp_path / "events", first_user=64_500)
+    got, want = both(spark, folder, name)
+    beyond = duckdb.sql(f"SELECT count(*) FROM '{folder}/events.parquet' WHERE user_id + 1024 > 65535").fetchall()[0][0]
+    assert len(got) == len(want) == 2000 and 0 < beyond < 2000
+    assert len(set(got) - set(want)) == beyond
